@@ -1,0 +1 @@
+"""Intentionally empty: comparing classifiers is a batch job, so nothing here reads a stream."""
