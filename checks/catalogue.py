@@ -1,4 +1,4 @@
 """Imports every theme so that the registry is complete."""
 
-from checks import slice  # noqa: F401
+from checks import slice, splitting, tables  # noqa: F401
 from checks.registry import QUERIES, SQL  # noqa: F401
