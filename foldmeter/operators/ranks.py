@@ -65,3 +65,10 @@ def rank_shuffled(df: DataFrame, seed: int, key: str = "row_id", by: Sequence[st
     hashed = df.withColumn("_digest", seeded_digest(seed, F.col(key)))
     hashed = hashed.withColumn(_BUCKET, hex_prefix(F.col("_digest"), 1, 3))
     return rank_in_buckets(hashed, [F.col("_digest"), F.col(key)], by).drop("_digest")
+
+
+def rank_by_text(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rank by ascending text; the first six UTF-8 bytes, read as a number, make the buckets."""
+    head = F.rpad(F.hex(F.substring(F.encode(F.col(key), "UTF-8"), 1, 6)), 12, "0")
+    numbered = df.withColumn("_head", F.conv(head, 16, 10).cast("bigint"))
+    return rank_in_buckets(with_key_buckets(numbered, "_head"), [F.col(key)], by).drop("_head")
