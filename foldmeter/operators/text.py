@@ -33,7 +33,7 @@ def token_counts(words: Column) -> Column:
 
         return F.filter(_bind(starts, measured), lambda e: e.isNotNull())
 
-    return _bind(F.array_sort(words), runs)
+    return _bind(F.sort_array(words), runs)
 
 
 def _bind(value: Column, body) -> Column:
