@@ -126,3 +126,73 @@ class GaussianNB:
 
 def _with_prediction(df: DataFrame, scored: Column) -> DataFrame:
     return df.withColumn("_p", scored).select(*df.columns, "_p.predicted_ix", "_p.log_score")
+
+
+SMOOTHING = 1.0
+
+
+def multinomial_log_probabilities(features: DataFrame, folds: int, n_features: int) -> tuple[DataFrame, np.ndarray]:
+    """Per (step, feature) the log probability of each class, and log priors[step, class].
+
+    ``features`` is long: (row_id, fold, label_ix, feature_ix, value).  Sums are
+    kept per fold; a step adds up the other folds.
+    """
+    v = F.col("value")
+    v = F.when(v < 0, F.raise_error(F.lit("multinomial model: negative feature value")).cast("double")).otherwise(v)
+    sums = features.groupBy("label_ix", "feature_ix").agg(
+        F.array(*[F.sum(F.when(F.col("fold") == f, v).otherwise(0.0)) for f in range(folds)]).alias("s")
+    )
+    others = [sum((F.get("s", F.lit(f)) for f in range(folds) if f != s), F.lit(0.0)) for s in range(folds)]
+    by_step = sums.select("label_ix", "feature_ix", F.posexplode(F.array(*others)).alias("step", "s")).persist()
+    totals = by_step.groupBy("step", "label_ix").agg(F.sum("s").alias("total")).toPandas()  # steps x classes
+    n_classes = int(totals.label_ix.max()) + 1
+    total = np.zeros((folds, n_classes))
+    total[totals.step, totals.label_ix] = totals.total
+    floor = [[float(-np.log(t + SMOOTHING * n_features)) for t in row] for row in total]
+    wide = by_step.groupBy("step", "feature_ix").agg(
+        *[F.sum(F.when(F.col("label_ix") == c, F.col("s")).otherwise(0.0)).alias(f"s{c}") for c in range(n_classes)]
+    )
+    base = F.array(*[F.array(*[F.lit(x) for x in row]) for row in floor])
+    log_p = [
+        (F.log(F.col(f"s{c}") + SMOOTHING) + F.get(F.get(base, F.col("step")), F.lit(c))).alias(f"p{c}")
+        for c in range(n_classes)
+    ]
+    return wide.select("step", "feature_ix", *log_p), total
+
+
+def multinomial_cross_validated(rows: DataFrame, features: DataFrame, folds: int, n_features: int) -> DataFrame:
+    """(row_id, predicted_ix, log_score) for every row by the model of its step.
+
+    ``rows`` is (row_id, fold, label_ix) and may hold rows without any feature.
+    """
+    from foldmeter.operators.lookup import lookup_join
+
+    features = features.persist()
+    table, total = multinomial_log_probabilities(features, folds, n_features)
+    n_classes = total.shape[1]
+    counts = np.zeros((folds, n_classes))
+    for r in rows.groupBy("fold", "label_ix").count().collect():  # folds x classes rows
+        counts[r["fold"], r["label_ix"]] = r["count"]
+    train = counts.sum(axis=0) - counts
+    with np.errstate(divide="ignore"):
+        prior = np.log(train / train.sum(axis=1, keepdims=True))
+    weight = features.groupBy(F.col("fold").alias("step"), "feature_ix").agg(F.count("*").alias("w"))
+    table = table.join(weight, ["step", "feature_ix"]).persist()
+    entries = features.select("row_id", F.col("fold").alias("step"), "feature_ix", "value")
+    hits = lookup_join(entries, table, ["step", "feature_ix"], "w")
+    sums = hits.groupBy("row_id").agg(
+        *[F.sum(F.col("value") * F.col(f"p{c}")).alias(f"l{c}") for c in range(n_classes)]
+    )
+    joined = rows.select("row_id", F.col("fold").alias("step")).join(sums, "row_id", "left")
+    base = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in prior])
+    scores = [
+        F.struct(
+            (F.coalesce(F.col(f"l{c}"), F.lit(0.0)) + F.get(F.get(base, F.col("step")), F.lit(c))).alias("score"),
+            F.lit(-c).alias("c"),
+        )
+        for c in range(n_classes)
+    ]
+    best = F.array_max(F.array(*scores))
+    return joined.select("row_id", best.alias("b")).select(
+        "row_id", (-F.col("b.c")).alias("predicted_ix"), F.col("b.score").alias("log_score")
+    )
