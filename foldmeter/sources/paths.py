@@ -50,7 +50,10 @@ def image_attribute(df: DataFrame, attribute: str, base: str, folders: Sequence[
     return _attach(df, attribute, base, files, "image")
 
 
-@F.pandas_udf("array<double>")
-def image_pixels(data: pd.Series) -> pd.Series:
-    """Unpack an image's bytes to numbers, row by row and channel by channel."""
+def _unpack(data: pd.Series) -> pd.Series:
     return data.map(lambda b: np.frombuffer(b, dtype="uint8").astype("float64"))
+
+
+def image_pixels(data: Column) -> Column:
+    """Unpack an image's bytes to numbers, row by row and channel by channel."""
+    return F.pandas_udf(_unpack, "array<double>")(data)
