@@ -16,24 +16,77 @@ from foldmeter.operators.ranks import rank_by_text
 NORMS = (None, "l1", "l2")
 
 
-def token_counts(words: Column) -> Column:
-    """array<struct<term, tf>> of one row: sort, then measure the runs of equal terms."""
+def _runs(items: Column, key, build) -> Column:
+    """Sort an array and build one element per run of equal keys: ``build(sorted, from, to)``."""
 
-    def runs(s: Column) -> Column:
+    def over(s: Column) -> Column:
         n = F.size(s)
-        at = lambda i: F.get(s, i)
+        at = lambda i: key(F.get(s, i))
         places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         starts = F.filter(places, lambda i: (i == 0) | (at(i) != at(i - 1)))
 
         def measured(b: Column) -> Column:
             ends = F.concat(F.slice(b, 2, F.greatest(F.size(b), F.lit(1))), F.array(n))
-            return F.zip_with(
-                b, ends, lambda lo, hi: F.when(lo.isNotNull(), F.struct(at(lo).alias("term"), (hi - lo).alias("tf")))
-            )
+            return F.zip_with(b, ends, lambda lo, hi: F.when(lo.isNotNull(), build(s, lo, hi)))
 
         return F.filter(_bind(starts, measured), lambda e: e.isNotNull())
 
-    return _bind(F.sort_array(words), runs)
+    return _bind(F.sort_array(items), over)
+
+
+def token_counts(words: Column) -> Column:
+    """array<struct<term, tf>> of one row: sort, then measure the runs of equal terms."""
+    return _runs(
+        words, lambda t: t, lambda s, lo, hi: F.struct(F.get(s, lo).alias("term"), (hi - lo).cast("bigint").alias("tf"))
+    )
+
+
+def hashed_counts(words: Column, n_features: int, non_negative: bool, norm: str | None, method: str) -> Column:
+    """array<struct<feature_ix, value>> of one row in bucket order, zeros left out, normalized."""
+
+    def bucket(e: Column) -> Column:
+        value = e["tf"].cast("double")
+        if not non_negative:
+            value = value * term_sign(e["term"], method)
+        return F.struct(term_bucket(e["term"], n_features, method).alias("feature_ix"), value.alias("value"))
+
+    def total(s: Column, lo: Column, hi: Column) -> Column:
+        value = F.aggregate(F.slice(s, lo + 1, hi - lo), F.lit(0.0), lambda a, e: a + e["value"])
+        return F.struct(F.get(s, lo)["feature_ix"].alias("feature_ix"), value.alias("value"))
+
+    sums = _runs(F.transform(token_counts(words), bucket), lambda e: e["feature_ix"], total)
+    sums = F.filter(sums, lambda e: e["value"] != 0)
+    if norm is None:
+        return sums
+    power, root = (F.abs, None) if norm == "l1" else (lambda x: x * x, F.sqrt)
+
+    def scaled(a: Column) -> Column:
+        size = F.aggregate(a, F.lit(0.0), lambda t, e: t + power(e["value"]), root)
+        return _bind(
+            size,
+            lambda n: F.transform(a, lambda e: F.struct(e["feature_ix"].alias("feature_ix"), (e["value"] / n).alias("value"))),
+        )
+
+    return _bind(sums, scaled)
+
+
+def dense_array(entries: Column, width: int) -> Column:
+    """array<double> of ``width`` from entries in index order: the gaps are filled with zeros."""
+
+    def parts(a: Column) -> Column:
+        before = F.transform(
+            a,
+            lambda e, i: F.concat(
+                F.array_repeat(
+                    F.lit(0.0), e["feature_ix"] - F.when(i == 0, -1).otherwise(F.get(a, i - 1)["feature_ix"]) - 1
+                ),
+                F.array(e["value"]),
+            ),
+        )
+        last = F.when(F.size(a) == 0, -1).otherwise(F.get(a, F.size(a) - 1)["feature_ix"])
+        return F.concat(F.flatten(before), F.array_repeat(F.lit(0.0), F.lit(width - 1) - last))
+
+    return _bind(entries, parts)
 
 
 def _bind(value: Column, body) -> Column:
@@ -44,7 +97,7 @@ def _bind(value: Column, body) -> Column:
 def term_rows(df: DataFrame, text: str = "text", lowercase: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(row_id, keep..., term, tf): counted inside each row, so nothing is shuffled."""
     counted = df.select("row_id", *keep, F.explode(token_counts(tokens(F.col(text), lowercase))).alias("e"))
-    return counted.select("row_id", *keep, "e.term", F.col("e.tf").cast("bigint").alias("tf"))
+    return counted.select("row_id", *keep, "e.term", "e.tf")
 
 
 def idf(n_rows: Column, df: Column) -> Column:
@@ -158,20 +211,18 @@ def hashed_features(
     method: str = "xxhash64",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Term counts summed into ``n_features`` signed (or plain) buckets.
+    """Term counts summed into ``n_features`` signed (or plain) buckets, inside each row."""
+    check_hashing(n_features, norm)
+    words = tokens(F.col(text), not case_sensitive)
+    entries = hashed_counts(words, n_features, non_negative, norm, method)
+    return df.select("row_id", *keep, F.explode(entries).alias("e")).select("row_id", *keep, "e.feature_ix", "e.value")
 
-    Rows are first spread by ``row_id``, which serves the bucket sums and the norm.
-    """
+
+def check_hashing(n_features: int, norm: str | None) -> None:
     if n_features < 1:
         raise ValueError("n_features must be at least 1")
-    terms = term_rows(df, text, not case_sensitive, keep).repartition("row_id")
-    value = F.col("tf").cast("double")
-    if not non_negative:
-        value = value * term_sign(F.col("term"), method)
-    summed = terms.groupBy("row_id", *keep, term_bucket(F.col("term"), n_features, method).alias("feature_ix")).agg(
-        F.sum(value).alias("value")
-    )
-    return normalized(summed.filter("value <> 0"), norm)
+    if norm not in NORMS:
+        raise ValueError(f"norm must be one of {NORMS}")
 
 
 def feature_names(vocab: DataFrame, attribute: str) -> DataFrame:
