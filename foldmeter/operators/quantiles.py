@@ -1,8 +1,8 @@
 """Exact interpolated quantiles per feature without gathering a feature's values.
 
 A sketch gives a narrow bracket around each quantile.  One more aggregation
-counts what lies below, keeps the distinct values inside with their counts, and
-the smallest value above; the quantile is read off the running counts.  Equal
+counts what lies below and above, keeping the values next to the bracket, and
+counts the distinct values inside; the quantile is read off the running counts.  Equal
 values are counted before the shuffle, so a value held by most rows is one row.
 """
 
@@ -36,7 +36,9 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
     zone = F.when(v < F.col("s.lo"), -1).when(v > F.col("s.hi"), 1).otherwise(0)
     counted = marked.groupBy(
         key, "_n", F.col("s.q").alias("q"), F.col("s.p").alias("p"), zone.alias("zone"), F.when(zone == 0, v).alias("_in")
-    ).agg(F.count("*").alias("c"), F.min("value").alias("v"))
+    ).agg(F.count("*").alias("c"), F.min("value").alias("_min"), F.max("value").alias("_max"))
+    # Below the bracket the largest value is the last one, above it the smallest is the first.
+    counted = counted.withColumn("v", F.when(F.col("zone") < 0, F.col("_max")).otherwise(F.col("_min")))
     running = counted.withColumn("cum", F.sum("c").over(W.partitionBy(key, "q").orderBy("zone", "_in")))
     pos = (F.col("_n") - 1) * F.col("p")
 
@@ -46,9 +48,14 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
     found = running.groupBy(key, "q").agg(
         at(F.floor(pos)).alias("a"), at(F.ceil(pos)).alias("b"), F.max(pos).alias("pos")
     )
-    outside = (F.col("a.zone") < 0) | ((F.col("b.zone") > 0) & (F.ceil("pos") > F.col("b.before")))
+    def outside(e: str, position):
+        last_below = position == F.col(f"{e}.cum") - 1
+        first_above = position == F.col(f"{e}.before")
+        return F.when(F.col(f"{e}.zone") < 0, ~last_below).when(F.col(f"{e}.zone") > 0, ~first_above).otherwise(False)
+
+    wrong = outside("a", F.floor("pos")) | outside("b", F.ceil("pos"))
     part = F.col("pos") - F.floor("pos")
-    value = F.when(outside, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(
+    value = F.when(wrong, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(
         F.col("a.v") + (F.col("b.v") - F.col("a.v")) * part
     )
     return (
