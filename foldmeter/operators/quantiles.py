@@ -28,15 +28,28 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
         F.percentile_approx("value", F.array(*[F.lit(e) for e in ends]), F.lit(ACCURACY)).alias("_e"),
     )
     spans = [
-        F.struct(F.lit(i).alias("q"), F.lit(p).alias("p"), F.get("_e", F.lit(2 * i)).alias("lo"), F.get("_e", F.lit(2 * i + 1)).alias("hi"))
-        for i, p in enumerate(probabilities)
-    ]
-    marked = values.join(broadcast_if_small(brackets), key).select(key, "value", "_n", F.explode(F.array(*spans)).alias("s"))
+        {"lo": F.get("_e", F.lit(2 * i)), "hi": F.get("_e", F.lit(2 * i + 1))} for i in range(len(probabilities))
+    ]
     v = F.col("value")
-    zone = F.when(v < F.col("s.lo"), -1).when(v > F.col("s.hi"), 1).otherwise(0)
-    counted = marked.groupBy(
-        key, "_n", F.col("s.q").alias("q"), F.col("s.p").alias("p"), zone.alias("zone"), F.when(zone == 0, v).alias("_in")
-    ).agg(F.count("*").alias("c"), F.min("value").alias("_min"), F.max("value").alias("_max"))
+    placed = values.join(broadcast_if_small(brackets), key)
+
+    def zone_of(span):
+        return F.when(v < span["lo"], -1).when(v > span["hi"], 1).otherwise(0)
+
+    # One row per combination of zones, plus one per distinct value inside a bracket.
+    zones = F.array(*[zone_of(s) for s in spans])
+    placed = placed.select(key, "value", "_n", zones.alias("zones"))
+    inside = F.array_contains("zones", 0)
+    counted = placed.groupBy(key, "_n", "zones", F.when(inside, v).alias("_in")).agg(
+        F.count("*").alias("c"), F.min("value").alias("_min"), F.max("value").alias("_max")
+    )
+    wanted = [F.struct(F.lit(i).alias("q"), F.lit(p).alias("p"), F.get("zones", F.lit(i)).alias("zone")) for i, p in enumerate(probabilities)]
+    counted = counted.select(key, "_n", "c", "_min", "_max", "_in", F.explode(F.array(*wanted)).alias("s")).select(
+        key, "_n", "c", "_min", "_max", "s.q", "s.p", "s.zone", F.when(F.col("s.zone") == 0, F.col("_in")).alias("_in")
+    )
+    counted = counted.groupBy(key, "_n", "q", "p", "zone", "_in").agg(
+        F.sum("c").alias("c"), F.min("_min").alias("_min"), F.max("_max").alias("_max")
+    )
     # Below the bracket the largest value is the last one, above it the smallest is the first.
     counted = counted.withColumn("v", F.when(F.col("zone") < 0, F.col("_max")).otherwise(F.col("_min")))
     running = counted.withColumn("cum", F.sum("c").over(W.partitionBy(key, "q").orderBy("zone", "_in")))

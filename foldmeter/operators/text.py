@@ -34,27 +34,21 @@ def _runs(items: Column, key, build) -> Column:
     return _bind(F.sort_array(items), over)
 
 
-def token_counts(words: Column) -> Column:
-    """array<struct<term, tf>> of one row: sort, then measure the runs of equal terms."""
-    return _runs(
-        words, lambda t: t, lambda s, lo, hi: F.struct(F.get(s, lo).alias("term"), (hi - lo).cast("bigint").alias("tf"))
-    )
-
-
 def hashed_counts(words: Column, n_features: int, non_negative: bool, norm: str | None, method: str) -> Column:
-    """array<struct<feature_ix, value>> of one row in bucket order, zeros left out, normalized."""
+    """array<struct<feature_ix, value>> of one row in bucket order, zeros left out, normalized.
 
-    def bucket(e: Column) -> Column:
-        value = e["tf"].cast("double")
-        if not non_negative:
-            value = value * term_sign(e["term"], method)
-        return F.struct(term_bucket(e["term"], n_features, method).alias("feature_ix"), value.alias("value"))
+    Each token is coded as ``2 * bucket + (1 if its sign is negative)``.
+    """
+
+    def code(t: Column) -> Column:
+        doubled = term_bucket(t, n_features, method) * 2
+        return doubled if non_negative else F.when(term_sign(t, method) < 0, doubled + 1).otherwise(doubled)
 
     def total(s: Column, lo: Column, hi: Column) -> Column:
-        value = F.aggregate(F.slice(s, lo + 1, hi - lo), F.lit(0.0), lambda a, e: a + e["value"])
-        return F.struct(F.get(s, lo)["feature_ix"].alias("feature_ix"), value.alias("value"))
+        value = F.aggregate(F.slice(s, lo + 1, hi - lo), F.lit(0), lambda a, c: a + 1 - 2 * (c % 2))
+        return F.struct(F.shiftright(F.get(s, lo), 1).alias("feature_ix"), value.cast("double").alias("value"))
 
-    sums = _runs(F.transform(token_counts(words), bucket), lambda e: e["feature_ix"], total)
+    sums = _runs(F.transform(words, code), lambda c: F.shiftright(c, 1), total)
     sums = F.filter(sums, lambda e: e["value"] != 0)
     if norm is None:
         return sums
@@ -95,21 +89,37 @@ def _bind(value: Column, body) -> Column:
 
 
 def term_rows(df: DataFrame, text: str = "text", lowercase: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(row_id, keep..., term, tf): counted inside each row, so nothing is shuffled."""
-    counted = df.select("row_id", *keep, F.explode(token_counts(tokens(F.col(text), lowercase))).alias("e"))
-    return counted.select("row_id", *keep, "e.term", "e.tf")
+    """(row_id, keep..., term, tf).
+
+    The texts are spread by ``row_id`` before they are split: that one shuffle
+    also serves the counts and any later per-row norm.
+    """
+    spread = df.select("row_id", *keep, text).repartition("row_id")
+    words = spread.select("row_id", *keep, F.explode(tokens(F.col(text), lowercase)).alias("term"))
+    return words.groupBy("row_id", *keep, "term").agg(F.count("*").alias("tf"))
+
+
+def term_totals(df: DataFrame, text: str = "text", lowercase: bool = False) -> DataFrame:
+    """(term, df, n): rows holding the term, and its occurrences.
+
+    Terms are counted where the texts are read; only per-task totals are shuffled.
+    """
+    words = df.select(tokens(F.col(text), lowercase).alias("w"))
+    once = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")))
+    each = F.transform("w", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c")))
+    marks = words.select(F.explode(F.concat(once, each)).alias("m"))
+    return marks.groupBy("m.term").agg(F.sum("m.d").alias("df"), F.sum("m.c").alias("n"))
 
 
 def idf(n_rows: Column, df: Column) -> Column:
     return F.log((1 + n_rows) / (1 + df)) + 1
 
 
-def vocabulary(terms: DataFrame, n_rows: int, max_features: int | None = None) -> DataFrame:
-    """(term, feature_ix, df, n, idf) in term order.
+def vocabulary(counts: DataFrame, n_rows: int, max_features: int | None = None) -> DataFrame:
+    """(term, feature_ix, df, n, idf) in term order, from ``term_totals``.
 
     ``max_features`` keeps the terms with the highest corpus count, ties by term.
     """
-    counts = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
     if max_features is not None:
         counts = counts.orderBy(F.col("n").desc(), "term").limit(max_features)
     counts = counts.persist()
@@ -153,8 +163,8 @@ class Tfidf:
             raise ValueError(f"norm must be one of {NORMS}")
         if max_features is not None and max_features < 1:
             raise ValueError("max_features must be at least 1")
-        terms = term_rows(train, text, not case_sensitive)
-        vocab = vocabulary(terms, train.count(), max_features).persist()
+        totals = term_totals(train, text, not case_sensitive)
+        vocab = vocabulary(totals, train.count(), max_features).persist()
         return Tfidf(vocab, norm, text, not case_sensitive)
 
     def width(self) -> int:
@@ -177,8 +187,8 @@ def tfidf_by_fold(df: DataFrame, folds: int, text: str = "text", norm: str | Non
     other folds only, so no term of a test row alone gets in.
     Returns (step, term, feature_ix, df, idf) and (step, row_id, feature_ix, value).
     """
-    terms = term_rows(df, text, keep=("fold",)).persist()
-    per_fold = terms.groupBy("term").agg(
+    once = df.select("fold", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    per_fold = once.groupBy("term").agg(
         F.array(*[F.count_if(F.col("fold") == f) for f in range(folds)]).alias("dfs")
     )
     total = F.aggregate("dfs", F.lit(0).cast("bigint"), lambda a, b: a + b)
@@ -195,7 +205,7 @@ def tfidf_by_fold(df: DataFrame, folds: int, text: str = "text", norm: str | Non
         "step", "term", F.col("rank").cast("int").alias("feature_ix"), "df", "own", idf(F.col("n"), F.col("df")).alias("idf")
     )
     vocab = vocab.persist()
-    tests = terms.select(F.col("fold").alias("step"), "row_id", "term", "tf")
+    tests = term_rows(df, text, keep=("fold",)).select(F.col("fold").alias("step"), "row_id", "term", "tf")
     found = lookup_join(tests, vocab.select("step", "term", "feature_ix", "idf", "own"), ["step", "term"], "own")
     features = found.select("step", "row_id", "feature_ix", (F.col("tf") * F.col("idf")).alias("value"))
     return vocab.drop("own"), normalized(features, norm)
@@ -211,11 +221,18 @@ def hashed_features(
     method: str = "xxhash64",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Term counts summed into ``n_features`` signed (or plain) buckets, inside each row."""
+    """Term counts summed into ``n_features`` signed (or plain) buckets.
+
+    Texts are spread by ``row_id`` once, which serves the bucket sums and the norm.
+    """
     check_hashing(n_features, norm)
-    words = tokens(F.col(text), not case_sensitive)
-    entries = hashed_counts(words, n_features, non_negative, norm, method)
-    return df.select("row_id", *keep, F.explode(entries).alias("e")).select("row_id", *keep, "e.feature_ix", "e.value")
+    spread = df.select("row_id", *keep, text).repartition("row_id")
+    words = spread.select("row_id", *keep, F.explode(tokens(F.col(text), not case_sensitive)).alias("term"))
+    value = F.lit(1.0) if non_negative else term_sign(F.col("term"), method)
+    summed = words.groupBy("row_id", *keep, term_bucket(F.col("term"), n_features, method).alias("feature_ix")).agg(
+        F.sum(value).alias("value")
+    )
+    return normalized(summed.filter("value <> 0"), norm)
 
 
 def check_hashing(n_features: int, norm: str | None) -> None:
