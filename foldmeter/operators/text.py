@@ -99,16 +99,9 @@ def term_rows(df: DataFrame, text: str = "text", lowercase: bool = False, keep:
     return words.groupBy("row_id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
-def term_totals(df: DataFrame, text: str = "text", lowercase: bool = False) -> DataFrame:
-    """(term, df, n): rows holding the term, and its occurrences.
-
-    Terms are counted where the texts are read; only per-task totals are shuffled.
-    """
-    words = df.select(tokens(F.col(text), lowercase).alias("w"))
-    once = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")))
-    each = F.transform("w", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c")))
-    marks = words.select(F.explode(F.concat(once, each)).alias("m"))
-    return marks.groupBy("m.term").agg(F.sum("m.d").alias("df"), F.sum("m.c").alias("n"))
+def term_totals(terms: DataFrame) -> DataFrame:
+    """(term, df, n): rows holding the term, and its occurrences."""
+    return terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
 def idf(n_rows: Column, df: Column) -> Column:
@@ -163,7 +156,7 @@ class Tfidf:
             raise ValueError(f"norm must be one of {NORMS}")
         if max_features is not None and max_features < 1:
             raise ValueError("max_features must be at least 1")
-        totals = term_totals(train, text, not case_sensitive)
+        totals = term_totals(term_rows(train, text, not case_sensitive))
         vocab = vocabulary(totals, train.count(), max_features).persist()
         return Tfidf(vocab, norm, text, not case_sensitive)
 
@@ -187,8 +180,8 @@ def tfidf_by_fold(df: DataFrame, folds: int, text: str = "text", norm: str | Non
     other folds only, so no term of a test row alone gets in.
     Returns (step, term, feature_ix, df, idf) and (step, row_id, feature_ix, value).
     """
-    once = df.select("fold", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    per_fold = once.groupBy("term").agg(
+    terms = term_rows(df, text, keep=("fold",))
+    per_fold = terms.groupBy("term").agg(
         F.array(*[F.count_if(F.col("fold") == f) for f in range(folds)]).alias("dfs")
     )
     total = F.aggregate("dfs", F.lit(0).cast("bigint"), lambda a, b: a + b)
@@ -205,7 +198,7 @@ def tfidf_by_fold(df: DataFrame, folds: int, text: str = "text", norm: str | Non
         "step", "term", F.col("rank").cast("int").alias("feature_ix"), "df", "own", idf(F.col("n"), F.col("df")).alias("idf")
     )
     vocab = vocab.persist()
-    tests = term_rows(df, text, keep=("fold",)).select(F.col("fold").alias("step"), "row_id", "term", "tf")
+    tests = terms.select(F.col("fold").alias("step"), "row_id", "term", "tf")
     found = lookup_join(tests, vocab.select("step", "term", "feature_ix", "idf", "own"), ["step", "term"], "own")
     features = found.select("step", "row_id", "feature_ix", (F.col("tf") * F.col("idf")).alias("value"))
     return vocab.drop("own"), normalized(features, norm)
