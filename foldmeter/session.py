@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A side with at most this many (narrow) rows, about 100 MB, may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
