@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.inputs import DENSE_SQL, dense, dense_folds
+from checks.inputs import DENSE_SQL, dense
 from checks.registry import query, rounded, table
-from foldmeter.operators import evolve, hog, prototypes, scaling
+from foldmeter.operators import evolve, hog, prototypes, scaling, splits
 from foldmeter.operators.network import Layer, NeuralNetwork
 from foldmeter.session import scratch_dir
 from foldmeter.sources import paths
@@ -147,26 +147,30 @@ def proto_fitness(spark, sf_dir):
 
 @query("proto_train")
 def proto_train(spark, sf_dir):
-    df = dense_folds(spark, sf_dir).persist()
-    model = evolve.EvolvedPrototypes(generations=3, population=4, random_seed=1, max_start_slots=3).fit(df.filter("fold <> 0"))
-    return model.predict(df.filter("fold = 0"))
+    df = dense(spark, sf_dir).persist()
+    model = evolve.EvolvedPrototypes(generations=3, population=4, random_seed=1, max_start_slots=3).fit(df)
+    return model.predict(df)
 
 
-def _network(spark, sf_dir):
-    df = dense_folds(spark, sf_dir)
-    scaler = scaling.min_max(df.filter("fold <> 0"), -1, 1)
-    df = scaler.transform(df).persist()
+def _network(train):
+    scaler = scaling.min_max(train, -1, 1)
     net = NeuralNetwork([Layer(32, "relu"), Layer(16, "sigmoid")], random_seed=1, epochs=3)
-    return df, net.fit(df.filter("fold <> 0"), 10)
+    return scaler, net.fit(scaler.transform(train), 10)
 
 
 @query("mlp_cv")
 def mlp_cv(spark, sf_dir):
-    df, model = _network(spark, sf_dir)
-    test = df.filter("fold = 0")
-    return test.select("row_id", "fold", "label_ix").join(model.predict(test), "row_id")
+    df = splits.stratified_k_fold(dense(spark, sf_dir), 2).persist()
+    out = None
+    for step in range(2):
+        train, test = splits.fold_roles(df, step)
+        scaler, model = _network(train)
+        part = model.predict(scaler.transform(test))
+        out = part if out is None else out.unionByName(part)
+    return df.select("row_id", "fold", "label_ix").join(out, "row_id")
 
 
 @query("epoch_log")
 def epoch_log(spark, sf_dir):
-    return rounded(_network(spark, sf_dir)[1].epoch_log(spark))
+    _, model = _network(dense(spark, sf_dir))
+    return rounded(model.epoch_log(spark))

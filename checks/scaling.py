@@ -10,13 +10,13 @@ from checks.inputs import DENSE_SQL, dense_folds, documents
 from checks.registry import query, rounded, table
 from foldmeter.operators import features, scaling, selection, text
 
-# Fit on the rows outside fold 0, transform fold 0.
-_TEST = "FROM long JOIN p USING (feature_ix) WHERE fold = 0"
+# Fit on the rows outside fold 0, transform all rows.
+_ALL = "FROM long JOIN p USING (feature_ix)"
 
 
 def _split(spark, sf_dir):
     df = dense_folds(spark, sf_dir).select("row_id", "fold", "label_ix", "features")
-    return df.filter("fold <> 0"), df.filter("fold = 0")
+    return df.filter("fold <> 0"), df
 
 
 def _out(df):
@@ -26,7 +26,7 @@ def _out(df):
 def _sql(params: str, value: str) -> str:
     return (
         f"WITH {DENSE_SQL}, p AS (SELECT feature_ix, {params} FROM long WHERE fold <> 0 GROUP BY feature_ix) "
-        f"SELECT row_id, feature_ix, round({value}, 6) AS value {_TEST}"
+        f"SELECT row_id, feature_ix, round({value}, 6) AS value {_ALL}"
     )
 
 
@@ -42,14 +42,14 @@ for _norm, _len in (("l1", "sum(abs(v)) OVER r"), ("l2", "sqrt(sum(v * v) OVER r
     _sql("min(v) AS lo, max(v) AS hi", "-1 + (v - lo) * 2 / CASE WHEN hi = lo THEN 1 ELSE hi - lo END"),
 )
 def scale_minmax(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    return _out(scaling.min_max(train, -1, 1).transform(test))
+    train, rows = _split(spark, sf_dir)
+    return _out(scaling.min_max(train, -1, 1).transform(rows))
 
 
 @query("scale_standard", _sql("avg(v) AS m, stddev_pop(v) AS sd", "(v - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END"))
 def scale_standard(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    return _out(scaling.standard(train).transform(test))
+    train, rows = _split(spark, sf_dir)
+    return _out(scaling.standard(train).transform(rows))
 
 
 @query(
@@ -60,8 +60,8 @@ def scale_standard(spark, sf_dir):
     ),
 )
 def scale_robust(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    return _out(scaling.robust(train).transform(test))
+    train, rows = _split(spark, sf_dir)
+    return _out(scaling.robust(train).transform(rows))
 
 
 LINEITEM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -135,8 +135,8 @@ def select_chain(spark, sf_dir):
 
 @query("select_tree")
 def select_tree(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
+    train, rows = _split(spark, sf_dir)
     vectors = train.withColumn("features", array_to_vector("features"))
     model = selection.TreeSelector(seed=1, max_depth=5).fit(vectors)
-    chosen = model.transform(test.withColumn("features", array_to_vector("features")))
+    chosen = model.transform(rows.withColumn("features", array_to_vector("features")))
     return chosen.select("row_id", vector_to_array("features").alias("features"))
