@@ -8,7 +8,7 @@ def make_session() -> SparkSession:
     return (
         SparkSession.builder.master("local[8]")
         .appName("foldmeter-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")

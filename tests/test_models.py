@@ -29,14 +29,14 @@ def config(models, **kw):
 
 def test_all_classifiers_learn_two_classes(spark, two_class):
     models = [
-        classifiers.SVM(show_imp_features=2, max_iter=20),
+        classifiers.SVM(show_imp_features=2, max_iter=5),
         classifiers.KNN(normalizer=classifiers.Standard()),
         classifiers.NaiveBayes(),
         classifiers.NaiveBayes(type_v="multinomial", name="MNB"),
         classifiers.DecisionTree(random_seed=1),
-        classifiers.Prototypes(evolution=evolve.EvolvedPrototypes(generations=4, population=6, random_seed=2)),
+        classifiers.Prototypes(evolution=evolve.EvolvedPrototypes(generations=2, population=6, random_seed=2)),
         classifiers.MLClassifier(LogisticRegression(maxIter=10), "Logistic", "LR", normalizer=classifiers.MinMax()),
-        classifiers.ANN(network=network.NeuralNetwork([network.Layer(8, "relu")], 3, epochs=30, learning_rate=0.05)),
+        classifiers.ANN(network=network.NeuralNetwork([network.Layer(8, "relu")], 3, epochs=10, learning_rate=0.1)),
     ]
     result = run_experiment(two_class, config(models, selectors=[selection.VarianceSelector(0.0)]))
     accuracy = {r["classifier"]: r["accuracy"] for r in result.scores().collect()}
@@ -48,14 +48,14 @@ def test_all_classifiers_learn_two_classes(spark, two_class):
     top = result.predictions.filter(F.col("classifier") == models[0].name).first()["top"]
     assert len(top) == 2 and top[0]["name"] in set("ABCD") and top[0]["importance"] >= top[1]["importance"]
     assert {r["n_features"] for r in result.step_stats.collect()} == {4}
-    assert result.epoch_log.count() == 2 * 30
+    assert result.epoch_log.count() == 2 * 10
     assert result.cross_table("Logistic").filter("real = 'All' and predicted = 'All'").first()["n"] == 32
     assert result.confusion_matrix("Logistic").count() == 2
     assert result.timings.select("metric").distinct().count() == 12
 
 
 def test_kernels(spark, two_class):
-    models = [classifiers.SVM(kernel=k, name=k, max_iter=20, landmarks=12) for k in ("poly", "rbf", "sigmoid")]
+    models = [classifiers.SVM(kernel=k, name=k, max_iter=5, landmarks=12) for k in ("poly", "rbf", "sigmoid")]
     result = run_experiment(two_class, config(models))
     accuracy = {r["classifier"]: r["accuracy"] for r in result.scores().collect()}
     assert accuracy["rbf"] >= 0.75 and accuracy["poly"] >= 0.75 and len(accuracy) == 3
@@ -75,7 +75,7 @@ def test_validators(spark, two_class):
 
 
 def test_leave_one_out_closed_form_equals_loop(spark, two_class):
-    few = two_class.filter("row_id < 10")
+    few = two_class.filter("row_id < 5")
     closed = run_experiment(few, config([classifiers.KNN(neighbors=1), classifiers.NaiveBayes()], validator=LeaveOneOut()))
     looped = run_experiment(
         few,
@@ -89,8 +89,8 @@ def test_leave_one_out_closed_form_equals_loop(spark, two_class):
     assert sorted(map(tuple, closed.predictions.select(columns).collect())) == sorted(
         map(tuple, looped.predictions.select(columns).collect())
     )
-    with pytest.raises(ValueError, match="at most 5"):
-        run_experiment(few, config([classifiers.DecisionTree()], validator=LeaveOneOut(5)))
+    with pytest.raises(ValueError, match="at most 4"):
+        run_experiment(few, config([classifiers.DecisionTree()], validator=LeaveOneOut(4)))
 
 
 def test_language_of_documents(spark):
