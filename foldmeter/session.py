@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many (narrow) rows, about 100 MB, may be broadcast; beyond it the join shuffles.
+#: A side of at most so many rows and bytes may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder name under ``spark.checkpoint.dir``, the folder all executors share.
 
-    Only where the setting is empty (local tests) a temporary folder stands in.
+    Only where the setting is empty and all runs in this one process (local tests) a temporary folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or None
     if base is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them share")
         base = tempfile.mkdtemp(prefix="foldmeter-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -38,9 +42,24 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcasting only after counting that it is small enough."""
-    return F.broadcast(df) if has_at_most(df, rows) else df
+def _width(name: str, kind) -> Column:
+    """Bytes of one value, about as Spark holds it in a row."""
+    col = F.col(f"`{name}`")
+    if kind.typeName() in ("string", "binary"):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 8
+    if kind.typeName() in ("array", "map"):
+        return F.greatest(F.size(col), F.lit(0)) * 16 + 16
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcasting only after measuring that neither its rows nor its bytes are too many.
+
+    The measure reads ``df`` once: hand in a table, or something as cheap.
+    """
+    widths = [_width(f.name, f.dataType) for f in df.schema.fields]
+    n, total = df.agg(F.count("*"), F.sum(sum(widths, F.lit(16)))).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def shuffle_width(spark: SparkSession) -> int:
