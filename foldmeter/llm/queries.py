@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldmeter.llm.jaccard import ngram_jaccard
+from foldmeter.llm.repeats import substring_dedup
+from foldmeter.llm.text import word_array
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,3 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, similarity 0.9: component and number of links of every document."""
     return ngram_jaccard(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 50-word windows that a document of smaller id has too are removed."""
+    kept = substring_dedup(table(spark, sf_dir, "documents"))
+    words = F.array_join(word_array(F.col("text")), " ")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))

@@ -92,6 +92,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     data: np.ndarray
+    byte_at: np.ndarray  # per text, and at the end: where its bytes begin
 
     @property
     def doc(self) -> np.ndarray:
@@ -135,7 +136,7 @@ def _split(first: int, data: np.ndarray, at: np.ndarray) -> Words:
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(first, np.zeros(len(at), np.int64), none, none, np.zeros(0, np.uint64), data)
+        return Words(first, np.zeros(len(at), np.int64), none, none, np.zeros(0, np.uint64), data, at)
     inside = ~_SPACE[data]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -146,7 +147,7 @@ def _split(first: int, data: np.ndarray, at: np.ndarray) -> Words:
     c = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[:n], out=c[1:])
     hashes = mix((c[end] - c[start]) * down[start])
-    return Words(first, np.searchsorted(start, at).astype(np.int64), start, end, hashes, data)
+    return Words(first, np.searchsorted(start, at).astype(np.int64), start, end, hashes, data, at)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
