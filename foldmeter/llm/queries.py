@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldmeter.llm.decontaminate import contamination
 from foldmeter.llm.jaccard import ngram_jaccard
+from foldmeter.llm.mix import mix_sources
 from foldmeter.llm.repeats import substring_dedup
+from foldmeter.llm.rules import line_frequency_rules
 from foldmeter.llm.text import word_array
+from foldmeter.llm.warc import pages_through_archives
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,3 +43,87 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup(table(spark, sf_dir, "documents"))
     words = F.array_join(word_array(F.col("text")), " ")
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+win AS (SELECT doc_id, unnest(range(0, len(w) - 7)) AS p, w FROM d WHERE len(w) >= 8),
+win2 AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 8], ' ') AS g FROM win),
+rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win2) WHERE n > 1),
+cov AS (SELECT doc_id, sum(least(8, coalesce(nx - p, 8)))::BIGINT AS n_repeat_words
+        FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nx FROM rep) GROUP BY 1),
+ln AS (SELECT doc_id, source, text, unnest(l) AS raw FROM d),
+ln2 AS (SELECT *, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+               len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS nw FROM ln),
+host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1),
+freq AS (SELECT source, line, count(DISTINCT text) AS n FROM ln2 GROUP BY 1, 2),
+bad AS (SELECT f.source, f.line FROM freq f JOIN host h ON f.source IS NOT DISTINCT FROM h.source
+        WHERE f.n > 20 AND f.n > 0.10::DOUBLE * h.docs),
+gone AS (SELECT doc_id, sum(nw)::BIGINT AS n FROM ln2 JOIN bad ON ln2.line = bad.line AND ln2.source IS NOT DISTINCT FROM bad.source GROUP BY 1),
+s AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(cov.n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    (len(w) - coalesce(gone.n, 0))::BIGINT AS n_words_left
+  FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+  (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words_left >= 0.30::DOUBLE * n_words) AS kept
+FROM s
+"""
+
+
+@query("op10_quality_rules", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules, and rejection of documents that consist mostly of their source's frequent lines."""
+    return line_frequency_rules(table(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars")
+
+
+OP3_SQL = r"""
+WITH f AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM f),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, k, array_to_string(w[p + 1:p + k], ' ') AS g
+      FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS p FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM g),
+win AS (SELECT doc_id, k, p, array_to_string(w[p + 1:p + k], ' ') AS g
+        FROM (SELECT doc_id, k, w, unnest(range(0, len(w) - k + 1)) AS p FROM d, ks WHERE len(w) >= k)),
+hit AS (SELECT win.doc_id, p, win.k, item_id FROM win JOIN g ON win.k = g.k AND win.g = g.g),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+@query("op3_benchmark_decontamination", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside 10-word windows of benchmark items, and which items."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights 5, 2, 1; 150 % of all words; nothing more than twice."""
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives of one gzip stream, normalised, read back record by record."""
+    return pages_through_archives(table(spark, sf_dir, "pages")).drop("url", "payload")

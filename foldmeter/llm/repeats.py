@@ -207,16 +207,17 @@ def repeated_words(
 
     entries = rest.select("row", "id", F.explode(F.array_distinct("names")).alias("name"))
     shared = entries.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("name")
-    shared = broadcast_if_small(cut_lineage(shared))
+    # tables that grow with the corpus: always joined by shuffling, so that the plan is the same at every size
+    shared = cut_lineage(shared)
     known = cut_lineage(entries.select("row", "name").join(shared, "name").groupBy("row").agg(F.collect_list("name").alias("shared")))
-    wanted = rest.select("row", "id", "mark", "bare").join(broadcast_if_small(known), "row", "left")
+    wanted = rest.select("row", "id", "mark", "bare").join(known, "row", "left")
     wanted = cut_lineage(wanted.filter("bare or shared is not null").drop("bare").dropDuplicates(["id", "mark"]))
 
     again = source.join(broadcast_if_small(wanted), ["id", "mark"]).select("row", "id", "text", "shared")
     found = cut_lineage(again.mapInArrow(_windows(window, rounds), "row long, id long, pos int, value long"))
     least = found.groupBy("value").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     least = cut_lineage(least.select("value", "least"))
-    hits = found.join(broadcast_if_small(least), "value").filter("id > least").select("row", "pos")
+    hits = found.join(least, "value").filter("id > least").select("row", "pos")
     covered = hits.groupBy("row").agg(F.collect_list("pos").alias("places"))
     to_runs = F.pandas_udf(runs_of(window), "array<int>")
     partly = covered.select("row", to_runs("places").alias("runs")).join(named.select("row", "id", "mark", "n"), "row")
