@@ -3,20 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foldmeter.llm.decontaminate import decontaminate
 from foldmeter.llm.jaccard import ngram_jaccard
-from foldmeter.session import cut_lineage
+from foldmeter.llm.mix import mix_sources
+from foldmeter.llm.repeats import substring_dedup
+from foldmeter.llm.rules import line_frequency_rules
+from foldmeter.llm.text import word_array
+from foldmeter.session import broadcast_if_small, cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def columns_of_documents(docs: DataFrame) -> DataFrame:
+    """Texts may have changed: count their characters anew."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def with_words(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.size(word_array(F.col("text"))) > 0)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Frequent lines of a source go; so do documents that fail the base rules or have little left."""
+    return columns_of_documents(line_frequency_rules(docs).filter("kept"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 5-word-shingle similarity 0.8 or more stays: the one with the smallest id."""
-    found = ngram_jaccard(docs).filter("component_id <> doc_id").select("doc_id")
-    return docs.join(cut_lineage(found), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of 5-word-shingle similarity 0.8 or more the document with the smallest id stays."""
+    found = cut_lineage(ngram_jaccard(docs).filter("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(broadcast_if_small(found), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document of smaller id has too go; documents without words left go."""
+    return columns_of_documents(with_words(substring_dedup(docs)))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of 10-word windows of the benchmark go; documents without words left go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return columns_of_documents(with_words(decontaminate(docs, items)))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix with the words taken of each, repeats counted."""
+    return mix_sources(docs).filter("taken > 0")
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("mixing sources to target weights", source_mix),
+]
+#: Similarity components and the seeded order of the mix are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldmeter.llm.crossentropy import cross_entropy_difference
 from foldmeter.llm.decontaminate import contamination
 from foldmeter.llm.jaccard import ngram_jaccard
 from foldmeter.llm.mix import mix_sources
+from foldmeter.llm.neighbours import neighbour_quality
 from foldmeter.llm.repeats import substring_dedup
 from foldmeter.llm.rules import line_frequency_rules
 from foldmeter.llm.text import word_array
+from foldmeter.llm.urls import path_of, url_filter
 from foldmeter.llm.warc import pages_through_archives
 
 QUERIES: dict = {}
@@ -127,3 +130,39 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives of one gzip stream, normalised, read back record by record."""
     return pages_through_archives(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of quality 1."""
+    target = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose crc32 of the id modulo 5 is 0 are held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    scored = neighbour_quality(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("allow", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query("op4_url_filters")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document its url names by number: good if of quality 1 and not toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})", 1)
+    labels = table(spark, sf_dir, "labels").filter("doc_id is not null and quality is not null")
+    labels = labels.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("label"))
+    named = pages.withColumn("_doc", F.when(number != "", number).cast("long")).join(labels.withColumnRenamed("doc_id", "_doc"), "_doc", "left")
+    return url_filter(named.drop("_doc"), RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
