@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldmeter.llm.bytes import byte_dedup
 from foldmeter.llm.crossentropy import cross_entropy_difference
 from foldmeter.llm.decontaminate import contamination
 from foldmeter.llm.jaccard import ngram_jaccard
@@ -166,3 +167,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labels.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("label"))
     named = pages.withColumn("_doc", F.when(number != "", number).cast("long")).join(labels.withColumnRenamed("doc_id", "_doc"), "_doc", "left")
     return url_filter(named.drop("_doc"), RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query("op6_suffix_array_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that a document of smaller id has too are removed."""
+    kept = byte_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
