@@ -134,7 +134,7 @@ def decontaminate(
     A text that is contaminated as a whole becomes empty.  All other columns stay.
     """
     found = contamination(docs, items, id_column, text_column, k=k).filter("n_hit > 0")
-    found = cut_lineage(found.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "runs"))
+    found = cut_lineage(found.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs")))
     same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("_mark"))
     side = broadcast_if_small(found)
     clean = docs.join(side, same, "left_anti")
@@ -145,7 +145,7 @@ def decontaminate(
     )
     kept = F.transform(
         "_words",
-        lambda w, i: F.when(F.exists("runs", lambda r: (r["a"] <= i) & (i < r["b"])), F.lit("")).otherwise(F.concat(w, F.get("_gaps", i + 1))),
+        lambda w, i: F.when(F.exists("_runs", lambda r: (r["a"] <= i) & (i < r["b"])), F.lit("")).otherwise(F.concat(w, F.get("_gaps", i + 1))),
     )
     stripped = hit.withColumn(text_column, F.concat(F.get("_gaps", F.lit(0)), F.array_join(kept, "")))
     return clean.unionByName(stripped.select(*docs.columns))

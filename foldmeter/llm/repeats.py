@@ -159,9 +159,9 @@ def runs_of(window: int):
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop the words of ``runs`` and the white space after each."""
+    """Drop the words of ``_runs`` and the white space after each."""
     for batch in batches:
-        runs = batch.column("runs")
+        runs = batch.column("_runs")
         texts = [None] * len(batch)
         for w in words(batch.column("text")):
             data = w.data.tobytes()
@@ -177,7 +177,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts[w.first + i] = b"".join(out).decode()
         at = batch.schema.get_field_index("text")
         yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(
-            [f.name for f in batch.schema if f.name != "runs"]
+            [f.name for f in batch.schema if f.name != "_runs"]
         )
 
 
@@ -241,14 +241,14 @@ def substring_dedup(
     as an empty one.  Null and short texts are left alone.  Columns of ``docs`` named n_words or n_removed are replaced.
     """
     found = repeated_words(docs, id_column, text_column, window, rounds)
-    found = found.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "runs")
+    found = found.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs"))
     order = F.coalesce(F.col(id_column), F.lit((1 << 63) - 1)).cast("long")
-    docs = docs.drop("n_words", "n_removed", "runs").withColumns({"_id": order, "_mark": F.xxhash64(text_column)})
+    docs = docs.drop("n_words", "n_removed").withColumns({"_id": order, "_mark": F.xxhash64(text_column)})
     columns = [c for c in docs.columns if c not in ("_id", "_mark")]
     count = F.size(word_array(F.col(text_column))).cast("long").alias("n_words")
     side = broadcast_if_small(found)
     same = docs.join(side, ["_id", "_mark"], "left_anti").select(*columns, count, F.lit(0).cast("long").alias("n_removed"))
-    hit = docs.join(side, ["_id", "_mark"]).select(*columns, count, removed_words(F.col("runs")).alias("n_removed"), "runs")
+    hit = docs.join(side, ["_id", "_mark"]).select(*columns, count, removed_words(F.col("_runs")).alias("n_removed"), "_runs")
     hit = hit.withColumnRenamed(text_column, "text")
-    stripped = hit.mapInArrow(_strip, hit.drop("runs").schema).withColumnRenamed("text", text_column)
+    stripped = hit.mapInArrow(_strip, hit.drop("_runs").schema).withColumnRenamed("text", text_column)
     return same.unionByName(stripped)
