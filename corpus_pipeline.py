@@ -27,7 +27,8 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Frequent lines of a source go; so do documents that fail the base rules or have little left."""
-    return columns_of_documents(line_frequency_rules(docs).filter("kept"))
+    # written first: a filter pushed below the counts would evaluate them again for every word
+    return columns_of_documents(cut_lineage(line_frequency_rules(docs)).filter("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document of smaller id has too go; documents without words left go."""
-    return columns_of_documents(with_words(substring_dedup(docs)))
+    return columns_of_documents(with_words(cut_lineage(substring_dedup(docs))))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of 10-word windows of the benchmark go; documents without words left go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return columns_of_documents(with_words(decontaminate(docs, items)))
+    return columns_of_documents(with_words(cut_lineage(decontaminate(docs, items))))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
