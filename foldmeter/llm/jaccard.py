@@ -8,9 +8,11 @@ then indexed with its one-deletion neighbourhood.  Two sets that are empty in se
 E, ``d + 1 - |E|`` segments looked up exactly, |E| of them also within one deletion, which again is more than ``d`` in all;
 with two neighbours both in E they share the key of an empty segment that follows an empty one.  So no pair is lost.
 
-Sets that share a key meet at the smallest set of that key (its leader).  All sets of one leader are compared in blocks of
-bounded size, exactly; a pair that meets under several leaders counts under the smallest.  A block pair returns link counts
-and a spanning forest, never its links, so a large group of near copies stays linear in rows.
+Sets that share a key meet at the smallest set of that key (its leader).  Most sets only share a common passage there, so the
+sets of a leader are first compared by the parities of their hashed tokens, a few bits for each token: no fewer tokens differ
+than bits do, which rules pairs out without ever losing one.  Only sets that have a possible partner send their tokens.  These
+are compared in blocks of bounded size, exactly; a pair that meets under several leaders counts under the smallest.  A block
+pair returns link counts and a spanning forest, never its links, so a large group of near copies stays linear in rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from foldmeter.session import broadcast_if_small, cut_lineage
 
 #: Tokens of one block; two blocks are compared at a time.
 BLOCK_TOKENS = 40_000
+#: Sets of one block, and how much larger blocks of parities may be.
+BLOCK_SETS, PARITY_BLOCKS = 2_000, 8
 
 
 class Bands:
@@ -77,6 +81,18 @@ def set_hashes(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def parities(tokens: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each set a bitmap of at least two bits a token: whether an odd number of tokens is hashed to the bit."""
+    sizes = np.diff(at)
+    bits = np.left_shift(1, np.maximum(8, np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64)))
+    base = np.r_[0, np.cumsum(bits)]
+    place = (mix(tokens + salted(6)) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(base[:-1], sizes) + place, minlength=base[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8))
+    offsets = (base // 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def keys(tokens: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of all sets of a chunk and the set of each key."""
     sizes = np.diff(at)
@@ -138,9 +154,10 @@ def _sketch(k: int, num: int, den: int):
                         pa.array(np.diff(at), pa.int64()),
                         pa.array(np.ascontiguousarray(ab[:, 0])),
                         pa.array(np.ascontiguousarray(ab[:, 1])),
+                        parities(tokens, at),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(key[order]))),
                     ],
-                    ["id", "n", "a", "b", "keys"],
+                    ["id", "n", "a", "b", "odd", "keys"],
                 )
 
     return run
@@ -167,6 +184,49 @@ def _sets(k: int):
     return run
 
 
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A parity bitmap as one of ``width`` bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, width), axis=0)
+
+
+def _possible(num: int, den: int):
+    """The sets of two blocks that sizes and parities leave a partner."""
+    reach = 1 << int(np.ceil(np.log2(den / num)))
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        side, n = block["side"].to_numpy(), block["n"].to_numpy()
+        bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in block["odd"]]
+        widths = np.array([len(x) for x in bits])
+        across = block["i"].iloc[0] != block["j"].iloc[0]
+        alive = np.zeros(len(n), bool)
+        for width in np.unique(widths):
+            own = np.flatnonzero(widths == width)
+            other = np.flatnonzero((widths >= width) & (widths <= reach * width))
+            x = np.stack([bits[p] for p in own]).astype(np.float32)
+            y = np.stack([_folded(bits[p], width) for p in other]).astype(np.float32)
+            differ = x.sum(1)[:, None] + y.sum(1)[None, :] - 2 * (x @ y.T)
+            a, b = n[own][:, None], n[other][None, :]
+            fits = (differ * (den + num) <= (den - num) * (a + b)) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
+            fits &= own[:, None] != other[None, :]
+            if across:
+                fits &= side[own][:, None] != side[other][None, :]
+            alive[own] |= fits.any(1)
+            alive[other] |= fits.any(0)
+        return block.loc[alive, ["node", "leader"]]
+
+    return run
+
+
+def _in_blocks(members: DataFrame, tokens: int) -> DataFrame:
+    """``members`` (node, leader, n, ...), each row once for every pair of blocks (i, j) of its leader that its own is in."""
+    share = F.greatest(F.sum("n") / tokens, F.count("*") / BLOCK_SETS)
+    blocks = cut_lineage(members.groupBy("leader").agg(F.ceil(share).cast("int").alias("blocks")))
+    placed = members.join(broadcast_if_small(blocks), "leader")
+    placed = placed.withColumn("side", F.pmod(F.xxhash64("node", "leader"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("blocks", "other")
+
+
 def overlaps(lists: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections."""
     of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -248,7 +308,7 @@ def ngram_jaccard(
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    sketch = source.mapInArrow(_sketch(k, num, den), f"id {kind}, n long, a long, b long, keys array<long>")
+    sketch = source.mapInArrow(_sketch(k, num, den), f"id {kind}, n long, a long, b long, odd binary, keys array<long>")
     sketch = cut_lineage(sketch.select(F.monotonically_increasing_id().alias("row"), "*"))
 
     named = sketch.filter("n > 0").select("row", "id", "n", "a", "b")
@@ -266,29 +326,24 @@ def ngram_jaccard(
     members = cut_lineage(members)
 
     sizes = classes.select("node", "n", "copies", "class_id", "a", "b")
-    known = cut_lineage(members.join(sizes.select("node", "n"), "node"))
-    blocks = known.groupBy("leader").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("blocks"))
+    marks = sketch.select(F.col("row").alias("node"), "n", "odd")
+    pairs = _in_blocks(cut_lineage(members.join(marks, "node")), PARITY_BLOCKS * block_tokens)
+    members = pairs.groupBy("leader", "i", "j").applyInPandas(_possible(num, den), "node long, leader long")
+    members = cut_lineage(members.distinct())
+
     leaders = members.groupBy("node").agg(F.sort_array(F.collect_list("leader")).alias("leaders"))
     wanted = cut_lineage(leaders.join(sizes, "node"))
-
+    # equal texts under one id stand for their class together; only they need to be made one
+    twins = named.groupBy("id", "a", "b").agg(F.count("*").alias("m")).filter("m > 1").select("a", "b").distinct()
+    match = wanted.select("a", "b", "class_id", "node").join(cut_lineage(twins).withColumn("twin", F.lit(True)), ["a", "b"], "left")
+    match = broadcast_if_small(cut_lineage(match))
     again = source.mapInArrow(_sets(k), f"id {kind}, a long, b long, tokens array<long>")
-    match = broadcast_if_small(wanted.select("a", "b", "class_id", "node"))
     sets = again.join(match, ["a", "b"]).filter(F.col("id").eqNullSafe(F.col("class_id")))
-    sets = cut_lineage(sets.select("node", "tokens").dropDuplicates(["node"]))
-    placed = known.select("node", "leader").join(broadcast_if_small(blocks), "leader")
-    placed = cut_lineage(placed.withColumn("block", F.pmod(F.xxhash64("node", "leader"), F.col("blocks")).cast("int")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = (
-        placed.join(wanted.select("node", "copies", "leaders"), "node")
-        .join(sets, "node")
-        .select("node", "leader", "block", "copies", "leaders", "tokens", other)
-        .select(
-            "node", "leader", "copies", "leaders", "tokens",
-            F.col("block").alias("side"),
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-        )
-    )
+    sets = cut_lineage(sets.select("node", "tokens", "twin"))
+    twice = sets.filter("twin").dropDuplicates(["node"])
+    sets = sets.filter("twin is null").unionByName(twice).drop("twin")
+    sent = _in_blocks(cut_lineage(members.join(sizes.select("node", "n"), "node")), block_tokens)
+    sent = sent.drop("n").join(wanted.select("node", "copies", "leaders"), "node").join(sets, "node")
     checked = cut_lineage(sent.groupBy("leader", "i", "j").applyInPandas(_verify(num, den), "u long, v long, links long"))
 
     degrees = checked.filter("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
