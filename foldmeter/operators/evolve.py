@@ -1,13 +1,13 @@
 """Evolution of prototype classifiers.
 
-The driver holds about ten candidates and draws random numbers.  Each
-generation is two jobs over the rows: one fetches the rows drawn as new slots,
-one rates all new candidates together.
+A genome is a few flat arrays: one rating function per class, and one row of the slot table for each stored vector.  Training
+rows are numbered class after class, so a draw is a number.  The driver holds the population, about ten genomes; each
+generation is two jobs over the rows: one fetches the rows that are drawn for the first time, one rates all new genomes
+together.
 """
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,72 +22,111 @@ from foldmeter.operators.splits import stratified_holdout
 SELECTIONS = ("RANK", "RULETE")
 
 
-@dataclass
-class Slot:
-    """A drawn row, known by class and rank until its vector is fetched."""
+class Rows:
+    """Training rows by number, and the vectors fetched so far."""
 
-    draw: tuple[int, int]
-    value: float
-    vector: np.ndarray | None = None
+    def __init__(self, ranked: DataFrame):
+        self.ranked = ranked
+        sizes = sorted((r["label_ix"], r["count"]) for r in ranked.groupBy("label_ix").count().collect())  # per class
+        self.codes = np.array([c for c, _ in sizes])
+        self.size = np.array([n for _, n in sizes])
+        self.start = np.r_[0, np.cumsum(self.size)]
+        self.vectors: dict[int, np.ndarray] = {}
 
+    def draw(self, rng: np.random.Generator, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each class position a row, of that class or of the others with even chances, and its value, 1 or -1."""
+        own = (rng.random(len(cls)) < 0.5) | (len(self.codes) == 1)
+        return self.draw_of(rng, cls, own), np.where(own, 1.0, -1.0)
 
-@dataclass
-class Genes:
-    fun: str
-    slots: list[Slot]
+    def draw_of(self, rng: np.random.Generator, cls: np.ndarray, own: np.ndarray) -> np.ndarray:
+        size, start = self.size[cls], self.start[cls]
+        k = rng.integers(0, np.where(own, size, self.start[-1] - size))
+        return np.where(own, start + k, k + size * (k >= start))
 
-    def copy(self) -> Genes:
-        return Genes(self.fun, [Slot(s.draw, s.value, s.vector) for s in self.slots])
+    def fetch(self, genomes: list[Genome]) -> None:
+        """One job for all rows that no genome had before."""
+        new = np.setdiff1d(np.concatenate([g.row for g in genomes]), np.fromiter(self.vectors, np.int64))
+        if not len(new):
+            return
+        cls = np.searchsorted(self.start, new, side="right") - 1
+        keys = [(int(self.codes[c]), int(r - self.start[c]), int(r)) for c, r in zip(cls, new)]
+        wanted = self.ranked.sparkSession.createDataFrame(keys, "label_ix int, rank bigint, number bigint")
+        # a few rows for each genome
+        found = self.ranked.join(F.broadcast(wanted), ["label_ix", "rank"]).select("number", "features").collect()
+        self.vectors.update((r["number"], np.array(r["features"])) for r in found)
 
 
 @dataclass
-class Candidate:
-    genes: dict[int, Genes]
-    scores: list[float] = field(default_factory=list)
+class Genome:
+    """``fun``: function number per class; ``cls``, ``row``, ``value``: the slot table."""
+
+    fun: np.ndarray
+    cls: np.ndarray
+    row: np.ndarray
+    value: np.ndarray
+    ratings: list[float] = field(default_factory=list)
 
     @property
     def score(self) -> float:
-        return sum(self.scores) / len(self.scores) if self.scores else 0.0
-
-    def functions(self) -> dict[int, ClassFunction]:
-        return {
-            c: ClassFunction(g.fun, np.array([s.value for s in g.slots]), np.vstack([s.vector for s in g.slots]))
-            for c, g in self.genes.items()
-        }
-
-
-class _Draws:
-    """Uniform draws of training rows by (class, rank within class)."""
-
-    def __init__(self, ranked: DataFrame, rng: random.Random):
-        self.ranked, self.rng = ranked, rng
-        self.sizes = {r["label_ix"]: r["count"] for r in ranked.groupBy("label_ix").count().collect()}  # per class
-        self.classes = sorted(self.sizes)
-
-    def can(self, cls: int, own: bool) -> bool:
-        return own or len(self.classes) > 1
-
-    def slot(self, cls: int, own: bool) -> Slot:
-        pools = [cls] if own else [c for c in self.classes if c != cls]
-        at = self.rng.randrange(sum(self.sizes[c] for c in pools))
-        for c in pools:
-            if at < self.sizes[c]:
-                return Slot((c, at), 1.0 if own else -1.0)
-            at -= self.sizes[c]
-        raise AssertionError
-
-    def fetch(self, candidates: list[Candidate]) -> None:
-        """One job: the vectors of all slots that have none yet."""
-        waiting = [s for k in candidates for g in k.genes.values() for s in g.slots if s.vector is None]
-        if not waiting:
-            return
-        wanted = self.ranked.sparkSession.createDataFrame(
-            sorted({s.draw for s in waiting}), "label_ix int, rank bigint"
-        )  # a few slots per candidate
-        rows = self.ranked.join(F.broadcast(wanted), ["label_ix", "rank"]).select("label_ix", "rank", "features").collect()
-        found = {(r["label_ix"], r["rank"]): np.array(r["features"]) for r in rows}
-        for s in waiting:
-            s.vector = found[s.draw]
+        return float(np.mean(self.ratings)) if self.ratings else 0.0
+
+    def slots(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.cls[chosen], self.row[chosen], self.value[chosen]
+
+    def functions(self, rows: Rows) -> dict[int, ClassFunction]:
+        out = {}
+        for c, code in enumerate(rows.codes.tolist()):
+            mine = self.cls == c
+            vectors = np.vstack([rows.vectors[r] for r in self.row[mine].tolist()])
+            out[code] = ClassFunction(FUNCTIONS[self.fun[c]], self.value[mine], vectors)
+        return out
+
+
+def random_genome(rows: Rows, max_slots: int, rng: np.random.Generator) -> Genome:
+    """Per class a random function and at most ``max_slots`` slots: some of the class, and some of others if there are any."""
+    n = len(rows.codes)
+    own = rng.integers(1, max_slots, n)
+    other = rng.integers(1, max_slots - own + 1) * (n > 1)
+    cls = np.repeat(np.r_[np.arange(n), np.arange(n)], np.r_[own, other])
+    is_own = np.arange(len(cls)) < own.sum()
+    value = np.where(is_own, 1.0, -1.0)
+    return Genome(rng.integers(0, len(FUNCTIONS), n), cls, rows.draw_of(rng, cls, is_own), value)
+
+
+def crossed(a: Genome, b: Genome, rng: np.random.Generator) -> tuple[Genome, Genome]:
+    """Every function and slot of both parents goes to one of two children, by one draw of a mask each.
+
+    A child holds a row once per class; for a class that got no slot it takes those of the parent of its place.
+    """
+    swap = rng.random(len(a.fun)) < 0.5
+    funs = np.where(swap, b.fun, a.fun), np.where(swap, a.fun, b.fun)
+    cls, row, value = (np.r_[x, y] for x, y in zip((a.cls, a.row, a.value), (b.cls, b.row, b.value)))
+    second = rng.random(len(cls)) < 0.5
+    born = []
+    for fun, mine, parent in zip(funs, (~second, second), (a, b)):
+        own = np.flatnonzero(mine)
+        _, once = np.unique(np.stack([cls[own], row[own]]), axis=1, return_index=True)
+        own = own[np.sort(once)]
+        lent = parent.slots(~np.isin(parent.cls, cls[own]))
+        born.append(Genome(fun, *(np.r_[x[own], y] for x, y in zip((cls, row, value), lent))))
+    return born[0], born[1]
+
+
+def mutated(g: Genome, limit: int, rows: Rows, rng: np.random.Generator) -> Genome:
+    """Up to ``limit`` changes, dealt by one draw to new rows, more slots, fewer slots, other values, other functions."""
+    fresh, more, fewer, moved, turned = rng.multinomial(rng.integers(0, limit + 1), (0.25, 0.125, 0.125, 0.25, 0.25))
+    fun, cls, row, value = g.fun.copy(), g.cls, g.row.copy(), g.value.copy()
+    at = rng.integers(0, len(cls), fresh)
+    row[at], value[at] = rows.draw(rng, cls[at])
+    np.add.at(value, rng.integers(0, len(cls), moved), rng.uniform(-1, 1, moved))
+    fun[rng.integers(0, len(fun), turned)] = rng.integers(0, len(FUNCTIONS), turned)
+    # a class keeps one slot: in a random order, its first is not on offer
+    order = rng.permutation(len(cls))
+    _, first = np.unique(cls[order], return_index=True)
+    left = np.delete(np.arange(len(cls)), np.delete(order, first)[:fewer])
+    added = rng.integers(0, len(fun), more)
+    drawn = rows.draw(rng, added)
+    return Genome(fun, np.r_[cls[left], added], np.r_[row[left], drawn[0]], np.r_[value[left], drawn[1]])
 
 
 @dataclass
@@ -125,39 +164,31 @@ class EvolvedPrototypes:
 
     def fit(self, train: DataFrame) -> FittedPrototypes:
         """``train`` is (row_id, label_ix, features)."""
-        rng = random.Random(self.random_seed)
-        base = train.select("row_id", "label_ix", "features")
-        ranked = rank_by_key(base, by=["label_ix"]).drop("group_n").persist()
-        draws = _Draws(ranked, rng)
-        log: list[tuple[int, float]] = []
+        rng = np.random.default_rng(self.random_seed)
+        ranked = rank_by_key(train.select("row_id", "label_ix", "features"), by=["label_ix"]).drop("group_n").persist()
+        rows = Rows(ranked)
         tests = self._test_rows(ranked, 0)
-
-        crowd = [self._start(draws) for _ in range(self.population)]
-        draws.fetch(crowd)
-        self._evaluate(tests, crowd)
-        best = max(crowd, key=lambda k: k.score)
+        crowd = [random_genome(rows, self.max_start_slots, rng) for _ in range(self.population)]
+        self._rate(tests, crowd, rows)
+        best = max(crowd, key=lambda g: g.score)
+        log: list[tuple[int, float]] = []
         for generation in range(1, self.generations + 1):
             if self.stop_accuracy is not None and best.score >= self.stop_accuracy:
                 break
             log.append((generation, best.score))
-            picked = [self._pick(crowd, rng), self._pick(crowd, rng)]
-            parents = [crowd[i] for i in picked]
-            litters = [self._children(parents, draws) for _ in range(rng.randint(1, self.max_crossovers))]
-            born = [k for litter in litters for k in litter]
-            draws.fetch(born)
-            self._evaluate(tests, born)
-            for litter in litters:
-                winners = sorted([*litter, *parents], key=lambda k: k.score, reverse=True)[:2]
-                for place, winner in zip(picked, winners):
-                    crowd[place] = winner
+            born = self._born(crowd, rows, rng)
+            self._rate(tests, born, rows)
+            # the best stay, on a tie the younger
+            crowd = sorted([*born, *crowd], key=lambda g: -g.score)[: self.population]
             if self.change_test_set and self.test_set_size < 1:
+                tests.unpersist()
                 tests = self._test_rows(ranked, generation)
-                self._evaluate(tests, list({id(k): k for k in [*crowd, best]}.values()))
-            leader = max(crowd, key=lambda k: k.score)
-            if leader.score >= best.score:
-                best = leader
+                self._rate(tests, [*crowd, *([] if any(g is best for g in crowd) else [best])], rows)
+            best = max([*crowd, best], key=lambda g: g.score)
+        if tests is not ranked:
+            tests.unpersist()
         ranked.unpersist()
-        return FittedPrototypes(best.functions(), best.score, log if self.log_gen_fitness else [])
+        return FittedPrototypes(best.functions(rows), best.score, log if self.log_gen_fitness else [])
 
     def _test_rows(self, ranked: DataFrame, draw: int) -> DataFrame:
         if self.test_set_size >= 1:
@@ -166,112 +197,21 @@ class EvolvedPrototypes:
         seed = self.random_seed or 0
         return stratified_holdout(rows, self.test_set_size, seed, draw, "label_ix").filter("role = 'test'").persist()
 
-    def _evaluate(self, tests: DataFrame, candidates: list[Candidate]) -> None:
-        found = {r["individual"]: r["fitness"] for r in fitness(tests, [k.functions() for k in candidates]).collect()}
-        for i, k in enumerate(candidates):
-            k.scores.append(found.get(i, 0.0))
-
-    def _start(self, draws: _Draws) -> Candidate:
-        rng = draws.rng
-        genes = {}
-        for c in draws.classes:
-            n_own = rng.randint(1, self.max_start_slots - 1)
-            n_outer = rng.randint(1, self.max_start_slots - n_own)
-            slots = [draws.slot(c, True) for _ in range(n_own)]
-            if draws.can(c, False):
-                slots += [draws.slot(c, False) for _ in range(n_outer)]
-            genes[c] = Genes(rng.choice(FUNCTIONS), slots)
-        return Candidate(genes)
-
-    def _pick(self, crowd: list[Candidate], rng: random.Random) -> int:
-        """Position of a parent: chance by score rank, or by the score itself."""
-        if self.selection_method == "RANK":
-            order = sorted(range(len(crowd)), key=lambda i: crowd[i].score)
-            return rng.choices(order, weights=range(1, len(order) + 1))[0]
-        weights = [k.score for k in crowd]
-        return rng.choices(range(len(crowd)), weights=weights if sum(weights) > 0 else None)[0]
-
-    def _children(self, parents: list[Candidate], draws: _Draws) -> list[Candidate]:
-        if draws.rng.random() <= self.crossover_prob:
-            born = _cross(parents, draws.rng)
-        else:
-            born = [Candidate({c: g.copy() for c, g in p.genes.items()}) for p in parents]
-        for child in born:
-            _mutate(child, self.max_mutations, draws)
-        return born
-
-
-def _cross(parents: list[Candidate], rng: random.Random) -> list[Candidate]:
-    """Uniform crossover: function and slots of each class go to the two children crosswise."""
-    children: list[dict[int, Genes]] = [{}, {}]
-    for c in parents[0].genes:
-        pair = [p.genes[c] for p in parents]
-        turn = rng.randint(0, 1)
-        new = [Genes(pair[turn].fun, []), Genes(pair[1 - turn].fun, [])]
-        for i in range(max(len(g.slots) for g in pair)):
-            turn = rng.randint(0, 1)
-            for child, source in zip(new, (pair[turn], pair[1 - turn])):
-                if i >= len(source.slots):
-                    continue
-                slot = source.slots[i]
-                if not any(np.allclose(slot.vector, s.vector) for s in child.slots):
-                    child.slots.append(Slot(slot.draw, slot.value, slot.vector))
-        for child, fallback in zip(new, pair):
-            if not child.slots:  # every slot went to the sibling
-                child.slots = fallback.copy().slots
-        children[0][c], children[1][c] = new
-    return [Candidate(g) for g in children]
-
-
-def _mutate(child: Candidate, limit: int, draws: _Draws) -> None:
-    """Up to ``limit`` changes, spread over the classes in random order."""
-    rng = draws.rng
-    left = rng.randint(0, limit)
-    order = list(child.genes)
-    rng.shuffle(order)
-    for c in order:
-        if left <= 0:
-            return
-        budget = rng.randint(0, left)
-        left -= budget
-        while budget > 0:
-            change = rng.choice((_new_samples, _new_size, _new_values, _new_function))
-            budget -= change(child.genes[c], c, budget, draws)
-
-
-def _new_samples(genes: Genes, cls: int, budget: int, draws: _Draws) -> int:
-    """Refill random slots with drawn rows."""
-    n = draws.rng.randint(1, min(budget, len(genes.slots)))
-    for _ in range(n):
-        own = draws.rng.random() < 0.5
-        genes.slots[draws.rng.randrange(len(genes.slots))] = draws.slot(cls, own or not draws.can(cls, False))
-    return n
-
-
-def _new_size(genes: Genes, cls: int, budget: int, draws: _Draws) -> int:
-    """Add slots, or take some away while one is left."""
-    rng = draws.rng
-    if len(genes.slots) == 1 or rng.random() < 0.5:
-        n, own = rng.randint(1, budget), rng.random() < 0.5
-        genes.slots += [draws.slot(cls, own or not draws.can(cls, False)) for _ in range(n)]
-        return n
-    n = rng.randint(1, min(budget, len(genes.slots) - 1))
-    for _ in range(n):
-        genes.slots.pop(rng.randrange(len(genes.slots)))
-    return n
-
-
-def _new_values(genes: Genes, cls: int, budget: int, draws: _Draws) -> int:
-    n = draws.rng.randint(1, budget)
-    for _ in range(n):
-        slot = draws.rng.choice(genes.slots)
-        slot.value += draws.rng.uniform(-1, 1)
-    return n
-
-
-def _new_function(genes: Genes, cls: int, budget: int, draws: _Draws) -> int:
-    genes.fun = draws.rng.choice(FUNCTIONS)
-    return 1
+    def _rate(self, tests: DataFrame, genomes: list[Genome], rows: Rows) -> None:
+        rows.fetch(genomes)
+        found = {r["individual"]: r["fitness"] for r in fitness(tests, [g.functions(rows) for g in genomes]).collect()}
+        for i, g in enumerate(genomes):
+            g.ratings.append(found.get(i, 0.0))
+
+    def _born(self, crowd: list[Genome], rows: Rows, rng: np.random.Generator) -> list[Genome]:
+        """Two children for each crossing of this generation's pair of parents."""
+        score = np.array([g.score for g in crowd])
+        chance = np.argsort(np.argsort(score, kind="stable")) + 1.0 if self.selection_method == "RANK" else score
+        chance = chance / chance.sum() if chance.sum() > 0 else None
+        a, b = (crowd[i] for i in rng.choice(len(crowd), 2, p=chance))
+        times = rng.integers(1, self.max_crossovers + 1)
+        pairs = [crossed(a, b, rng) if cross else (a, b) for cross in rng.random(times) <= self.crossover_prob]
+        return [mutated(g, self.max_mutations, rows, rng) for pair in pairs for g in pair]
 
 
 @dataclass
