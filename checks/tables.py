@@ -24,7 +24,7 @@ def sample_count(spark, sf_dir):
 @query(
     "csv_round_trip",
     "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
-    "CASE WHEN c_nationkey % 3 = 0 THEN '' WHEN c_nationkey % 3 = 1 THEN c_name || ' \"x\", ' || c_mktsegment ELSE c_mktsegment END "
+    "CASE WHEN c_nationkey % 3 = 0 THEN '' WHEN c_nationkey % 3 = 1 THEN c_name || ' \"x\", ' || c_mktsegment ELSE '  ' || c_mktsegment || ' ' END "
     "AS remark FROM customer",
 )
 def csv_round_trip(spark, sf_dir):
@@ -32,7 +32,7 @@ def csv_round_trip(spark, sf_dir):
     odd = (
         F.when(third == 0, "")
         .when(third == 1, F.concat("c_name", F.lit(' "x", '), "c_mktsegment"))
-        .otherwise(F.col("c_mktsegment"))
+        .otherwise(F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")))
     )
     path = scratch_dir(spark)
     csv.write_csv(table(spark, sf_dir, "customer").withColumn("remark", odd), path, ["c_custkey", "c_nationkey", "remark"])

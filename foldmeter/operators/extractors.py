@@ -159,8 +159,15 @@ class Hog:
     stateless = True
 
     def fit(self, train: DataFrame, attribute: str) -> FittedHog:
-        head = self.features(train.limit(1), attribute).first()
-        return FittedHog(attribute, len(head["features"]) if head else 0, self)
+        """All images must give as many features."""
+        size = F.size("features")
+        found = self.features(train, attribute).agg(
+            F.min(size).alias("low"), F.max(size).alias("high"), F.min_by("row_id", size).alias("row")
+        )
+        low, high, row = found.first()
+        if low != high:
+            raise ValueError(f"the image of row {row} gives {low} features, others give {high}")
+        return FittedHog(attribute, low or 0, self)
 
     def features(self, df: DataFrame, attribute: str) -> DataFrame:
         img = F.col(attribute)
@@ -193,7 +200,10 @@ class FittedHog:
         return [f"{self.attribute} : UNK"] * self.width
 
     def vector(self, df: DataFrame, out: str) -> DataFrame:
-        found = self.spec.features(df, self.attribute).select("row_id", array_to_vector("features").alias(out))
+        found = self.spec.features(df, self.attribute)
+        wrong = F.concat(F.lit("another number of features than in training: row "), F.col("row_id").cast("string"))
+        checked = F.when(F.size("features") == self.width, F.col("features")).otherwise(F.raise_error(wrong))
+        found = found.select("row_id", array_to_vector(checked).alias(out))
         return df.join(found, "row_id")
 
     def long(self, df: DataFrame) -> DataFrame:

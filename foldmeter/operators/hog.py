@@ -41,7 +41,7 @@ def _gradients(cell_h: int, cell_w: int, bins: int) -> Column:
 
     whole = lambda i: (F.floor(i / w) < F.floor(h / cell_h) * cell_h) & ((i % w) < cols * cell_w)
     places = F.filter(F.sequence(F.lit(0), h * w - 1), whole)
-    return F.transform(places, gradient)
+    return F.when(h * w > 0, F.transform(places, gradient))
 
 
 def _block_norm(v: Column, norm: str) -> Column:
@@ -73,13 +73,16 @@ def hog_features(
     block_height: int = 3,
     norm: str = "L2-Hys",
 ) -> DataFrame:
-    """(image_id, features array<double>): blocks row by row, cells of a block row by row, bins."""
+    """(image_id, features array<double>): blocks row by row, cells of a block row by row, bins.
+
+    An image without a whole block has no features: an empty array.
+    """
     if norm not in BLOCK_NORMS:
         raise ValueError(f"norm must be one of {BLOCK_NORMS}")
     if min(bins, cell_width, cell_height, block_width, block_height) < 1:
         raise ValueError("bins, cell and block sizes must be at least 1")
     dims = ["image_id", "height", "width"]
-    px = images.select(*dims, F.explode(_gradients(cell_height, cell_width, bins)).alias("p")).select(
+    px = images.select(*dims, F.explode_outer(_gradients(cell_height, cell_width, bins)).alias("p")).select(
         *dims, "p.cell", F.sqrt("p.g.sq").alias("mag"), F.degrees(F.atan2("p.g.gy", "p.g.gx")).alias("deg")
     )
     angle = F.pmod(F.col("deg"), F.lit(180.0))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foldmeter.operators.ranks import rank_by_key, rank_shuffled
 from foldmeter.session import broadcast_if_small
+from foldmeter.sources.checks import require_complete
 
 
 def _block(rank: Column, n: Column, k: int) -> Column:
@@ -65,9 +66,10 @@ def _step_numbers(ids: DataFrame) -> DataFrame:
 
 
 def prepared_sets(df: DataFrame, attribute: str) -> DataFrame:
-    """``7`` marks a train row and ``7t`` a test row of the step with number 7."""
+    """``7`` marks a train row and ``7t`` a test row of the step with number 7.  A row without a mark is an error."""
     if attribute not in df.columns:
         raise ValueError(f"no attribute {attribute}")
+    require_complete(df, [[attribute]])
     mark = F.trim(F.col(attribute).cast("string"))
     is_test = mark.endswith("t")
     marked = df.select(
@@ -93,9 +95,10 @@ def check_steps(splits: DataFrame) -> None:
 
 
 def prepared_folds(df: DataFrame, attribute: str) -> DataFrame:
-    """The attribute's distinct numbers are the folds, ascending."""
+    """The attribute's distinct numbers are the folds, ascending.  A row without a number is an error."""
     if attribute not in df.columns:
         raise ValueError(f"no attribute {attribute}")
+    require_complete(df, [[attribute]])
     keyed = df.withColumn("_id", F.col(attribute).cast("double"))
     steps = _step_numbers(keyed.select("_id")).withColumnRenamed("step", "fold")
     return keyed.join(broadcast_if_small(steps), "_id").drop("_id")

@@ -11,7 +11,7 @@ from foldmeter.operators import class_stats
 from foldmeter.operators.features import attribute_row
 from foldmeter.operators.subset import first_per_class, without_classes
 from foldmeter.plans.config import Experiment
-from foldmeter.sources.checks import require_rows
+from foldmeter.sources.checks import require_complete, require_rows
 
 
 @dataclass
@@ -32,10 +32,11 @@ def working_set(df: DataFrame, config: Experiment) -> DataFrame:
 
 
 def profile(df: DataFrame, config: Experiment) -> Profile:
-    """One aggregation for the classes, one per attribute for its features."""
+    """One aggregation for the classes, one per attribute for its features.  A missing cell of an attribute is an error."""
     original = class_stats.class_counts(df, config.label).persist()
     rows = working_set(df, config).persist()
     require_rows(rows)
+    require_complete(rows, [list(config.attributes), ["label"]])
     stats = class_stats.merge_counts(original, class_stats.class_counts(rows)).persist()
     n = rows.count()
     attributes = None

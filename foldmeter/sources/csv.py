@@ -40,6 +40,14 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
 
 
 def write_csv(df: DataFrame, path: str, columns: Iterable[str] | None = None) -> None:
-    """Write the chosen columns with a header, as a folder of part files."""
+    """Write the chosen columns with a header, as a folder of part files.
+
+    White space stays as it is.  Empty and missing text is written as ``""``, so that no row becomes a blank line.
+    """
     out = df.select(*columns) if columns is not None else df
-    out.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    if len(out.columns) == 1:
+        out = out.select(F.col(out.columns[0]).cast("string"))
+    text = [f.name for f in out.schema.fields if isinstance(f.dataType, T.StringType)]
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in text}) if text else out
+    options = dict(header=True, quote='"', escape='"', emptyValue='""')
+    out.write.options(**options, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

@@ -94,3 +94,31 @@ def test_images_to_gradient_features(spark, tmp_path):
     bad = spark.createDataFrame([(0, "A", "none.png")], "row_id bigint, label string, img string")
     with pytest.raises(Exception, match="no readable image"):
         paths.image_attribute(bad, "img", str(tmp_path)).select(F.col("img.height")).collect()
+
+
+def test_csv_keeps_cells_and_rows(spark, tmp_path):
+    cells = [" a ", "b  ", "\tq", "", None, 'x "y", z']
+    csv.write_csv(spark.createDataFrame([(c,) for c in cells], "v string").coalesce(1), str(tmp_path / "one"))
+    assert sorted(r.v for r in csv.read_csv(spark, str(tmp_path / "one")).collect()) == sorted(c or "" for c in cells)
+
+
+def test_missing_marks_and_numbers_stop(spark):
+    from foldmeter.operators import extractors, splits
+    from foldmeter.plans.config import Experiment
+    from foldmeter.plans.profile import profile
+
+    df = spark.createDataFrame([(0, "a", "1", 1.0), (1, "b", None, None), (2, "a", "1t", 3.0)], "row_id long, label string, mark string, x double")
+    for fn in (splits.prepared_sets, splits.prepared_folds):
+        with pytest.raises(ValueError, match="row 1"):
+            fn(df, "mark")
+    with pytest.raises(ValueError, match="row 1"):
+        profile(df, Experiment(label="label", attributes={"x": extractors.Pass()}))
+
+
+def test_small_images_stay(spark):
+    from foldmeter.operators import hog
+
+    images = [(1, 16, 16, 1, [float(i % 7) for i in range(256)]), (2, 3, 3, 1, [1.0] * 9), (3, 0, 0, 1, [])]
+    df = spark.createDataFrame(images, "image_id long, height int, width int, channels int, pixels array<double>")
+    got = {r.image_id: len(r.features) for r in hog.hog_features(df, 9, 8, 8, 2, 2).collect()}
+    assert got == {1: 36, 2: 0, 3: 0}
