@@ -22,8 +22,8 @@ from foldmeter.llm.repeats import _prepared, removed_words
 from foldmeter.llm.words import _BYTES, _VALUE, mix, signed, spans, text_bytes
 from foldmeter.session import broadcast_if_small, cut_lineage
 
-#: Bytes of the strings that anchors are chosen from.
-GRAM = 12
+#: Bytes of the strings that anchors are chosen from.  Longer ones give more anchors, but fewer that unrelated texts share.
+GRAM = 32
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
