@@ -165,10 +165,10 @@ class SVM(Classifier):
         n = train.count()
         if self.kernel != "linear":
             mapping = linear.KernelMap.fit(dense(train), self.kernel, self.landmarks, self.random_seed)
-            mapped = linear.training_frame(vectors(mapping.transform(dense(train))), n)
+            mapped = vectors(mapping.transform(dense(train))).persist()
             model = linear.linear_svm(n, self.c, self.max_iter).fit(mapped)
             return Fitted(lambda test: _codes(model.transform(vectors(mapping.transform(dense(test))))))
-        model = linear.linear_svm(n, self.c, self.max_iter).fit(linear.training_frame(vectors(train), n))
+        model = linear.linear_svm(n, self.c, self.max_iter).fit(vectors(train).persist())
         matrix = linear.coefficients(model)
 
         def predict(test: DataFrame) -> DataFrame:

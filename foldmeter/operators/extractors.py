@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +22,8 @@ from foldmeter.operators.features import to_long
 from foldmeter.session import has_at_most
 from foldmeter.sources.paths import image_pixels
 
-#: Widest vector column; beyond it use the long form, ``max_features`` or hashing.
-MAX_VECTOR_WIDTH = 1 << 18
+#: Vocabularies of at most so many terms go to every task; vectors of wider ones are grouped from the long form.
+BROADCAST_TERMS = 1 << 18
 
 
 @dataclass
@@ -104,6 +104,11 @@ class Tfidf:
         return FittedTfidf(attribute, model)
 
 
+def _sparse(width: int):
+    """Column function from indices and values to a sparse vector; null is all zeros."""
+    return F.udf(lambda ix, v: Vectors.sparse(width, ix or [], v or []), VectorUDT(), useArrow=False)
+
+
 class FittedTfidf:
     def __init__(self, attribute: str, model: text.Tfidf):
         self.attribute, self.model = attribute, model
@@ -114,15 +119,9 @@ class FittedTfidf:
         return self.model.width()
 
     def _vocabulary(self) -> list[tuple[str, float]]:
-        """Terms and weights for the vector form, at most MAX_VECTOR_WIDTH."""
+        """Terms and weights in feature order."""
         if self._terms is None:
-            vocab = self.model.vocab
-            if not has_at_most(vocab, MAX_VECTOR_WIDTH):
-                raise ValueError(
-                    f"attribute {self.attribute}: more than {MAX_VECTOR_WIDTH} terms do not fit a vector; "
-                    "set max_features or use hashing"
-                )
-            self._terms = [(r["term"], r["idf"]) for r in vocab.orderBy("feature_ix").collect()]
+            self._terms = [(r["term"], r["idf"]) for r in self.model.vocab.orderBy("feature_ix").collect()]
         return self._terms
 
     @property
@@ -130,6 +129,11 @@ class FittedTfidf:
         return [f"{self.attribute} : {t}" for t, _ in self._vocabulary()]
 
     def vector(self, df: DataFrame, out: str) -> DataFrame:
+        if not has_at_most(self.model.vocab, BROADCAST_TERMS):
+            entry = F.struct("feature_ix", "value")
+            grouped = self.long(df).groupBy("row_id").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+            sparse = _sparse(self.width)("_entries.feature_ix", "_entries.value")
+            return df.join(grouped, "row_id", "left").withColumn(out, sparse).drop("_entries")
         terms, weights = zip(*self._vocabulary()) if self._vocabulary() else ((), ())
         words = df.withColumn("_words", tokens(F.col(self.attribute), self.model.lowercase))
         counter = CountVectorizerModel.from_vocabulary(list(terms), inputCol="_words", outputCol="_counts")

@@ -11,18 +11,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.session import broadcast_if_small, shuffle_width
+from foldmeter.session import broadcast_if_small
 
 # Kernels a machine may use.
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 
 
-def training_frame(df: DataFrame, n_rows: int, rows_per_task: int = 10_000) -> DataFrame:
-    """Cached frame for iterative fitting; few rows are not spread over many tiny tasks."""
-    wanted = max(1, n_rows // rows_per_task)
-    return df.coalesce(wanted).persist() if wanted < shuffle_width(df.sparkSession) else df.persist()
-
-
 def linear_svm(n_rows: int, c: float = 1.0, max_iter: int = 100, tol: float = 1e-4, parallelism: int = 4) -> OneVsRest:
     """One linear machine per class; the penalty ``c`` is per row as in a summed loss.
 
@@ -145,7 +139,7 @@ def kernel_svm_predict(
     """(row_id, predicted_ix) of dense test rows."""
     mapping = KernelMap.fit(train, kernel, n_landmarks, seed)
     n = train.count()
-    a = training_frame(mapping.transform(train).withColumn("features", array_to_vector("features")), n)
+    a = mapping.transform(train).withColumn("features", array_to_vector("features")).persist()
     b = mapping.transform(test).withColumn("features", array_to_vector("features"))
     model = linear_svm(n, max_iter=max_iter).fit(a)
     return model.transform(b).select("row_id", F.col("prediction").cast("int").alias("predicted_ix"))

@@ -1,8 +1,10 @@
 """Dense neural network, trained by one Spark job per epoch.
 
-In an epoch every partition runs mini-batch Adam on its own rows, starting from
-the shared weights; weights and moments are then averaged, weighted by rows.
-With one partition this is ordinary mini-batch training.
+Rows are dealt to shards by the hash of their id.  In an epoch every shard runs
+mini-batch Adam on its own rows, starting from the shared weights; weights and
+moments are then averaged, weighted by rows.  Shards, and so the result, depend
+on the ids and on ``rows_per_shard``, not on how the input was partitioned.  With
+one shard this is ordinary mini-batch training.
 """
 
 from __future__ import annotations
@@ -105,66 +107,73 @@ class NeuralNetwork:
     learning_rate: float = 0.001
     out_activation: str = "softmax"
     log: bool = True
+    rows_per_shard: int = 8192
 
     def __post_init__(self):
-        if self.epochs < 1 or self.batch_size < 1 or self.learning_rate <= 0:
-            raise ValueError("epochs and batch_size must be at least 1, learning_rate positive")
+        if min(self.epochs, self.batch_size, self.rows_per_shard) < 1 or self.learning_rate <= 0:
+            raise ValueError("epochs, batch_size and rows_per_shard must be at least 1, learning_rate positive")
         if self.out_activation not in ACTIVATIONS:
             raise ValueError(f"out_activation must be one of {ACTIVATIONS}")
 
     def fit(self, train: DataFrame, n_classes: int | None = None) -> FittedNetwork:
         """``train`` is (row_id, label_ix, features)."""
-        from foldmeter.operators.linear import training_frame
-
         facts = train.agg(F.count("*").alias("n"), F.max("label_ix").alias("c"), F.max(F.size("features")).alias("d")).first()
         classes = n_classes or facts["c"] + 1
         sizes = [facts["d"], *[h.neurons for h in self.hidden], classes]
         net = _Net(sizes, [*[h.activation for h in self.hidden], self.out_activation])
-        rows = training_frame(train.select("row_id", "label_ix", "features"), facts["n"])
+        shards = max(1, -(-facts["n"] // self.rows_per_shard))
+        shard = F.pmod(F.xxhash64("row_id"), F.lit(shards)).alias("shard")
+        rows = train.select("row_id", "label_ix", "features", shard).repartition("shard").persist()
+        groups = int(np.ceil(np.sqrt(shards)))
         params = net.start(self.random_seed)
         state = np.concatenate([params, np.zeros(2 * net.n_params), [0.0]])
         history = []
         for epoch in range(self.epochs):
-            state, loss, accuracy = self._epoch(rows, net, state, epoch)
+            state, loss, accuracy = self._epoch(rows, net, state, epoch, groups)
             history.append((epoch + 1, loss, accuracy))
         rows.unpersist()
         return FittedNetwork(net, state[: net.n_params], history if self.log else [])
 
-    def _epoch(self, rows: DataFrame, net: _Net, state: np.ndarray, epoch: int) -> tuple[np.ndarray, float, float]:
+    def _epoch(self, rows: DataFrame, net: _Net, state: np.ndarray, epoch: int, groups: int) -> tuple[np.ndarray, float, float]:
         spark = rows.sparkSession
         shared = spark.sparkContext.broadcast((net, state, self.batch_size, self.learning_rate))
         order = np.random.default_rng([self.random_seed or 0, epoch]).integers(1 << 31)
 
-        def train_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
             net, state, size, rate = shared.value
             p = net.n_params
             w, m, v, t = state[:p].copy(), state[p : 2 * p].copy(), state[2 * p : 3 * p].copy(), state[-1]
-            n, loss, right = 0, 0.0, 0
-            for pdf in batches:
-                shuffled = np.random.default_rng([int(order), len(pdf)]).permutation(np.argsort(pdf.row_id.to_numpy()))
-                x, y = np.vstack(pdf.features.to_list()), pdf.label_ix.to_numpy()
-                for s in range(0, len(pdf), size):
-                    pick = shuffled[s : s + size]
-                    g, batch_loss, batch_right = net.gradient(w, x[pick], y[pick])
-                    t += 1
-                    m = BETA1 * m + (1 - BETA1) * g
-                    v = BETA2 * v + (1 - BETA2) * g * g
-                    step = rate * np.sqrt(1 - BETA2**t) / (1 - BETA1**t)
-                    w = w - step * m / (np.sqrt(v) + ADAM_EPS)
-                    n, loss, right = n + len(pick), loss + batch_loss, right + batch_right
-            if n:
-                yield pd.DataFrame({"n": [n], "loss": [loss], "hits": [right], "state": [np.concatenate([w, m, v, [t]])]})
-
-        parts = rows.mapInPandas(train_part, "n bigint, loss double, hits bigint, state array<double>")
-        flat = parts.select("n", "loss", "hits", F.posexplode("state").alias("i", "x"))
-        mean = flat.groupBy("i").agg(
-            (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"),
-            (F.sum("loss") / F.sum("n")).alias("loss"),
-            (F.sum("hits") / F.sum("n")).alias("accuracy"),
-        )
-        got = mean.orderBy("i").toPandas()  # one row per weight
+            shard = int(pdf.shard.iloc[0])
+            loss, right = 0.0, 0
+            shuffled = np.argsort(pdf.row_id.to_numpy())[np.random.default_rng([int(order), shard]).permutation(len(pdf))]
+            x, y = np.vstack(pdf.features.to_list()), pdf.label_ix.to_numpy()
+            for s in range(0, len(pdf), size):
+                pick = shuffled[s : s + size]
+                g, batch_loss, batch_right = net.gradient(w, x[pick], y[pick])
+                t += 1
+                m = BETA1 * m + (1 - BETA1) * g
+                v = BETA2 * v + (1 - BETA2) * g * g
+                step = rate * np.sqrt(1 - BETA2**t) / (1 - BETA1**t)
+                w = w - step * m / (np.sqrt(v) + ADAM_EPS)
+                loss, right = loss + batch_loss, right + batch_right
+            total = len(pdf) * np.concatenate([w, m, v, [t]])
+            return pd.DataFrame({"part": [shard], "n": [len(pdf)], "loss": [loss], "hits": [right], "total": [total]})
+
+        def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+            """Sums in a fixed order."""
+            pdf = pdf.sort_values("part")
+            total = np.add.reduce([np.asarray(x) for x in pdf.total])
+            sums = {c: [pdf[c].sum()] for c in ("n", "loss", "hits")}
+            return pd.DataFrame({"part": [pdf.group.iloc[0]], **sums, "total": [total]})
+
+        kind = "part bigint, n bigint, loss double, hits bigint, total array<double>"
+        parts = rows.groupBy("shard").applyInPandas(train_shard, kind)
+        # the square root of the shards' number meets in one task, twice
+        for group in (F.pmod("part", F.lit(groups)), F.lit(0).cast("bigint")):
+            parts = parts.withColumn("group", group).groupBy("group").applyInPandas(add_up, kind)
+        got = parts.first()
         shared.unpersist()
-        return got.x.to_numpy(), float(got.loss[0]), float(got.accuracy[0])
+        return np.array(got.total) / got.n, got.loss / got.n, got.hits / got.n
 
 
 @dataclass

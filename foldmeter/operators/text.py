@@ -91,11 +91,9 @@ def _bind(value: Column, body) -> Column:
 def term_rows(df: DataFrame, text: str = "text", lowercase: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(row_id, keep..., term, tf).
 
-    The texts are spread by ``row_id`` before they are split: that one shuffle
-    also serves the counts and any later per-row norm.
+    A text is split and counted where it was read; only its counts are shuffled.
     """
-    spread = df.select("row_id", *keep, text).repartition("row_id")
-    words = spread.select("row_id", *keep, F.explode(tokens(F.col(text), lowercase)).alias("term"))
+    words = df.select("row_id", *keep, F.explode(tokens(F.col(text), lowercase)).alias("term"))
     return words.groupBy("row_id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
@@ -216,11 +214,10 @@ def hashed_features(
 ) -> DataFrame:
     """Term counts summed into ``n_features`` signed (or plain) buckets.
 
-    Texts are spread by ``row_id`` once, which serves the bucket sums and the norm.
+    A text is split and summed where it was read; only its sums are shuffled.
     """
     check_hashing(n_features, norm)
-    spread = df.select("row_id", *keep, text).repartition("row_id")
-    words = spread.select("row_id", *keep, F.explode(tokens(F.col(text), not case_sensitive)).alias("term"))
+    words = df.select("row_id", *keep, F.explode(tokens(F.col(text), not case_sensitive)).alias("term"))
     value = F.lit(1.0) if non_negative else term_sign(F.col("term"), method)
     summed = words.groupBy("row_id", *keep, term_bucket(F.col("term"), n_features, method).alias("feature_ix")).agg(
         F.sum(value).alias("value")

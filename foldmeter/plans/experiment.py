@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import TypeVar
 
 from pyspark.ml.feature import VectorAssembler
@@ -103,7 +104,10 @@ def _extract(fitted: list, df: DataFrame) -> DataFrame:
     for i, f in enumerate(fitted):
         columns.append(f"_f{i}")
         df = f.vector(df, columns[-1])
-    stacked = VectorAssembler(inputCols=columns, outputCol="_stacked").transform(df)
+    if len(columns) == 1:
+        stacked = df.withColumnRenamed(columns[0], "_stacked")
+    else:
+        stacked = VectorAssembler(inputCols=columns, outputCol="_stacked").transform(df)
     return stacked.select("row_id", "label", "label_ix", F.col("_stacked").alias("features"))
 
 
@@ -138,7 +142,6 @@ def run_experiment(df: DataFrame, config: Experiment) -> ResultTables:
             return fitted, _force(_extract(fitted, train_rows))
 
         fitted, train = clock.run(step, names, "train_extraction", fit_and_extract)
-        feature_names = [n for f in fitted for n in f.names]
 
         def fit_selectors():
             frame, models = train, []
@@ -157,9 +160,11 @@ def run_experiment(df: DataFrame, config: Experiment) -> ResultTables:
             return _force(frame) if selectors else frame
 
         tested = clock.run(step, names, "test_selection", apply_selectors)
-        for model in selectors:
-            feature_names = model.names(feature_names)
-        stats.append((step, selected.count(), tested.count(), len(feature_names)))
+        width = len(selectors[-1].indices) if selectors else sum(f.width for f in fitted)
+        stats.append((step, selected.count(), tested.count(), width))
+
+        def feature_names():
+            return reduce(lambda names, s: s.names(names), selectors, [n for f in fitted for n in f.names])
 
         for classifier in config.classifiers:
             name = classifier.name
@@ -191,12 +196,12 @@ def run_experiment(df: DataFrame, config: Experiment) -> ResultTables:
 _TOP = "array<struct<name:string,importance:double>>"
 
 
-def _named(codes: DataFrame, names: list[str]) -> DataFrame:
-    """(row_id, predicted_ix, top with feature names)."""
+def _named(codes: DataFrame, names: Callable[[], list[str]]) -> DataFrame:
+    """(row_id, predicted_ix, top with feature names); the names are asked for only if there is a top."""
     if "top" not in codes.columns:
         return codes.select("row_id", "predicted_ix", F.lit(None).cast(_TOP).alias("top"))
     spark = codes.sparkSession
-    table = spark.createDataFrame(list(enumerate(names)), "feature_ix int, name string")
+    table = spark.createDataFrame(list(enumerate(names())), "feature_ix int, name string")
     flat = codes.select("row_id", "predicted_ix", F.posexplode_outer("top").alias("place", "t"))
     named = flat.join(table, flat["t.feature_ix"] == table["feature_ix"], "left")
     item = F.struct("place", "name", F.col("t.importance").alias("importance"))
@@ -234,7 +239,7 @@ def _left_out(rows: DataFrame, config: Experiment, mapping: DataFrame, classifie
             "step", F.lit(classifier.name).alias("classifier"), "row_id", "real", "predicted", F.lit(None).cast(_TOP).alias("top")
         ).write.parquet(path)
         predicted.append(path)
-    width = len([x for f in fitted for x in f.names])
+    width = sum(f.width for f in fitted)
     stats = steps.select(
         "step", F.lit(n - 1).cast("bigint").alias("n_train"), F.lit(1).cast("bigint").alias("n_test"),
         F.lit(width).cast("bigint").alias("n_features"),
