@@ -148,21 +148,21 @@ def proto_fitness(spark, sf_dir):
 @query("proto_train")
 def proto_train(spark, sf_dir):
     df = dense(spark, sf_dir).persist()
-    model = evolve.EvolvedPrototypes(generations=3, population=4, random_seed=1, max_start_slots=3).fit(df)
+    model = evolve.EvolvedPrototypes(random_seed=1).fit(df)
     return model.predict(df)
 
 
 def _network(train):
     scaler = scaling.min_max(train, -1, 1)
-    net = NeuralNetwork([Layer(32, "relu"), Layer(16, "sigmoid")], random_seed=1, epochs=3)
+    net = NeuralNetwork([Layer(32, "relu"), Layer(16, "sigmoid")], random_seed=1)
     return scaler, net.fit(scaler.transform(train), 10)
 
 
 @query("mlp_cv")
 def mlp_cv(spark, sf_dir):
-    df = splits.stratified_k_fold(dense(spark, sf_dir), 2).persist()
+    df = splits.stratified_k_fold(dense(spark, sf_dir), 5).persist()
     out = None
-    for step in range(2):
+    for step in range(5):
         train, test = splits.fold_roles(df, step)
         scaler, model = _network(train)
         part = model.predict(scaler.transform(test))

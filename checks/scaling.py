@@ -137,6 +137,6 @@ def select_chain(spark, sf_dir):
 def select_tree(spark, sf_dir):
     train, rows = _split(spark, sf_dir)
     vectors = train.withColumn("features", array_to_vector("features"))
-    model = selection.TreeSelector(seed=1, max_depth=5).fit(vectors)
+    model = selection.TreeSelector(seed=1).fit(vectors)
     chosen = model.transform(rows.withColumn("features", array_to_vector("features")))
     return chosen.select("row_id", vector_to_array("features").alias("features"))
