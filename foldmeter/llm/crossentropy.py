@@ -1,9 +1,10 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model.
 
 Both are bigram models over one vocabulary with the same smoothing, the target counted on the documents marked as such, the
-background on all.  Words and bigrams are counted over the whole corpus by grouping.  The vocabulary are the words with at
-least ``least_share`` of all tokens, so it has at most ``1 / least_share`` entries whatever the corpus; bigrams are kept by
-the same rule, rarer ones back off to their word.  Those two bounded tables are broadcast and all texts scored in place.
+background on all.  Every word and every bigram of the corpus is in the models.  Those with at least ``least_share`` of all
+tokens, at most ``1 / least_share`` of each, are broadcast and their tokens scored in place; all others stay in distributed
+tables, which grow with the corpus, and meet the documents' (row, bigram, count) in a shuffle.  No key of that shuffle is
+frequent, and where the border lies changes no score.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldmeter.llm.words import Words, signed, words
@@ -20,67 +21,129 @@ from foldmeter.session import broadcast_if_small, cut_lineage
 
 LEAST_SHARE = 1e-6
 KEPT = 0.7  # weight of the bigram's own estimate
+START = -1  # predecessor of a text's first word
 
 
-def _pairs(w: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose word and predecessor are both in the vocabulary, and the pair's key."""
-    first = np.zeros(len(ids), bool)
-    first[w.at[:-1][w.at[:-1] < len(ids)]] = True
-    here = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0) & ~first[1:]) + 1
-    return here, ids[here - 1] << 32 | ids[here]
-
-
-def _look_up(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Index in the sorted table, -1 if absent."""
+def _codes(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A word's index in the sorted table of frequent words, else its hash as a number below ``START``."""
+    rare = np.minimum(hashes | np.int64(-1 << 63), START - 1)
     if len(vocabulary) == 0:
-        return np.full(len(hashes), -1, np.int64)
+        return rare
     at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, -1)
+    return np.where(vocabulary[at] == hashes, at, rare)
+
+
+def _pairs(w: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per word: the code of its predecessor and its own."""
+    codes = _codes(vocabulary, signed(w.hash))
+    before = np.full(len(codes), START, np.int64)
+    before[1:] = codes[:-1]
+    before[w.at[:-1][w.at[:-1] < len(codes)]] = START
+    return before, codes
+
+
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by ``keys``, the first one leading, and where in it each group begins (one more entry at the end)."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([np.diff(k[order]) != 0 for k in keys], axis=0)
+    return order, np.r_[np.flatnonzero(new), len(order)]
 
 
 def _counter(shared):
-    """Counts of words, or of vocabulary bigrams if ``shared`` has a vocabulary: (key, all, target)."""
+    """Counts of words as (key, n, t), n in all and t in target documents, or of bigrams as (a, b, n, t) if given the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = None if shared is None else shared.value
         for batch in batches:
             chosen = np.asarray(batch.column("target").cast(pa.int8()))
             for w in words(batch.column("text"), fold=True):
-                if vocabulary is None:
-                    keys, of = signed(w.hash), w.doc
+                if shared is None:
+                    keys, of = {"key": signed(w.hash)}, w.doc
                 else:
-                    here, keys = _pairs(w, _look_up(vocabulary, signed(w.hash)))
-                    of = w.doc[here]
-                found, index = np.unique(keys, return_inverse=True)
-                mine = chosen[w.first + of] > 0
-                yield pa.record_batch(
-                    [
-                        pa.array(found),
-                        pa.array(np.bincount(index, minlength=len(found)).astype(np.int64)),
-                        pa.array(np.bincount(index[mine], minlength=len(found)).astype(np.int64)),
-                    ],
-                    ["key", "n", "t"],
-                )
+                    a, b = _pairs(w, shared.value)
+                    inner = a != START
+                    keys, of = {"a": a[inner], "b": b[inner]}, w.doc[inner]
+                order, at = _grouped(*keys.values())
+                mine = np.r_[0, np.cumsum(chosen[w.first + of][order] > 0)]
+                out = {k: pa.array(x[order[at[:-1]]]) for k, x in keys.items()}
+                out |= {"n": pa.array(np.diff(at).astype(np.int64)), "t": pa.array(np.diff(mine[at]).astype(np.int64))}
+                yield pa.record_batch(out)
 
     return run
 
 
-def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _collected(df: DataFrame) -> list[np.ndarray]:
+    """The columns, ordered by the first and then the second."""
     got = df.toArrow()
-    key, n, t = (np.asarray(got.column(c).combine_chunks()).astype(np.int64) for c in ("key", "n", "t"))
-    order = np.argsort(key)
-    return key[order], n[order], t[order]
+    columns = [np.asarray(got.column(c).combine_chunks()) for c in df.columns]
+    order = np.lexsort(columns[1::-1])
+    return [c[order] for c in columns]
 
 
-def token_losses(w: Words, model) -> np.ndarray:
-    """Per token: target loss minus background loss, in nats."""
-    vocabulary, word_gain, pair_keys, pair_gain = model
-    ids = _look_up(vocabulary, signed(w.hash))
-    out = word_gain[ids]  # the last entry is the unknown word
-    here, keys = _pairs(w, ids)
-    at = _look_up(pair_keys, keys)
-    out[here[at >= 0]] = pair_gain[at[at >= 0]]
-    return out
+def _with_counts(shared):
+    """Bigrams with the counts of both words, null where a word is rare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, t = shared.value
+        for batch in batches:
+            out = {c: batch.column(c) for c in ("a", "b", "n", "t")}
+            for c in ("a", "b"):
+                code = np.asarray(batch.column(c))
+                rare = code < 0
+                for name, counts in (("n", n), ("t", t)):
+                    found = np.zeros(len(code), np.int64)
+                    found[~rare] = counts[code[~rare]]
+                    out[c + name] = pa.array(found, mask=rare)
+            yield pa.record_batch(out)
+
+    return run
+
+
+def _completed(pairs: DataFrame, rare: DataFrame, c: str) -> DataFrame:
+    """``pairs`` with the counts of the rare words in ``c``; each has few bigrams, so no key of the join is frequent."""
+    counts = rare.select(F.col("code").alias(c), F.col("n").alias(f"{c}n"), F.col("t").alias(f"{c}t"))
+    joined = pairs.filter(F.col(c) < 0).drop(f"{c}n", f"{c}t").join(counts, c)
+    return pairs.filter(F.col(c) >= 0).unionByName(joined)
+
+
+def _scorer(shared):
+    """Per text: its number of tokens, the gain of those scored in place, and the other tokens' bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, word_gain, pair_keys, pair_gain = shared.value
+        for batch in batches:
+            for w in words(batch.column("text"), fold=True):
+                a, b = _pairs(w, vocabulary)
+                gain, done = np.zeros(len(b)), np.zeros(len(b), bool)
+                here = np.flatnonzero((a == START) & (b >= 0))
+                gain[here], done[here] = word_gain[b[here]], True
+                if len(pair_keys):
+                    here = np.flatnonzero((a >= 0) & (b >= 0))
+                    keys = a[here] << 32 | b[here]
+                    at = np.minimum(np.searchsorted(pair_keys, keys), len(pair_keys) - 1)
+                    hit = pair_keys[at] == keys
+                    gain[here[hit]], done[here[hit]] = pair_gain[at[hit]], True
+                total = np.r_[0.0, np.cumsum(gain)]
+                of, a, b = w.doc[~done], a[~done], b[~done]
+                order, at = _grouped(of, a, b)
+                first = order[at[:-1]]
+                rare = pa.StructArray.from_arrays(
+                    [pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(at).astype(np.int32))], ["a", "b", "c"]
+                )
+                offsets = np.searchsorted(of[first], np.arange(len(w.at))).astype(np.int32)
+                count = np.diff(w.at)
+                yield pa.record_batch(
+                    {
+                        "row": batch.column("row").slice(w.first, len(count)),
+                        "id": batch.column("id").slice(w.first, len(count)),
+                        "n_tokens": pa.array(count, pa.int64()),
+                        "gain": pa.array(total[w.at[1:]] - total[w.at[:-1]]),
+                        "rare": pa.ListArray.from_arrays(pa.array(offsets), rare),
+                    }
+                )
+
+    return run
 
 
 def cross_entropy_difference(
@@ -94,45 +157,47 @@ def cross_entropy_difference(
 
     ``target`` (id) names the target documents.  Words are cut at white space, A-Z lower-cased.  Null and empty texts have no
     tokens and a null score.  Repeated rows count and are scored one by one; without any target document both models differ
-    only by their smoothing.
+    only by their smoothing.  ``least_share`` only decides which words and bigrams are broadcast.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     marks = broadcast_if_small(cut_lineage(target.select(F.col("id").alias("_t")).filter("_t is not null").distinct()))
     marked = texts.join(marks, F.col("id") == F.col("_t"), "left").select("text", F.col("_t").isNotNull().alias("target"))
-    schema = "key long, n long, t long"
 
-    def totals(part: DataFrame) -> DataFrame:
-        return part.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    def totals(part: DataFrame, *keys: str) -> DataFrame:
+        return part.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
-    unigrams = cut_lineage(totals(marked.mapInArrow(_counter(None), schema)))
-    all_n, all_t = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    unigrams = cut_lineage(totals(marked.mapInArrow(_counter(None), "key long, n long, t long"), "key"))
+    size, all_n, all_t = unigrams.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     least = max(2.0, least_share * all_n)  # at most 1 / least_share entries reach it
-    vocabulary, n, t = _collected(unigrams.filter(F.col("n") >= least))
-    known = spark.sparkContext.broadcast(vocabulary)
-    bigrams = totals(marked.mapInArrow(_counter(known), schema)).filter(F.col("n") >= least)
-    pair_keys, pn, pt = _collected(bigrams)
-
-    size = len(vocabulary) + 1
-    words_n, words_t = np.r_[n, all_n - n.sum()], np.r_[t, all_t - t.sum()]
-    p_n, p_t = (words_n + 1) / (all_n + size), (words_t + 1) / (all_t + size)
-    before, after = pair_keys >> 32, pair_keys & 0xFFFFFFFF
-    q_n = KEPT * pn / np.maximum(n[before], 1) + (1 - KEPT) * p_n[after]
-    q_t = KEPT * pt / np.maximum(t[before], 1) + (1 - KEPT) * p_t[after]
-    model = (vocabulary, np.log(p_n / p_t), pair_keys, np.log(q_n / q_t))
-    shared = spark.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in words(batch.column("text"), fold=True):
-                count = np.diff(w.at)
-                c = np.r_[0.0, np.cumsum(token_losses(w, shared.value))]
-                mean = (c[w.at[1:]] - c[w.at[:-1]]) / np.maximum(count, 1)
-                yield pa.record_batch(
-                    [batch.column("id").slice(w.first, len(count)), pa.array(count, pa.int64()), pa.array(mean, mask=count == 0)],
-                    ["id", "n_tokens", "score"],
-                )
-
-    out = texts.mapInArrow(score, f"id {kind}, n_tokens long, score double")
-    return out.withColumnRenamed("id", id_column)
+    vocabulary, n, t = _collected(unigrams.filter(F.col("n") >= least).select("key", "n", "t"))
+    known, counts = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast((n, t))
+    code = F.least(F.col("key").bitwiseOR(F.lit(-1 << 63)), F.lit(START - 1).cast("long"))
+    rare = unigrams.filter(F.col("n") < least).select(code.alias("code"), "n", "t")
+
+    def share(c, total: int):
+        return (c + 1) / (total + size)
+
+    pairs = totals(marked.mapInArrow(_counter(known), "a long, b long, n long, t long"), "a", "b")
+    wide = "a long, b long, n long, t long, an long, at long, bn long, bt long"
+    pairs = cut_lineage(pairs.mapInArrow(_with_counts(counts), wide))
+
+    def loss(pair: Column, before: Column, after: Column, total: int) -> Column:
+        return KEPT * pair / F.greatest(before, F.lit(1)) + (1 - KEPT) * share(after, total)
+
+    pair_gain = F.log(loss(F.col("n"), F.col("an"), F.col("bn"), all_n) / loss(F.col("t"), F.col("at"), F.col("bt"), all_t))
+    word_gain = F.log(share(F.col("n"), all_n) / share(F.col("t"), all_t))
+    # a frequent bigram has frequent words
+    a, b, gain = _collected(pairs.filter(F.col("n") >= least).select("a", "b", pair_gain.alias("gain")))
+    model = (vocabulary, np.log(share(n, all_n) / share(t, all_t)), a << 32 | b, gain)
+    scorer = _scorer(spark.sparkContext.broadcast(model))
+
+    schema = f"row long, id {kind}, n_tokens long, gain double, rare array<struct<a: long, b: long, c: int>>"
+    scored = cut_lineage(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(scorer, schema))
+    gains = _completed(_completed(pairs.filter(F.col("n") < least), rare, "a"), rare, "b").select("a", "b", pair_gain.alias("own"))
+    gains = gains.unionByName(rare.select(F.lit(START).cast("long").alias("a"), F.col("code").alias("b"), word_gain.alias("own")))
+    sums = scored.select("row", F.inline("rare")).join(gains, ["a", "b"]).groupBy("row").agg(F.sum(F.col("c") * F.col("own")).alias("more"))
+    mean = F.when(F.col("n_tokens") > 0, (F.col("gain") + F.coalesce("more", F.lit(0.0))) / F.col("n_tokens"))
+    out = scored.select("row", "id", "n_tokens", "gain").join(sums, "row", "left")
+    return out.select(F.col("id").alias(id_column), "n_tokens", mean.alias("score"))

@@ -2,6 +2,8 @@
 
 import random
 import re
+from collections import Counter
+from math import log
 
 import pytest
 
@@ -159,3 +161,29 @@ def test_warc_round_trip(spark):
     assert all(got[i].payload == (h or "") for i, h in enumerate(html) if got[i].record_type == "response")
     assert got[3].payload_bytes == 10 and got[3].payload_digest == got[2].payload_digest
     assert pages_through_archives(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("least_share", [1e-6, 0.01, 1.0])
+def test_crossentropy_brute_force(spark, least_share):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{min(rng.randrange(1, 90), rng.randrange(1, 90))}" for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    texts += ["only here twice", texts[0], "", None, "W1 once"]
+    marked = {*range(0, 40, 4), 40}
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    target = spark.createDataFrame([(i,) for i in marked], "id long")
+    got = {r.doc_id: (r.n_tokens, r.score) for r in cross_entropy_difference(docs, target, least_share=least_share).collect()}
+    n, t = Counter(), Counter()
+    cut = [words_of((x or "").lower()) for x in texts]
+    for d, w in enumerate(cut):
+        for model in (n, t) if d in marked else (n,):
+            model.update(w)
+            model.update(zip(w, w[1:]))
+    size = sum(isinstance(k, str) for k in n)
+
+    def p(model, before, word):
+        alone = (model[word] + 1) / (sum(c for k, c in model.items() if isinstance(k, str)) + size)
+        return alone if before is None else 0.7 * model[before, word] / max(model[before], 1) + 0.3 * alone
+
+    for d, w in enumerate(cut):
+        gains = [log(p(n, a, b) / p(t, a, b)) for a, b in zip([None, *w], w)]
+        assert got[d] == (len(w), pytest.approx(sum(gains) / len(w), abs=1e-9) if w else None), d
