@@ -5,6 +5,9 @@ Everything is a column expression, a grouping or a join.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,28 +46,36 @@ def wildcard(segment: Column) -> Column:
     return F.concat(kind, extension)
 
 
-def templates(
-    pages: DataFrame, depth: int = 4, least_share: float = 0.02, least_pages: int = 20, z: float = 1.96
-) -> DataFrame:
+def templates(pages: DataFrame, depth: int = 4, least_labelled: int = 5, z: float = 1.96) -> DataFrame:
     """``pages`` (host, path, label, ...) with ``template``: the path with its variable segments generalised.
 
-    The tree grows level by level.  Below a node a segment stays as it is if enough of the node's pages have it, else it
-    becomes the wildcard of its kind.  Branches that stay are merged into ``<alike>`` where the share of good labels does not
-    differ from the node's by ``z`` standard errors.  What is deeper than ``depth`` is one wildcard.
+    The tree grows level by level.  Below a node a segment with ``least_labelled`` labelled pages or more, however small a part
+    of the node, stays as it is where its share of good labels differs from the node's by ``z`` standard errors, and becomes
+    ``<alike>`` where it does not; the others become the wildcard of their kind.  From level ``depth`` on only nodes that can
+    still have a branch that differs grow, those with more labels than ``least_labelled``, good and bad; below others the rest
+    of a path is one wildcard.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     out = pages.withColumns({"_segments": segments, "template": F.lit("")})
-    for level in range(depth):
+    ended = []
+    for level in count():
         out = out.withColumn("_segment", F.get("_segments", F.lit(level)))
         here = out.filter("_segment is not null")
-        good, known = F.sum(F.col("label").cast("long")), F.count("label")
-        node = here.groupBy("host", "template").agg(F.count("*").alias("n"), good.alias("g"), known.alias("k"))
-        branch = here.groupBy("host", "template", "_segment").agg(F.count("*").alias("bn"), good.alias("bg"), known.alias("bk"))
-        branch = cut_lineage(branch.filter(F.col("bn") >= least_pages))
-        both = branch.join(broadcast_if_small(cut_lineage(node)), ["host", "template"]).filter(F.col("bn") >= least_share * F.col("n"))
-        # add-one shares; the error of a branch of bk labels if it were like its node
-        p, q = (F.coalesce("g", F.lit(0)) + 1) / (F.col("k") + 2), (F.coalesce("bg", F.lit(0)) + 1) / (F.col("bk") + 2)
-        differs = F.abs(q - p) > z * F.sqrt(p * (1 - p) / (F.col("bk") + 2))
+        good, known = F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0)), F.count("label")
+        node = cut_lineage(here.groupBy("host", "template").agg(good.alias("g"), known.alias("k")))
+        if level >= depth:
+            grows = broadcast_if_small(cut_lineage(node.filter((F.col("g") > 0) & (F.col("g") < F.col("k")) & (F.col("k") > least_labelled))))
+            rest = here.join(grows, ["host", "template"], "left_anti").withColumn("template", F.concat("template", F.lit("/<rest>")))
+            ended += [out.filter("_segment is null"), rest]
+            if grows.isEmpty():
+                break
+            here = out = cut_lineage(here.join(grows, ["host", "template"], "left_semi"))
+        branch = here.groupBy("host", "template", "_segment").agg(good.alias("bg"), known.alias("bk"))
+        branch = cut_lineage(branch.filter(F.col("bk") >= least_labelled))
+        both = branch.join(broadcast_if_small(node), ["host", "template"])
+        # the error of a branch of bk labels if it were like its node; add-one, so that it is never 0
+        p = (F.col("g") + 1) / (F.col("k") + 2)
+        differs = F.abs(F.col("bg") / F.col("bk") - F.col("g") / F.col("k")) > z * F.sqrt(p * (1 - p) / F.col("bk"))
         stay = both.select(
             F.col("host").alias("_host"),
             F.col("template").alias("_template"),
@@ -76,8 +87,7 @@ def templates(
         step = F.concat("template", F.lit("/"), F.coalesce("_named", wildcard(F.col("_segment"))))
         out = out.withColumn("template", F.when(F.col("_segment").isNull(), F.col("template")).otherwise(step))
         out = out.drop("_host", "_template", "_own", "_named", "_segment")
-    deeper = F.when(F.size("_segments") > depth, F.concat("template", F.lit("/<rest>"))).otherwise(F.col("template"))
-    return out.withColumn("template", deeper).drop("_segments")
+    return reduce(DataFrame.unionByName, ended).drop("_segments", "_segment")
 
 
 def url_filter(

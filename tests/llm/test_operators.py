@@ -187,3 +187,22 @@ def test_crossentropy_brute_force(spark, least_share):
     for d, w in enumerate(cut):
         gains = [log(p(n, a, b) / p(t, a, b)) for a, b in zip([None, *w], w)]
         assert got[d] == (len(w), pytest.approx(sum(gains) / len(w), abs=1e-9) if w else None), d
+
+
+def verdicts(spark, urls):
+    pages = spark.createDataFrame([(i, u, label) for i, (u, label) in enumerate(urls)], "page_id long, url string, label int")
+    return {r.url: r.verdict for r in url_filter(pages, [("allow", "none.org", "/")]).collect()}
+
+
+def test_small_bad_branch_of_a_hot_host(spark):
+    urls = [(f"http://hot.com/s{i % 80}/{i}", int(i % 49 > 0)) for i in range(4000)]
+    bad = [(f"http://hot.com/bad/{i}", 0) for i in range(60)]
+    got = verdicts(spark, urls + bad)
+    assert all(got[u] == "block" for u, _ in bad) and all(got[u] == "allow" for u, _ in urls)
+
+
+def test_bad_branch_below_the_fourth_segment(spark):
+    urls = [(f"http://deep.com/a/b/c/d/e/good/{i}", 1) for i in range(300)]
+    bad = [(f"http://deep.com/a/b/c/d/e/bad/{i}", 0) for i in range(60)]
+    got = verdicts(spark, urls + bad)
+    assert all(got[u] == "block" for u, _ in bad) and all(got[u] == "allow" for u, _ in urls)
