@@ -152,7 +152,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
-    ("allow", "example.org", "/en/1"),
+    ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
