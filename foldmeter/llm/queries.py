@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from foldmeter.llm.bytes import byte_dedup
 from foldmeter.llm.crossentropy import cross_entropy_difference
 from foldmeter.llm.decontaminate import contamination
+from foldmeter.llm.importance import importance_resample
 from foldmeter.llm.jaccard import ngram_jaccard
 from foldmeter.llm.mix import mix_sources
 from foldmeter.llm.neighbours import neighbour_quality
+from foldmeter.llm.periodic import periodic_runs
 from foldmeter.llm.repeats import substring_dedup
 from foldmeter.llm.rules import line_frequency_rules
 from foldmeter.llm.text import word_array
@@ -174,3 +176,41 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 50-byte strings that a document of smaller id has too are removed."""
     kept = byte_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the benchmark's word features."""
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; in a tenth of the texts, chosen by the id, a part of the words repeats to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", word_array(F.col("text")).alias("w"), h.alias("h"), F.floor(h / 10).alias("g"))
+    n, g = F.size("w"), F.col("g")
+    a = F.when(n > 0, g % n).otherwise(0).cast("int")
+    p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+    cycle = F.slice("w", a + 1, p)
+    again = F.slice(F.flatten(F.array_repeat(cycle, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), a), again), " ")
+    return words.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodic words of every document, the longest one, and the words left when each run keeps one period."""
+    found = periodic_runs(with_planted_repeats(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, F.concat(r.period.cast("string"), F.lit("\n"))))
+    return found.withColumn("top", longest).select(
+        "doc_id",
+        "n_words",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.start")).cast("long").alias("start"),
+        F.col("top.length").cast("long").alias("length"),
+        (-F.col("top.period")).cast("long").alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
