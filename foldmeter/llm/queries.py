@@ -12,6 +12,7 @@ from foldmeter.llm.importance import importance_resample
 from foldmeter.llm.jaccard import ngram_jaccard
 from foldmeter.llm.mix import mix_sources
 from foldmeter.llm.neighbours import neighbour_quality
+from foldmeter.llm.pagetext import main_text
 from foldmeter.llm.periodic import periodic_runs
 from foldmeter.llm.repeats import substring_dedup
 from foldmeter.llm.rules import line_frequency_rules
@@ -184,6 +185,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
 
 
+@query("op12_html_extraction")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page by its host's template."""
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def with_planted_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text``; in a tenth of the texts, chosen by the id, a part of the words repeats to the end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
