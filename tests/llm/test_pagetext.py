@@ -41,7 +41,7 @@ def test_class_orders():
 
 def page(i, rng):
     words = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
-    items = "".join(f"<li><a href='/{k}'>{words(2)}</a></li>" for k in range(rng.randrange(2, 6)))
+    items = "".join(f"<li><div><a href='/{k}'>{words(2)}</a></div></li>" for k in range(rng.randrange(2, 6)))
     text = words(40)
     source = f"<html><body><div>Daily Herald</div><ul>{items}</ul><div>Best news since 1901</div><div><p>{text}</p></div><div>All rights kept</div></body></html>"
     return source, text
