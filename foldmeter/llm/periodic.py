@@ -11,8 +11,8 @@ cluster.
 A tile.  Boundaries stand every Q/2 words.  The first boundary inside an interval is followed by at least 2.5Q places of
 it, so it shows as two equal windows at distance q; equal window hashes only propose.  A proposal is settled by the words
 themselves: the Z-function forward from the boundary and the one backward from it give, for all periods of the octave at
-once, how far the words agree.  A boundary inside an interval already known for its period needs no further work, which
-keeps texts of one repeated word linear.
+once, how far the words agree.  Of neighbouring boundaries proposed for one period only the first is settled: they share an
+interval, which keeps texts of one repeated word linear.
 
 Stitching.  Fragments are shuffled by (document, period); those that overlap or touch are one interval.  Of equal
 stretches the smallest period stays, which is the smallest period of the words.
@@ -21,7 +21,9 @@ stretches the smallest period stays, which is the smallest period of the words.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -122,26 +124,29 @@ def solve(codes: np.ndarray, at: np.ndarray, lowest: int = 1, highest: int | Non
 
 def _settle(codes: np.ndarray, at: np.ndarray, b: np.ndarray, q: np.ndarray, q0: int, step: int) -> list[tuple[int, int, int, int]]:
     """Exact intervals around the proposed boundaries."""
-    order = np.lexsort((q, b))
+    order = np.lexsort((b, q))
     b, q = b[order], q[order]
     text = np.searchsorted(at, b, side="right") - 1
-    out, i = [], 0
+    # neighbouring boundaries proposed for one period lie in one interval: the first of them finds it
+    first = np.ones(len(b), bool)
+    first[1:] = (q[1:] != q[:-1]) | (text[1:] != text[:-1]) | (b[1:] != b[:-1] + step)
+    b, q, text = b[first], q[first], text[first]
+    order = np.argsort(b, kind="stable")
+    b, q, text = b[order].tolist(), q[order].tolist(), text[order].tolist()
+    out, i, of, x = [], 0, -1, []
     while i < len(b):
-        t = int(text[i])
-        first, x, known = int(at[t]), codes[at[t] : at[t + 1]].tolist(), {}
-        while i < len(b) and text[i] == t:
-            place, j = int(b[i]) - first, i
-            while j < len(b) and b[j] == b[i]:
-                j += 1
-            open_ = [int(p) for p in q[i:j] if known.get(int(p), 0) <= place]
-            if open_:
-                ahead, behind = _around(x, place, q0, min(step, place))
-                for p in open_:
-                    start, stop = place - behind[p - q0], place + ahead[p - q0]
-                    if stop - start >= least_places(p):
-                        known[p] = stop
-                        out.append((t, p, start, stop))
-            i = j
+        t, start = text[i], int(at[text[i]])
+        if t != of:
+            of, x = t, codes[start : int(at[t + 1])].tolist()
+        place, j = b[i] - start, i
+        while j < len(b) and b[j] == b[i]:
+            j += 1
+        ahead, behind = _around(x, place, q0, min(step, place))
+        for p in q[i:j]:
+            a, z = place - behind[p - q0], place + ahead[p - q0]
+            if z - a >= least_places(p):
+                out.append((t, p, a, z))
+        i = j
     return out
 
 
@@ -154,8 +159,10 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], bytes]]:
         yield i, (text or b"").split(), key
 
 
-def _coded(words: list[bytes], names: dict) -> list[int]:
-    return [names.setdefault(w, len(names)) for w in words]
+def _coded(texts: list[list[bytes]]) -> np.ndarray:
+    """Equal numbers for equal words."""
+    names = defaultdict(count().__next__)
+    return np.fromiter(map(names.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
 
 
 def _scan_short(batches):
@@ -163,8 +170,7 @@ def _scan_short(batches):
 
     def flush(batch, rows):
         at = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]).astype(np.int64)
-        names: dict = {}
-        codes = np.array([c for r in rows for c in _coded(r[1], names)], np.int64)
+        codes = _coded([r[1] for r in rows])
         fragments: list[list] = [[] for _ in rows]
         for t, p, start, stop in solve(codes, at):
             fragments[t].append({"period": p, "start": start, "stop": stop})
@@ -211,7 +217,7 @@ def _explode_long(tile_words: int):
             for i, words, key in _words(batch):
                 own = batch.column(0).slice(i, 1)
                 yield _long_rows(own, key, 0, 0, 0, len(words), b" ".join(words).decode(), None)
-                codes = np.array(_coded(words, {}), np.int32)
+                codes = _coded([words]).astype(np.int32)
                 for lowest, highest, start, stop in tiles_of(len(words), tile_words):
                     yield _long_rows(own, key, lowest, highest, start, len(words), None, codes[start:stop].tobytes())
 
