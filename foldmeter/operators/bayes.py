@@ -196,3 +196,59 @@ def multinomial_cross_validated(rows: DataFrame, features: DataFrame, folds: int
     return joined.select("row_id", best.alias("b")).select(
         "row_id", (-F.col("b.c")).alias("predicted_ix"), F.col("b.score").alias("log_score")
     )
+
+
+def multinomial_all_folds(rows: DataFrame, train: DataFrame, test: DataFrame, folds: int, widths: list[int], n_classes: int) -> DataFrame:
+    """(row_id, predicted_ix) for every row by the model of its step, where features differ from step to step.
+
+    ``rows`` is (row_id, fold, label_ix), ``train`` (row_id, fold, label_ix, feature, values) with a value per step, ``test``
+    (row_id, fold, feature, value) and ``widths`` the number of features per step.  One grouping by (class, feature) holds
+    the sums of all steps; classes x steps numbers reach the driver.
+    """
+    from foldmeter.operators.lookup import lookup_join
+    from foldmeter.session import cut_lineage
+
+    negative = F.raise_error(F.lit("multinomial model: negative feature value")).cast("double")
+
+    def own(s: int) -> Column:
+        v = F.get("values", F.lit(s))
+        return F.when(F.col("fold") == s, F.lit(0.0)).when(v < 0, negative).otherwise(v)
+
+    sums = train.groupBy("label_ix", "feature").agg(
+        F.array(*[F.sum(own(s)) for s in range(folds)]).alias("s"),
+        F.array(*[F.count_if(F.col("fold") == s) for s in range(folds)]).alias("w"),
+    )
+    by_class = F.array(*[F.coalesce(F.max(F.when(F.col("label_ix") == c, F.col("s"))), F.array_repeat(F.lit(0.0), folds)) for c in range(n_classes)])
+    tested = F.array(*[F.sum(F.get("w", F.lit(s))) for s in range(folds)])
+    cube = cut_lineage(sums.groupBy("feature").agg(by_class.alias("s"), tested.alias("w")))  # classes x steps per feature
+    cells = [(s, c) for s in range(folds) for c in range(n_classes)]
+    sum_of = cube.agg(*[F.sum(F.get(F.get("s", F.lit(c)), F.lit(s))).alias(f"{s}_{c}") for s, c in cells]).first()
+    floor = np.array([[-np.log((sum_of[f"{s}_{c}"] or 0.0) + SMOOTHING * widths[s]) if widths[s] else 0.0 for c in range(n_classes)] for s in range(folds)])
+    counts = np.zeros((folds, n_classes))
+    for r in rows.groupBy("fold", "label_ix").count().collect():  # folds x classes rows
+        counts[r["fold"], r["label_ix"]] = r["count"]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        seen = counts.sum(axis=0) - counts
+        prior = np.log(seen / seen.sum(axis=1, keepdims=True))
+
+    def lit(table: np.ndarray) -> Column:
+        return F.get(F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in table]), F.col("fold"))
+
+    steps = cube.select("feature", F.arrays_zip("w", F.sequence(F.lit(0), F.lit(folds - 1))).alias("z"), "s")
+    wide = steps.select("feature", F.explode("z").alias("z"), "s").select(
+        "feature",
+        F.col("z.1").alias("fold"),
+        F.col("z.w").alias("w"),
+        *[F.get(F.get("s", F.lit(c)), F.col("z.1")).alias(f"s{c}") for c in range(n_classes)],
+    )
+    wide = wide.filter("w > 0").select("fold", "feature", "w", *[(F.log(F.col(f"s{c}") + SMOOTHING)).alias(f"p{c}") for c in range(n_classes)])
+    hits = lookup_join(test, cut_lineage(wide), ["fold", "feature"], "w")
+    value = F.col("value")
+    scored = hits.groupBy("row_id").agg(F.sum(value).alias("size"), *[F.sum(value * F.col(f"p{c}")).alias(f"l{c}") for c in range(n_classes)])
+    joined = rows.select("row_id", "fold").join(scored, "row_id", "left")
+    zero = F.lit(0.0)
+    totals = [
+        F.coalesce(F.col(f"l{c}") + F.col("size") * F.get(lit(floor), F.lit(c)), zero) + F.get(lit(prior), F.lit(c)) for c in range(n_classes)
+    ]
+    best = F.array_max(F.array(*[F.struct(t.alias("score"), F.lit(-c).alias("c")) for c, t in enumerate(totals)]))
+    return joined.select("row_id", (-best["c"]).alias("predicted_ix"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldmeter.operators import evolve, knn, linear, network, scaling
-from foldmeter.operators.bayes import GaussianNB
+from foldmeter.operators.bayes import GaussianNB, multinomial_all_folds
 
 
 def dense(df: DataFrame) -> DataFrame:
@@ -222,6 +222,15 @@ class NaiveBayes(Classifier):
         gnb = GaussianNB.fit(dense(train).withColumn("fold", F.lit(0)))
         return Fitted(lambda test: gnb.predict(dense(test), leave_out_fold=False).select("row_id", "predicted_ix"))
 
+    def all_folds(self, rows: DataFrame, train: DataFrame, test: DataFrame, folds: int, widths: list[int], n_classes: int) -> DataFrame:
+        """(row_id, predicted_ix) of every row by the model of its step, from long features of all steps."""
+        return multinomial_all_folds(rows, train, test, folds, widths, n_classes)
+
+    def all_folds_dense(self, df: DataFrame) -> DataFrame:
+        """The same from ``features`` that are equal in all steps; ``df`` has fold and label_ix."""
+        rows = dense(df)
+        return GaussianNB.fit(rows).predict(rows).select("row_id", "predicted_ix")
+
     def left_out(self, df: DataFrame) -> DataFrame:
         if self.type_v != "gaussian":
             raise NotImplementedError

@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -45,6 +46,35 @@ class FittedArray:
         return to_long(df.withColumn("_a", self.array), "_a")
 
 
+@dataclass
+class FoldFeatures:
+    """Features of all steps at once.
+
+    ``train()`` gives (row_id, fold, label_ix, feature, values) with a value per step, ``test()`` (row_id, fold, feature,
+    value) of the step that tests the row, ``widths`` the number of features per step.
+    """
+
+    train: Callable[[], DataFrame]
+    test: Callable[[], DataFrame]
+    widths: list[int]
+
+
+def _same_in_all_folds(fitted, rows: DataFrame, folds: int) -> FoldFeatures:
+    """A stateless extractor: one extraction serves every step."""
+    keyed = rows.select("row_id", "fold", "label_ix", fitted.attribute)
+
+    def entries() -> DataFrame:
+        at = F.posexplode(F.filter(F.transform(fitted.array, lambda v, i: F.struct(i.alias("feature"), v.alias("value"))), lambda e: e["value"] != 0))
+        return keyed.select("row_id", "fold", "label_ix", at.alias("_at", "e")).select(
+            "row_id", "fold", "label_ix", F.col("e.feature").cast("bigint").alias("feature"), "e.value"
+        )
+
+    def train() -> DataFrame:
+        return entries().select("row_id", "fold", "label_ix", "feature", F.array_repeat("value", folds).alias("values"))
+
+    return FoldFeatures(train, lambda: entries().drop("label_ix"), [fitted.width] * folds)
+
+
 @dataclass
 class Pass:
     """The attribute is a number, or an array of numbers."""
@@ -59,6 +89,9 @@ class Pass:
         number = strict_double(F.col(attribute), attribute) if kind == "string" else F.col(attribute).cast("double")
         return FittedArray(attribute, 1, F.array(number))
 
+    def fit_folds(self, rows: DataFrame, attribute: str, folds: int) -> FoldFeatures:
+        return _same_in_all_folds(self.fit(rows, attribute), rows, folds)
+
 
 @dataclass
 class Hashing:
@@ -77,6 +110,9 @@ class Hashing:
         entries = text.hashed_counts(words, self.n_features, self.non_negative, self.norm, self.method)
         return FittedHashing(attribute, self.n_features, text.dense_array(entries, self.n_features), entries)
 
+    def fit_folds(self, rows: DataFrame, attribute: str, folds: int) -> FoldFeatures:
+        return _same_in_all_folds(self.fit(rows, attribute), rows, folds)
+
 
 @dataclass
 class FittedHashing(FittedArray):
@@ -103,6 +139,13 @@ class Tfidf:
         model = text.Tfidf.fit(train, attribute, self.max_features, self.case_sensitive, self.norm)
         return FittedTfidf(attribute, model)
 
+    def fit_folds(self, rows: DataFrame, attribute: str, folds: int) -> FoldFeatures | None:
+        """None where every step cuts its vocabulary by itself."""
+        if self.max_features is not None:
+            return None
+        model = text.TfidfFolds.fit(rows, folds, attribute, self.norm, not self.case_sensitive)
+        return FoldFeatures(model.train, model.test, model.widths)
+
 
 def _sparse(width: int):
     """Column function from indices and values to a sparse vector; null is all zeros."""

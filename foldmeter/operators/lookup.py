@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.session import BROADCAST_ROWS, has_at_most
+from foldmeter.session import BROADCAST_ROWS, fits_broadcast
 
 #: Aim for at most this many joined rows per salt, and at most this many hot keys.
 ROWS_PER_SALT = 5_000_000
@@ -23,11 +23,11 @@ def lookup_join(
 ) -> DataFrame:
     """Inner join; ``table`` has unique ``keys`` and knows how often each occurs (``weight``).
 
-    A counted-small table is broadcast.  Otherwise frequent keys are salted by
+    A table measured as small, in rows and bytes, is broadcast.  Otherwise frequent keys are salted by
     their known frequency: the table repeats a hot key's row once per salt, and
     the big side spreads over the salts.
     """
-    if has_at_most(table, broadcast_rows):
+    if fits_broadcast(table, broadcast_rows):
         return big.join(F.broadcast(table), keys)
     total = table.agg(F.sum(weight)).first()[0] or 0
     per_salt = max(rows_per_salt, total // HOT_KEYS, 1)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldmeter.session import broadcast_if_small
+from foldmeter.session import write_and_broadcast
 
 ACCURACY = 10_000
 
@@ -31,7 +31,7 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
         {"lo": F.get("_e", F.lit(2 * i)), "hi": F.get("_e", F.lit(2 * i + 1))} for i in range(len(probabilities))
     ]
     v = F.col("value")
-    placed = values.join(broadcast_if_small(brackets), key)
+    placed = values.join(write_and_broadcast(brackets), key)
 
     def zone_of(span):
         return F.when(v < span["lo"], -1).when(v > span["hi"], 1).otherwise(0)

@@ -1,74 +1,26 @@
-"""Exact 0-based ranks without a single-task or hot-class window.
-
-The order key is cut into buckets that follow its order.  Rows are numbered
-inside (group, bucket) and shifted by the row counts of the earlier buckets,
-which are a groups x buckets sized table.  A group holding a third of all rows
-is thereby spread over all buckets.
-"""
+"""Exact 0-based ranks by number, by text and in seeded random order (see ``operators.order``)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.functions.hashing import hex_prefix, seeded_digest
-from foldmeter.session import shuffle_width
-
-_BUCKET = "_rank_bucket"
-
-
-def with_key_buckets(df: DataFrame, key: str, n_buckets: int | None = None) -> DataFrame:
-    """Add order-preserving buckets of about equal size for a numeric key."""
-    n = n_buckets or shuffle_width(df.sparkSession)
-    cuts = []
-    if n > 1:
-        probs = [i / n for i in range(1, n)]
-        cuts = sorted(set(df.approxQuantile(key, probs, 1 / (4 * n))))
-    as_double = df.withColumn("_rank_key", F.col(key).cast("double"))
-    if not cuts:
-        return as_double.withColumn(_BUCKET, F.lit(0.0)).drop("_rank_key")
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol="_rank_key", outputCol=_BUCKET).transform(as_double).drop("_rank_key")
-
-
-def rank_in_buckets(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
-    """Add ``rank`` and ``group_n`` given the bucket column."""
-    by = list(by)
-    keys = [*by, _BUCKET]
-    earlier = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    offsets = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(earlier.orderBy(_BUCKET)) - F.col("_n"))
-        .withColumn("group_n", F.sum("_n").over(earlier))
-        .drop("_n")
-    )
-    numbered = df.withColumn("_pos", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return (
-        numbered.join(offsets, keys)
-        .withColumn("rank", F.col("_pos") - 1 + F.col("_before"))
-        .drop("_pos", "_before", _BUCKET)
-    )
+from foldmeter.functions.hashing import seeded_digest
+from foldmeter.operators.order import with_ranks
 
 
 def rank_by_key(df: DataFrame, key: str = "row_id", by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
-    """Rank by ascending numeric ``key`` inside each ``by`` group."""
-    return rank_in_buckets(with_key_buckets(df, key, n_buckets), [F.col(key)], by)
+    """Add ``rank`` by ascending ``key`` inside each ``by`` group, and ``group_n``."""
+    return with_ranks(df, list(by), key, ranges=n_buckets)
 
 
 def rank_shuffled(df: DataFrame, seed: int, key: str = "row_id", by: Sequence[str] = ()) -> DataFrame:
-    """Rank in the seeded random order of ``key``; the digest's first digits are the buckets."""
-    hashed = df.withColumn("_digest", seeded_digest(seed, F.col(key)))
-    hashed = hashed.withColumn(_BUCKET, hex_prefix(F.col("_digest"), 1, 3))
-    return rank_in_buckets(hashed, [F.col("_digest"), F.col(key)], by).drop("_digest")
+    """Rank in the seeded random order of ``key``."""
+    return with_ranks(df.withColumn("_digest", seeded_digest(seed, F.col(key))), list(by), "_digest", key).drop("_digest")
 
 
 def rank_by_text(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank by ascending text; the first six UTF-8 bytes, read as a number, make the buckets."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(key), "UTF-8"), 1, 6)), 12, "0")
-    numbered = df.withColumn("_head", F.conv(head, 16, 10).cast("bigint"))
-    return rank_in_buckets(with_key_buckets(numbered, "_head"), [F.col(key)], by).drop("_head")
+    """Rank by ascending UTF-8 bytes of a text."""
+    return with_ranks(df, list(by), key)

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldmeter.operators.ranks import rank_by_key, rank_shuffled
+from foldmeter.functions.hashing import seeded_digest
+from foldmeter.operators.order import cut_by_rank
+from foldmeter.operators.ranks import rank_by_key
 from foldmeter.session import broadcast_if_small
 from foldmeter.sources.checks import require_complete
 
@@ -30,17 +32,15 @@ def _check_folds(k: int) -> None:
         raise ValueError("folds must be at least 2")
 
 
-def _ranked(df: DataFrame, by: list[str], shuffle: bool, seed: int | None) -> DataFrame:
-    if shuffle:
-        return rank_shuffled(df, 0 if seed is None else seed, by=by)
-    return rank_by_key(df, by=by)
+def _key(shuffle: bool, seed: int | None) -> Column:
+    """What rows are ordered by: their id, or a seeded digest of it."""
+    return F.struct(seeded_digest(0 if seed is None else seed, F.col("row_id")).alias("digest"), "row_id") if shuffle else F.col("row_id")
 
 
 def k_fold(df: DataFrame, folds: int = 5, shuffle: bool = False, random_seed: int | None = None) -> DataFrame:
     """Contiguous blocks over all rows in ``row_id`` order (or seeded random order)."""
     _check_folds(folds)
-    ranked = _ranked(df, [], shuffle, random_seed)
-    return ranked.withColumn("fold", _block(F.col("rank"), F.col("group_n"), folds)).drop("rank", "group_n")
+    return cut_by_rank(df, [], _key(shuffle, random_seed), lambda rank, n: _block(rank, n, folds), "fold")
 
 
 def stratified_k_fold(
@@ -48,8 +48,7 @@ def stratified_k_fold(
 ) -> DataFrame:
     """Contiguous blocks per class."""
     _check_folds(folds)
-    ranked = _ranked(df, [label], shuffle, random_seed)
-    return ranked.withColumn("fold", _block(F.col("rank"), F.col("group_n"), folds)).drop("rank", "group_n")
+    return cut_by_rank(df, [label], _key(shuffle, random_seed), lambda rank, n: _block(rank, n, folds), "fold")
 
 
 def leave_one_out(df: DataFrame) -> DataFrame:
@@ -108,9 +107,12 @@ def stratified_holdout(df: DataFrame, size: float, seed: int = 0, draw: int = 0,
     """Mark ``round(size * class rows)`` random rows of each class as ``test``."""
     if not 0.0 <= size <= 1.0:
         raise ValueError("size must be in 0..1")
-    ranked = rank_shuffled(df, seed * 1_000_003 + draw, by=[label])
-    take = F.floor(F.lit(float(size)) * F.col("group_n") + F.lit(0.5))
-    return ranked.withColumn("role", F.when(F.col("rank") < take, "test").otherwise("train")).drop("rank", "group_n")
+
+    def is_train(rank: Column, n: Column) -> Column:
+        return (rank >= F.floor(F.lit(float(size)) * n + F.lit(0.5))).cast("int")
+
+    cut = cut_by_rank(df, [label], _key(True, seed * 1_000_003 + draw), is_train, "_train")
+    return cut.withColumn("role", F.when(F.col("_train") == 0, "test").otherwise("train")).drop("_train")
 
 
 def fold_roles(df: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.operators.ranks import rank_by_key
+from foldmeter.operators.order import cut_by_rank
 from foldmeter.session import broadcast_if_small
 
 
@@ -41,13 +41,13 @@ def quota_table(df: DataFrame, quotas: Mapping[str, int]) -> DataFrame:
 def first_per_class(df: DataFrame, quotas: Mapping[str, int] | DataFrame, label: str = "label") -> DataFrame:
     """The first ``quota`` rows of each class in ``row_id`` order; unlisted classes are dropped.
 
-    Ranks are exact and bucketed, so a quota may be as large as its class.
+    A class is cut at the id of its quota-th row, so a quota may be as large as its class and only ids are put in order.
     """
     if not isinstance(quotas, DataFrame):
         quotas = quota_table(df, quotas)
     listed = df.join(broadcast_if_small(quotas), df[label].cast("string") == F.col("_class"))
-    ranked = rank_by_key(listed, by=[label])
-    return ranked.filter(F.col("rank") < F.col("_quota")).select(df.columns)
+    cut = cut_by_rank(listed, [label, "_quota"], F.col("row_id"), lambda rank, _: (rank >= F.col("_quota")).cast("int"), "_beyond")
+    return cut.filter("_beyond = 0").select(df.columns)
 
 
 def clamp_quota(requested: Column, original: Column, active: Column) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from foldmeter.functions.hashing import term_bucket, term_sign
 from foldmeter.functions.text import tokens
 from foldmeter.operators.lookup import lookup_join
+from foldmeter.operators.order import first_rows, with_positions
 from foldmeter.operators.ranks import rank_by_text
+from foldmeter.session import cut_lineage, spread_small
 
 NORMS = (None, "l1", "l2")
 
@@ -88,13 +90,17 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def term_rows(df: DataFrame, text: str = "text", lowercase: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(row_id, keep..., term, tf).
+def counted_terms(words: Column) -> Column:
+    """array<struct<term, tf>> of one row, in term order."""
+    return _runs(
+        words, lambda t: t, lambda s, lo, hi: F.struct(F.get(s, lo).alias("term"), (hi - lo).cast("bigint").alias("tf"))
+    )
 
-    A text is split and counted where it was read; only its counts are shuffled.
-    """
-    words = df.select("row_id", *keep, F.explode(tokens(F.col(text), lowercase)).alias("term"))
-    return words.groupBy("row_id", *keep, "term").agg(F.count("*").alias("tf"))
+
+def term_rows(df: DataFrame, text: str = "text", lowercase: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, keep..., term, tf), counted inside the row: no count is shuffled."""
+    rows = spread_small(df.select("row_id", *keep, text))
+    return rows.select("row_id", *keep, F.inline(counted_terms(tokens(F.col(text), lowercase))))
 
 
 def term_totals(terms: DataFrame) -> DataFrame:
@@ -112,8 +118,7 @@ def vocabulary(counts: DataFrame, n_rows: int, max_features: int | None = None)
     ``max_features`` keeps the terms with the highest corpus count, ties by term.
     """
     if max_features is not None:
-        counts = counts.orderBy(F.col("n").desc(), "term").limit(max_features)
-    counts = counts.persist()
+        counts = first_rows(counts, max_features, F.col("n").desc(), "term")
     return rank_by_text(counts, "term").select(
         "term", F.col("rank").cast("int").alias("feature_ix"), "df", "n", idf(F.lit(n_rows), F.col("df")).alias("idf")
     )
@@ -178,7 +183,7 @@ def tfidf_by_fold(df: DataFrame, folds: int, text: str = "text", norm: str | Non
     other folds only, so no term of a test row alone gets in.
     Returns (step, term, feature_ix, df, idf) and (step, row_id, feature_ix, value).
     """
-    terms = term_rows(df, text, keep=("fold",))
+    terms = cut_lineage(term_rows(df, text, keep=("fold",)))  # read for the vocabulary and for the tests
     per_fold = terms.groupBy("term").agg(
         F.array(*[F.count_if(F.col("fold") == f) for f in range(folds)]).alias("dfs")
     )
@@ -190,7 +195,6 @@ def tfidf_by_fold(df: DataFrame, folds: int, text: str = "text", norm: str | Non
         per_fold.select("term", total.alias("all"), F.posexplode("dfs").alias("step", "own"))
         .select("step", "term", (F.col("all") - F.col("own")).alias("df"), "own", F.get(n_train, F.col("step")).alias("n"))
         .filter("df > 0")
-        .persist()
     )
     vocab = rank_by_text(by_step, "term", by=["step"]).select(
         "step", "term", F.col("rank").cast("int").alias("feature_ix"), "df", "own", idf(F.col("n"), F.col("df")).alias("idf")
@@ -202,6 +206,51 @@ def tfidf_by_fold(df: DataFrame, folds: int, text: str = "text", norm: str | Non
     return vocab.drop("own"), normalized(features, norm)
 
 
+@dataclass
+class TfidfFolds:
+    """TF-IDF of all steps of a ``fold`` column at once: one vocabulary with a weight per step.
+
+    The text is read once, for (row, term, count).  A term's weight at step ``s`` comes from the document counts of the other
+    folds and is 0 where none of them has it.
+    """
+
+    terms: DataFrame
+    vocab: DataFrame
+    widths: list[int]
+    norm: str | None
+
+    @staticmethod
+    def fit(df: DataFrame, folds: int, text: str, norm: str | None = "l2", lowercase: bool = False) -> TfidfFolds:
+        """``df`` has row_id, fold, label_ix and the text."""
+        terms = cut_lineage(term_rows(df, text, lowercase, keep=("fold", "label_ix")))
+        sizes = {r["fold"]: r["count"] for r in df.groupBy("fold").count().collect()}  # one row per fold
+        total = F.aggregate("dfs", F.lit(0).cast("bigint"), lambda a, b: a + b)
+        counts = terms.groupBy("term").agg(F.array(*[F.count_if(F.col("fold") == f) for f in range(folds)]).alias("dfs"))
+        counts = counts.withColumn("df", total)
+        others = [F.col("df") - F.get("dfs", F.lit(f)) for f in range(folds)]
+        n_train = [sum(sizes.values()) - sizes.get(f, 0) for f in range(folds)]
+        weights = F.array(*[F.when(o > 0, idf(F.lit(n), o)).otherwise(F.lit(0.0)) for o, n in zip(others, n_train)])
+        vocab = with_positions(counts.select("term", "df", weights.alias("idfs")), "term", name="feature")
+        seen = vocab.agg(*[F.count_if(F.get("idfs", F.lit(f)) > 0).alias(str(f)) for f in range(folds)]).first()
+        return TfidfFolds(terms, vocab, [seen[str(f)] for f in range(folds)], norm)
+
+    def train(self) -> DataFrame:
+        """(row_id, fold, label_ix, feature, values): a value per step, 0 where the step lacks the term."""
+        found = lookup_join(self.terms, self.vocab, ["term"], "df")
+        values = [F.col("tf") * F.get("idfs", F.lit(s)) for s in range(len(self.widths))]
+        if self.norm is not None:
+            row = W.partitionBy("row_id")
+            sizes = [F.sum(v).over(row) if self.norm == "l1" else F.sqrt(F.sum(v * v).over(row)) for v in values]
+            values = [F.when(n == 0, F.lit(0.0)).otherwise(v / n) for v, n in zip(values, sizes)]
+        return found.select("row_id", "fold", "label_ix", "feature", F.array(*values).alias("values"))
+
+    def test(self) -> DataFrame:
+        """(row_id, fold, feature, value) by the weights of the step that tests the row."""
+        found = lookup_join(self.terms, self.vocab, ["term"], "df")
+        value = F.col("tf") * F.get("idfs", F.col("fold"))
+        return normalized(found.select("row_id", "fold", "feature", value.alias("value")).filter("value > 0"), self.norm)
+
+
 def hashed_features(
     df: DataFrame,
     text: str = "text",
@@ -212,17 +261,10 @@ def hashed_features(
     method: str = "xxhash64",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Term counts summed into ``n_features`` signed (or plain) buckets.
-
-    A text is split and summed where it was read; only its sums are shuffled.
-    """
+    """Term counts summed into ``n_features`` signed (or plain) buckets, inside the row: no count is shuffled."""
     check_hashing(n_features, norm)
-    words = df.select("row_id", *keep, F.explode(tokens(F.col(text), not case_sensitive)).alias("term"))
-    value = F.lit(1.0) if non_negative else term_sign(F.col("term"), method)
-    summed = words.groupBy("row_id", *keep, term_bucket(F.col("term"), n_features, method).alias("feature_ix")).agg(
-        F.sum(value).alias("value")
-    )
-    return normalized(summed.filter("value <> 0"), norm)
+    entries = hashed_counts(tokens(F.col(text), not case_sensitive), n_features, non_negative, norm, method)
+    return spread_small(df.select("row_id", *keep, text)).select("row_id", *keep, F.inline(entries))
 
 
 def check_hashing(n_features: int, norm: str | None) -> None:

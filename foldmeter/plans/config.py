@@ -23,38 +23,43 @@ class Steps:
         self.n, self.frames = n, frames
 
 
+class Folded:
+    """A validator that partitions the rows; ``folded(df)`` adds ``fold`` and tells how many there are."""
+
+    def steps(self, df: DataFrame) -> Steps:
+        folded, n = self.folded(df)
+        return Steps(n, _roles_from_folds(folded.persist()))
+
+
 @dataclass
-class StratifiedKFold:
+class StratifiedKFold(Folded):
     folds: int = 5
     shuffle: bool = False
     random_seed: int | None = None
 
-    def steps(self, df: DataFrame) -> Steps:
-        folded = splits.stratified_k_fold(df, self.folds, "label", self.shuffle, self.random_seed).persist()
-        return Steps(self.folds, _roles_from_folds(folded))
+    def folded(self, df: DataFrame) -> tuple[DataFrame, int]:
+        return splits.stratified_k_fold(df, self.folds, "label", self.shuffle, self.random_seed), self.folds
 
 
 @dataclass
-class KFold:
+class KFold(Folded):
     folds: int = 5
     shuffle: bool = False
     random_seed: int | None = None
 
-    def steps(self, df: DataFrame) -> Steps:
-        folded = splits.k_fold(df, self.folds, self.shuffle, self.random_seed).persist()
-        return Steps(self.folds, _roles_from_folds(folded))
+    def folded(self, df: DataFrame) -> tuple[DataFrame, int]:
+        return splits.k_fold(df, self.folds, self.shuffle, self.random_seed), self.folds
 
 
 @dataclass
-class PreparedFolds:
+class PreparedFolds(Folded):
     """The attribute's numbers are the folds."""
 
     attribute: str
 
-    def steps(self, df: DataFrame) -> Steps:
-        folded = splits.prepared_folds(df, self.attribute).persist()
-        n = splits.number_of_steps(folded).first()[0]
-        return Steps(n, _roles_from_folds(folded))
+    def folded(self, df: DataFrame) -> tuple[DataFrame, int]:
+        folded = splits.prepared_folds(df, self.attribute)
+        return folded, splits.number_of_steps(folded).first()[0]
 
 
 @dataclass

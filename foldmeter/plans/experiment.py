@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldmeter.operators import labels, scores
-from foldmeter.plans.config import Experiment, LeaveOneOut
+from foldmeter.plans.config import Experiment, Folded, LeaveOneOut
 from foldmeter.plans.profile import working_set
 from foldmeter.session import cut_lineage, scratch_dir
 from foldmeter.sources.checks import require_complete, require_rows
@@ -98,7 +98,7 @@ def _force(df: DataFrame) -> DataFrame:
     return df
 
 
-def _extract(fitted: list, df: DataFrame) -> DataFrame:
+def _extract(fitted: list, df: DataFrame, *keep: str) -> DataFrame:
     """Stack all attributes' vectors into ``features``."""
     columns = []
     for i, f in enumerate(fitted):
@@ -108,7 +108,7 @@ def _extract(fitted: list, df: DataFrame) -> DataFrame:
         stacked = df.withColumnRenamed(columns[0], "_stacked")
     else:
         stacked = VectorAssembler(inputCols=columns, outputCol="_stacked").transform(df)
-    return stacked.select("row_id", "label", "label_ix", F.col("_stacked").alias("features"))
+    return stacked.select("row_id", *keep, "label", "label_ix", F.col("_stacked").alias("features"))
 
 
 def run_experiment(df: DataFrame, config: Experiment) -> ResultTables:
@@ -133,8 +133,18 @@ def run_experiment(df: DataFrame, config: Experiment) -> ResultTables:
         return _left_out(rows, config, mapping, classifiers)
 
     clock, predicted, stats, epochs = _Clock(), [], [], []
-    steps = config.validator.steps(rows)
-    for step in range(steps.n):
+    at_once, looped = _all_fold_classifiers(config)
+    if at_once:
+        done, stats = _all_folds(rows, config, at_once, mapping, clock)
+        if done is None:
+            looped = list(config.classifiers)
+        else:
+            predicted += done
+    if looped:
+        stats = []
+        names = [c.name for c in looped]
+        steps = config.validator.steps(rows)
+    for step in range(steps.n if looped else 0):
         train_rows, test_rows = steps.frames(step)
 
         def fit_and_extract():
@@ -166,7 +176,7 @@ def run_experiment(df: DataFrame, config: Experiment) -> ResultTables:
         def feature_names():
             return reduce(lambda names, s: s.names(names), selectors, [n for f in fitted for n in f.names])
 
-        for classifier in config.classifiers:
+        for classifier in looped:
             name = classifier.name
             model = clock.run(step, [name], "train", lambda: classifier.fit(selected, n_classes))
             predict = lambda: cut_lineage(_named(model.predict(tested), feature_names))
@@ -210,6 +220,89 @@ def _named(codes: DataFrame, names: Callable[[], list[str]]) -> DataFrame:
     return back.select("row_id", "predicted_ix", plain.cast(_TOP).alias("top"))
 
 
+def _all_fold_classifiers(config: Experiment) -> tuple[list, list]:
+    """Classifiers that can be trained for all folds in one pass, and the others."""
+    able = isinstance(config.validator, Folded) and not config.selectors
+    able = able and all(hasattr(e, "fit_folds") for e in config.attributes.values())
+    still = all(getattr(e, "stateless", False) for e in config.attributes.values())
+
+    def fits(c) -> bool:
+        return able and hasattr(c, "all_folds") and c.normalizer is None and (c.type_v == "multinomial" or still)
+
+    at_once = [c for c in config.classifiers if fits(c)]
+    return at_once, [c for c in config.classifiers if c not in at_once]
+
+
+def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: DataFrame, clock: _Clock):
+    """Every step of ``at_once`` without a loop over steps: features and sums are kept for all folds together.
+
+    Returns the paths of the predictions and the step statistics, or None where an extractor needs each step by itself.
+    The time of a pass is divided evenly among its steps.
+    """
+    spark = rows.sparkSession
+    folded, n_folds = config.validator.folded(rows)
+    folded = cut_lineage(folded)
+    keys = folded.select("row_id", "fold", "label_ix").persist()
+    features, widths = None, [0] * n_folds
+    if any(c.type_v == "multinomial" for c in at_once):
+        start = _Lap(clock, n_folds, [c.name for c in at_once], "train_extraction")
+        parts = [e.fit_folds(folded, a, n_folds) for a, e in config.attributes.items()]
+        if any(p is None for p in parts):
+            return None, []
+        start.stop()
+        widths = [sum(p.widths[s] for p in parts) for s in range(n_folds)]
+
+        def stacked(frames: list[DataFrame]) -> DataFrame:
+            # an attribute's features follow those of the attributes before it
+            shifted = [f.withColumn("feature", F.col("feature").cast("bigint") + F.lit(i << 40)) for i, f in enumerate(frames)]
+            return reduce(DataFrame.unionByName, shifted)
+
+        features = (stacked([p.train() for p in parts]), stacked([p.test() for p in parts]))
+    still = [c for c in at_once if c.type_v != "multinomial"]
+    vectors = None
+    if still:
+        start = _Lap(clock, n_folds, [c.name for c in still], "train_extraction")
+        fitted = [e.fit(folded, a) for a, e in config.attributes.items()]
+        vectors = _force(_extract(fitted, folded, "fold"))
+        start.stop()
+        widths = [sum(f.width for f in fitted)] * n_folds
+    paths = []
+    for c in at_once:
+        start = _Lap(clock, n_folds, [c.name], "train")
+        codes = c.all_folds_dense(vectors) if c in still else c.all_folds(keys, *features, n_folds, widths, mapping.count())
+        start.stop()
+        start = _Lap(clock, n_folds, [c.name], "test")
+        truth = folded.select("row_id", F.col("fold").cast("int").alias("step"), F.col("label").alias("real"))
+        joined = labels.decode(truth.join(codes, "row_id"), mapping, {"predicted_ix": "predicted"})
+        path = scratch_dir(spark)
+        joined.select("step", F.lit(c.name).alias("classifier"), "row_id", "real", "predicted", F.lit(None).cast(_TOP).alias("top")).write.parquet(path)
+        start.stop()
+        paths.append(path)
+    if vectors is not None:
+        vectors.unpersist()
+    for metric in ("train_selection", "test_selection", "test_extraction"):  # no selectors; tests are extracted with the training rows
+        clock.rows += [(s, c.name, f"{metric}_{kind}", 0.0) for s in range(n_folds) for c in at_once for kind in ("time", "process_time")]
+    sizes = {r["fold"]: r["count"] for r in keys.groupBy("fold").count().collect()}  # one row per fold
+    keys.unpersist()
+    total = sum(sizes.values())
+    return paths, [(s, total - sizes.get(s, 0), sizes.get(s, 0), widths[s]) for s in range(n_folds)]
+
+
+class _Lap:
+    """Time of a pass over all steps; every step gets an even share."""
+
+    def __init__(self, clock: _Clock, n: int, names: list[str], metric: str):
+        self.clock, self.n, self.names, self.metric = clock, n, names, metric
+        self.at = time.perf_counter(), time.process_time()
+
+    def stop(self) -> None:
+        spent = (time.perf_counter() - self.at[0]) / self.n, (time.process_time() - self.at[1]) / self.n
+        for step in range(self.n):
+            for name in self.names:
+                self.clock.rows.append((step, name, f"{self.metric}_time", spent[0]))
+                self.clock.rows.append((step, name, f"{self.metric}_process_time", spent[1]))
+
+
 def _closed_form(config: Experiment) -> bool:
     """Leave-one-out without a loop: nothing but the classifier itself may learn from the rows."""
     still = all(getattr(e, "stateless", False) for e in config.attributes.values())

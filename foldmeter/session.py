@@ -52,15 +52,38 @@ def _width(name: str, kind) -> Column:
     return F.lit(8)
 
 
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Measure ``df``, reading it once: neither its rows nor its bytes are too many."""
+    widths = [_width(f.name, f.dataType) for f in df.schema.fields]
+    n, total = df.agg(F.count("*"), F.sum(sum(widths, F.lit(16)))).first()
+    return n <= rows and (total or 0) <= size
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcasting only after measuring that neither its rows nor its bytes are too many.
 
     The measure reads ``df`` once: hand in a table, or something as cheap.
     """
-    widths = [_width(f.name, f.dataType) for f in df.schema.fields]
-    n, total = df.agg(F.count("*"), F.sum(sum(widths, F.lit(16)))).first()
-    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
+    return F.broadcast(df) if fits_broadcast(df, rows, size) else df
+
+
+def write_and_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written once (see ``cut_lineage``), measured there, and marked for broadcasting if it is small."""
+    return broadcast_if_small(cut_lineage(df), rows, size)
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table too small for one scan split per core, so that work inside rows uses all cores.
+
+    Measured by the size of the files or tables under ``df``; anything larger stays where it is read and is not shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return df.repartition(cores) if total < split * cores else df
