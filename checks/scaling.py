@@ -93,10 +93,11 @@ def scaling_parameters_lineitem(spark, sf_dir):
 
 
 SELECT_SQL = f"""
-WITH {VOCAB_SQL}, {_tfidf_sql('l2')},
+WITH {VOCAB_SQL.replace("toks AS (", "toks AS MATERIALIZED (").replace("tf AS (", "tf AS MATERIALIZED (").replace("vocab AS (", "vocab AS MATERIALIZED (")},
+{_tfidf_sql('l2').replace("feats AS (", "feats AS MATERIALIZED (")},
 n AS (SELECT count(*) AS n FROM documents),
-var AS (SELECT feature_ix, sum(value * value) / any_value(n) - (sum(value) / any_value(n)) ** 2 AS variance FROM feats, n GROUP BY feature_ix),
-sup AS (SELECT feature_ix, CAST(row_number() OVER (ORDER BY feature_ix) - 1 AS INTEGER) AS new_ix FROM var WHERE variance > 0.0001)
+var AS MATERIALIZED (SELECT feature_ix, sum(value * value) / any_value(n) - (sum(value) / any_value(n)) ** 2 AS variance FROM feats, n GROUP BY feature_ix),
+sup AS MATERIALIZED (SELECT feature_ix, CAST(row_number() OVER (ORDER BY feature_ix) - 1 AS INTEGER) AS new_ix FROM var WHERE variance > 0.0001)
 """
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldmeter.operators import evolve, knn, linear, network, scaling
+from foldmeter.operators.machines import LinearMachines, as_entries
 from foldmeter.operators.bayes import GaussianNB, multinomial_all_folds
 
 
@@ -34,6 +35,14 @@ def vectors(df: DataFrame) -> DataFrame:
     return df
 
 
+def entries(df: DataFrame) -> DataFrame:
+    """(row_id, feature_ix, value) of the features that are not zero."""
+    parts = as_entries(df.select("row_id", "features"))
+    at = F.coalesce("ix", F.sequence(F.lit(0), F.size("v") - 1))
+    long = parts.select("row_id", F.explode(F.arrays_zip(at.alias("feature_ix"), F.col("v").alias("value"))).alias("e"))
+    return long.select("row_id", "e.feature_ix", "e.value").filter("value <> 0")
+
+
 @dataclass
 class RowNorm:
     """Unit-length rows."""
@@ -162,27 +171,34 @@ class SVM(Classifier):
             raise ValueError("top features need the linear kernel")
 
     def _fit(self, train: DataFrame, n_classes: int) -> Fitted:
-        n = train.count()
         if self.kernel != "linear":
             mapping = linear.KernelMap.fit(dense(train), self.kernel, self.landmarks, self.random_seed)
-            mapped = vectors(mapping.transform(dense(train))).persist()
-            model = linear.linear_svm(n, self.c, self.max_iter).fit(mapped)
-            return Fitted(lambda test: _codes(model.transform(vectors(mapping.transform(dense(test))))))
-        model = linear.linear_svm(n, self.c, self.max_iter).fit(vectors(train).persist())
-        matrix = linear.coefficients(model)
+            model = LinearMachines.fit(mapping.transform(dense(train)), n_classes, c=self.c, max_passes=self.max_iter)
+            return Fitted(lambda test: model.predict(mapping.transform(dense(test))))
+        model = LinearMachines.fit(train, n_classes, c=self.c, max_passes=self.max_iter)
+        matrix = model.coefficients
 
         def predict(test: DataFrame) -> DataFrame:
-            codes = _codes(model.transform(vectors(test)))
+            codes = model.predict(test)
             if not self.show_imp_features:
                 return codes
-            binary = len(matrix) == 2
-            coef = linear.coefficient_table(test.sparkSession, matrix[1:] if binary else matrix)
-            long = dense(test).select("row_id", F.posexplode("features").alias("feature_ix", "value")).filter("value <> 0")
-            top = linear.top_features(long, codes, coef, matrix.shape[1], self.show_imp_features, binary)
+            coef = linear.coefficient_table(test.sparkSession, matrix)
+            long = entries(test)
+            top = linear.top_features(long, codes, coef, matrix.shape[1], self.show_imp_features, len(matrix) == 1)
             return codes.join(top, "row_id")
 
         return Fitted(predict, matrix)
 
+    @property
+    def takes_all_folds(self) -> bool:
+        return self.kernel == "linear" and not self.show_imp_features and (self.normalizer is None or isinstance(self.normalizer, RowNorm))
+
+    def all_folds_dense(self, df: DataFrame, n_folds: int, n_classes: int) -> DataFrame:
+        """(row_id, predicted_ix) of every row by the machines of its fold, all trained together."""
+        rows = self.normalizer.fit(df).transform(df) if self.normalizer is not None else df
+        model = LinearMachines.fit(rows, n_classes, n_folds, self.c, max_passes=self.max_iter)
+        return model.predict(rows, own_fold=True)
+
 
 @dataclass
 class KNN(Classifier):
@@ -226,7 +242,9 @@ class NaiveBayes(Classifier):
         """(row_id, predicted_ix) of every row by the model of its step, from long features of all steps."""
         return multinomial_all_folds(rows, train, test, folds, widths, n_classes)
 
-    def all_folds_dense(self, df: DataFrame) -> DataFrame:
+    takes_all_folds = property(lambda self: self.normalizer is None)
+
+    def all_folds_dense(self, df: DataFrame, n_folds: int, n_classes: int) -> DataFrame:
         """The same from ``features`` that are equal in all steps; ``df`` has fold and label_ix."""
         rows = dense(df)
         return GaussianNB.fit(rows).predict(rows).select("row_id", "predicted_ix")

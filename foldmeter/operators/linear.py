@@ -6,33 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldmeter.operators.machines import LinearMachines
 from foldmeter.session import broadcast_if_small
 
 # Kernels a machine may use.
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 
 
-def linear_svm(n_rows: int, c: float = 1.0, max_iter: int = 100, tol: float = 1e-4, parallelism: int = 4) -> OneVsRest:
-    """One linear machine per class; the penalty ``c`` is per row as in a summed loss.
-
-    The classes' fits run side by side on the same cached rows.
-    """
-    svc = LinearSVC(standardization=False, regParam=1.0 / (c * max(n_rows, 1)), maxIter=max_iter, tol=tol)
-    return OneVsRest(
-        classifier=svc, labelCol="label_ix", featuresCol="features", predictionCol="prediction", parallelism=parallelism
-    )
-
-
-def coefficients(model) -> np.ndarray:
-    """(classes, features) coefficients of a fitted one-vs-rest model."""
-    return np.vstack([m.coefficients.toArray() for m in model.models])
-
-
 def coefficient_table(spark, matrix: np.ndarray) -> DataFrame:
     """(class, feature_ix, w)."""
     c, j = np.indices(matrix.shape)
@@ -134,12 +117,10 @@ class KernelMap:
 
 
 def kernel_svm_predict(
-    train: DataFrame, test: DataFrame, kernel: str, n_landmarks: int = 200, seed: int = 0, max_iter: int = 100
+    train: DataFrame, test: DataFrame, kernel: str, n_landmarks: int = 200, seed: int = 0, max_iter: int = 100, n_classes: int | None = None
 ) -> DataFrame:
     """(row_id, predicted_ix) of dense test rows."""
     mapping = KernelMap.fit(train, kernel, n_landmarks, seed)
-    n = train.count()
-    a = mapping.transform(train).withColumn("features", array_to_vector("features")).persist()
-    b = mapping.transform(test).withColumn("features", array_to_vector("features"))
-    model = linear_svm(n, max_iter=max_iter).fit(a)
-    return model.transform(b).select("row_id", F.col("prediction").cast("int").alias("predicted_ix"))
+    n_classes = n_classes or train.agg(F.max("label_ix")).first()[0] + 1
+    model = LinearMachines.fit(mapping.transform(train), n_classes, max_passes=max_iter)
+    return model.predict(mapping.transform(test))

@@ -227,12 +227,17 @@ def _all_fold_classifiers(config: Experiment) -> tuple[list, list]:
     still = all(getattr(e, "stateless", False) for e in config.attributes.values())
 
     def fits(c) -> bool:
-        return able and hasattr(c, "all_folds") and c.normalizer is None and (c.type_v == "multinomial" or still)
+        return able and getattr(c, "takes_all_folds", False) and (_long(c) or still)
 
     at_once = [c for c in config.classifiers if fits(c)]
     return at_once, [c for c in config.classifiers if c not in at_once]
 
 
+def _long(classifier) -> bool:
+    """Trained from long features that may differ from step to step."""
+    return getattr(classifier, "type_v", None) == "multinomial"
+
+
 def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: DataFrame, clock: _Clock):
     """Every step of ``at_once`` without a loop over steps: features and sums are kept for all folds together.
 
@@ -242,10 +247,11 @@ def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: Data
     spark = rows.sparkSession
     folded, n_folds = config.validator.folded(rows)
     folded = cut_lineage(folded)
+    n_classes = mapping.count()
     keys = folded.select("row_id", "fold", "label_ix").persist()
     features, widths = None, [0] * n_folds
-    if any(c.type_v == "multinomial" for c in at_once):
-        start = _Lap(clock, n_folds, [c.name for c in at_once], "train_extraction")
+    if any(map(_long, at_once)):
+        start = _Lap(clock, n_folds, [c.name for c in at_once if _long(c)], "train_extraction")
         parts = [e.fit_folds(folded, a, n_folds) for a, e in config.attributes.items()]
         if any(p is None for p in parts):
             return None, []
@@ -258,7 +264,7 @@ def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: Data
             return reduce(DataFrame.unionByName, shifted)
 
         features = (stacked([p.train() for p in parts]), stacked([p.test() for p in parts]))
-    still = [c for c in at_once if c.type_v != "multinomial"]
+    still = [c for c in at_once if not _long(c)]
     vectors = None
     if still:
         start = _Lap(clock, n_folds, [c.name for c in still], "train_extraction")
@@ -269,7 +275,8 @@ def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: Data
     paths = []
     for c in at_once:
         start = _Lap(clock, n_folds, [c.name], "train")
-        codes = c.all_folds_dense(vectors) if c in still else c.all_folds(keys, *features, n_folds, widths, mapping.count())
+        codes = c.all_folds_dense(vectors, n_folds, n_classes) if c in still else c.all_folds(keys, *features, n_folds, widths, n_classes)
+        codes = cut_lineage(codes)
         start.stop()
         start = _Lap(clock, n_folds, [c.name], "test")
         truth = folded.select("row_id", F.col("fold").cast("int").alias("step"), F.col("label").alias("real"))

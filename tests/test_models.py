@@ -1,8 +1,11 @@
+import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from foldmeter.operators import bayes, classifiers, evolve, extractors, labels, network, prototypes, selection, splits, text
+from foldmeter.operators.machines import LinearMachines
 from foldmeter.plans.config import Experiment, LeaveOneOut, PreparedFolds, PreparedSets, StratifiedKFold
 from foldmeter.plans.experiment import run_experiment
 from foldmeter.plans.profile import profile
@@ -183,3 +186,40 @@ def test_negative_values_stop_the_multinomial_model(spark):
     feats = rows.withColumn("feature_ix", F.lit(0)).withColumn("value", F.lit(-1.0))
     with pytest.raises(Exception, match="negative feature value"):
         bayes.multinomial_cross_validated(rows, feats, 2, 1).collect()
+
+
+@pytest.mark.parametrize(("n_classes", "folds", "as_vectors"), [(2, None, True), (3, 4, False), (3, None, True)])
+def test_linear_machines_reach_the_optimum(spark, n_classes, folds, as_vectors):
+    """The gradient of the squared hinge loss vanishes; every machine leaves its own fold out."""
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((240, 6)) < 0.4, 0.0, rng.normal(size=(240, 6)))
+    label = rng.integers(0, n_classes, 240)
+    x[np.arange(240), label] += 2.0
+    vec = (lambda r: Vectors.sparse(6, {j: float(v) for j, v in enumerate(r) if v})) if as_vectors else (lambda r: [float(v) for v in r])
+    rows = [(i, int(label[i]), i % 4, vec(r) if i % 3 or not as_vectors else Vectors.dense(r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ["row_id", "label_ix", "fold", "features"])
+    model = LinearMachines.fit(df, n_classes, folds, tol=1e-6, max_passes=300)
+    full = np.c_[x, np.ones(240)]
+    for k in range(folds or 1):
+        inside = np.arange(240) % 4 != k if folds else np.ones(240, bool)
+        for c in range(1 if n_classes == 2 else n_classes):
+            w = model.weights[k, c]
+            y = np.where(label[inside] == (1 if n_classes == 2 else c), 1.0, -1.0)
+            part = full[inside]
+            short = np.maximum(0.0, 1.0 - y * (part @ w))
+            assert np.linalg.norm(w - 2 * part.T @ (y * short)) < 1e-4 * np.linalg.norm(2 * part.T @ y)
+    got = {r.row_id: r.predicted_ix for r in model.predict(df, own_fold=bool(folds)).collect()}
+    margins = [full[i] @ model.weights[i % 4 if folds else 0].T for i in range(240)]
+    assert got == {i: int(m[0] > 0) if len(m) == 1 else int(m.argmax()) for i, m in enumerate(margins)}
+    assert np.mean([got[i] == label[i] for i in range(240)]) > 0.8
+
+
+def test_all_folds_give_what_single_steps_give(spark, two_class):
+    models = [classifiers.SVM(normalizer=None), classifiers.NaiveBayes(), classifiers.NaiveBayes(type_v="multinomial", name="MNB")]
+    once = run_experiment(two_class, config(models))
+    looped = run_experiment(two_class, config(models, selectors=[selection.VarianceSelector(0.0)]))
+    table = lambda r: sorted((x.step, x.classifier, x.row_id, x.real, x.predicted) for x in r.predictions.collect())
+    assert table(once) == table(looped)
+    stats = lambda r: sorted(tuple(x) for x in r.step_stats.collect())
+    assert stats(once) == stats(looped)
+    assert once.timings.groupBy("step", "classifier").count().filter("count <> 12").count() == 0
