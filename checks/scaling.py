@@ -92,6 +92,70 @@ def scaling_parameters_lineitem(spark, sf_dir):
     return rounded(out)
 
 
+def _sparse_sql(params: str, shift: str, spread: str, gain: str = "1", low: str = "0") -> str:
+    """Scaled stored entries of TF-IDF rows, and the scaled zero of their feature."""
+    return (
+        f"WITH {VOCAB_SQL}, {_tfidf_sql('l2')}, c AS (SELECT count(*) AS total FROM documents), p0 AS ({params}), "
+        f"p AS (SELECT feature_ix, {shift} AS shift, CASE WHEN {spread} = 0 THEN 1 ELSE {spread} END AS spread FROM p0) "
+        f"SELECT row_id, feature_ix, round({low} + (value - shift) * {gain} / spread, 6) AS value, "
+        f"round({low} - shift * {gain} / spread + 0.0, 6) AS zero FROM feats JOIN p USING (feature_ix)"
+    )
+
+
+def _sparse_out(spark, sf_dir, fit):
+    n, feats, _ = _tfidf(spark, sf_dir)
+    return rounded(fit(feats, n).transform(feats))
+
+
+@query(
+    "scale_minmax_sparse",
+    _sparse_sql(
+        "SELECT feature_ix, CASE WHEN count(*) < any_value(total) THEN least(min(value), 0) ELSE min(value) END AS lo, "
+        "CASE WHEN count(*) < any_value(total) THEN greatest(max(value), 0) ELSE max(value) END AS hi FROM feats, c GROUP BY feature_ix",
+        "lo",
+        "(hi - lo)",
+        "2",
+        "-1",
+    ),
+)
+def scale_minmax_sparse(spark, sf_dir):
+    return _sparse_out(spark, sf_dir, lambda e, n: scaling.sparse_min_max(e, n, -1, 1))
+
+
+@query(
+    "scale_standard_sparse",
+    _sparse_sql(
+        "SELECT feature_ix, sum(value) / any_value(total) AS m, sqrt((sum(value * value) - sum(value) ** 2 / any_value(total)) / any_value(total)) AS sd "
+        "FROM feats, c GROUP BY feature_ix",
+        "m",
+        "sd",
+    ),
+)
+def scale_standard_sparse(spark, sf_dir):
+    return _sparse_out(spark, sf_dir, scaling.sparse_standard)
+
+
+_AT = ", ".join(
+    f"coalesce(max(value) FILTER (r = floor((total - 1) * {p})), 0) + (coalesce(max(value) FILTER (r = ceil((total - 1) * {p})), 0) "
+    f"- coalesce(max(value) FILTER (r = floor((total - 1) * {p})), 0)) * ((any_value(total) - 1) * {p} - floor((any_value(total) - 1) * {p})) AS q{i}"
+    for i, p in enumerate((0.25, 0.5, 0.75))
+)
+
+
+@query(
+    "scale_robust_sparse",
+    _sparse_sql(
+        f"SELECT feature_ix, {_AT} FROM (SELECT feature_ix, value, total, row_number() OVER w - 1 + CASE WHEN value > 0 "
+        "THEN total - count(*) OVER (PARTITION BY feature_ix) ELSE 0 END AS r FROM feats, c WINDOW w AS (PARTITION BY feature_ix ORDER BY value)) "
+        "GROUP BY feature_ix",
+        "q1",
+        "(q2 - q0)",
+    ),
+)
+def scale_robust_sparse(spark, sf_dir):
+    return _sparse_out(spark, sf_dir, scaling.sparse_robust)
+
+
 SELECT_SQL = f"""
 WITH {VOCAB_SQL.replace("toks AS (", "toks AS MATERIALIZED (").replace("tf AS (", "tf AS MATERIALIZED (").replace("vocab AS (", "vocab AS MATERIALIZED (")},
 {_tfidf_sql('l2').replace("feats AS (", "feats AS MATERIALIZED (")},

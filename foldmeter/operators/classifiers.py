@@ -75,13 +75,23 @@ class _Columns:
         return vectors(self.scaler.transform(dense(df)))
 
 
+def _fit_columns(train: DataFrame, of_arrays: Callable, of_entries: Callable) -> _Columns:
+    """Arrays are read as they are, vectors by their stored entries: the zeros of a sparse one are counted, not written out."""
+    if dict(train.dtypes)["features"].startswith("array"):
+        return _Columns(of_arrays(train))
+    size = F.unwrap_udt("features")
+    n, width = train.agg(F.count("*"), F.max(F.coalesce(size["size"], F.size(size["values"])))).first()
+    return _Columns(of_entries(entries(train), n).dense(width or 0))
+
+
 @dataclass
 class MinMax:
     min_v: int = 0
     max_v: int = 1
 
     def fit(self, train: DataFrame) -> _Columns:
-        return _Columns(scaling.min_max(dense(train), self.min_v, self.max_v))
+        limits = (self.min_v, self.max_v)
+        return _fit_columns(train, lambda t: scaling.min_max(t, *limits), lambda e, n: scaling.sparse_min_max(e, n, *limits))
 
 
 @dataclass
@@ -89,7 +99,7 @@ class Robust:
     centering: bool = True
 
     def fit(self, train: DataFrame) -> _Columns:
-        return _Columns(scaling.robust(dense(train), self.centering))
+        return _fit_columns(train, lambda t: scaling.robust(t, self.centering), lambda e, n: scaling.sparse_robust(e, n, self.centering))
 
 
 @dataclass
@@ -97,7 +107,7 @@ class Standard:
     centering: bool = True
 
     def fit(self, train: DataFrame) -> _Columns:
-        return _Columns(scaling.standard(dense(train), self.centering))
+        return _fit_columns(train, lambda t: scaling.standard(t, self.centering), lambda e, n: scaling.sparse_standard(e, n, self.centering))
 
 
 @dataclass

@@ -8,12 +8,14 @@ values are counted before the shuffle, so a value held by most rows is one row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foldmeter.operators.order import with_positions
 from foldmeter.session import write_and_broadcast
 
 ACCURACY = 10_000
@@ -77,3 +79,26 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
         .agg(F.sort_array(F.collect_list(F.struct("q", "v"))).alias("s"))
         .select(key, F.transform("s", lambda e: e["v"]).alias("q"))
     )
+
+
+def sparse_quantiles(entries: DataFrame, n_rows: int, probabilities: Sequence[float]) -> DataFrame:
+    """(feature_ix, q array<double>): interpolated quantiles over all ``n_rows`` rows of a long frame without its zeros.
+
+    Stored values are put in one global order of (feature, value).  A feature's zeros stand between its negative and its
+    positive values, so a value's rank among all rows follows from its place and the feature's counts.
+    """
+    stored = entries.select("feature_ix", "value").filter("value <> 0")
+    placed = with_positions(stored, "feature_ix", "value", name="_pos")
+    groups = placed.groupBy("feature_ix").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    ranked = placed.join(write_and_broadcast(groups), "feature_ix")
+    zeros = F.lit(n_rows) - F.col("_n")
+    rank = F.col("_pos") - F.col("_first") + F.when(F.col("value") > 0, zeros).otherwise(0)
+    at = [(n_rows - 1) * p for p in probabilities]
+
+    def value_at(i: int) -> Column:
+        return F.coalesce(F.max(F.when(rank == i, F.col("value"))), F.lit(0.0))
+
+    low = [value_at(math.floor(x)) for x in at]
+    high = [value_at(math.ceil(x)) for x in at]
+    q = F.array(*[a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, at)])
+    return ranked.groupBy("feature_ix").agg(q.alias("q"))
