@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+from pyarrow.fs import FileSystem
 from pyspark.sql import functions as F
 
 from checks.inputs import DENSE_SQL, dense
 from checks.registry import query, rounded, table
-from foldmeter.operators import evolve, hog, prototypes, scaling, splits
+from foldmeter.operators import evolve, extractors, hog, prototypes, scaling, splits
 from foldmeter.operators.network import Layer, NeuralNetwork
-from foldmeter.session import scratch_dir
+from foldmeter.session import cut_lineage, scratch_dir
 from foldmeter.sources import paths
 
 
-def _hog_sql(norm: str) -> str:
+def _hog_sql(norm: str, pixel: str = "CAST(embedding[i] AS DOUBLE)") -> str:
     first = {
         "L1": "v / (sum(abs(v)) OVER b + 1e-5)",
         "L1-sqrt": "sqrt(v / (sum(abs(v)) OVER b + 1e-5))",
@@ -21,7 +26,7 @@ def _hog_sql(norm: str) -> str:
     }[norm]
     second = "v / sqrt(sum(v * v) OVER b + 1e-10)" if norm == "L2-Hys" else "v"
     return f"""
-WITH px AS (SELECT vec_id AS image_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)),
+WITH px AS (SELECT vec_id AS image_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, {pixel} AS v FROM embeddings, range(1, 65) t(i)),
 g AS (SELECT image_id, y, x,
    CASE WHEN y IN (0, 7) THEN 0 ELSE lead(v) OVER (PARTITION BY image_id, x ORDER BY y) - lag(v) OVER (PARTITION BY image_id, x ORDER BY y) END AS gy,
    CASE WHEN x IN (0, 7) THEN 0 ELSE lead(v) OVER (PARTITION BY image_id, y ORDER BY x) - lag(v) OVER (PARTITION BY image_id, y ORDER BY x) END AS gx
@@ -51,6 +56,45 @@ for _name, _norm in (("hog_features", "L2-Hys"), ("hog_l1", "L1"), ("hog_l1_sqrt
     query(_name, _hog_sql(_norm))(lambda spark, sf_dir, norm=_norm: _hog(spark, sf_dir, norm))
 
 
+def _png(rows: np.ndarray) -> bytes:
+    """A grey image of 8 bits."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    height, width = rows.shape
+    lines = b"".join(b"\0" + r.tobytes() for r in rows)
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def _write_images(df, folder: str):
+    """(row_id, file name) of one image file per row, written by the tasks."""
+
+    def write(parts):
+        fs, root = FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(root, recursive=True)
+        for part in parts:
+            for i, vector in zip(part.row_id, part.features):
+                grey = np.clip(np.floor(np.asarray(vector) * 40 + 128.5), 0, 255).astype(np.uint8)
+                with fs.open_output_stream(f"{root}/{i}.png") as out:
+                    out.write(_png(grey.reshape(8, 8)))
+            yield part[["row_id"]].assign(picture=part.row_id.astype(str) + ".png")
+
+    return df.mapInPandas(write, "row_id long, picture string")
+
+
+@query("image_hog", _hog_sql("L2-Hys", "CAST(greatest(0, least(255, floor(CAST(embedding[i] AS DOUBLE) * 40 + 128.5))) AS DOUBLE)"))
+def image_hog(spark, sf_dir):
+    """Every embedding as an image file; rows name the files, by relative and by absolute path."""
+    folder = scratch_dir(spark)
+    written = cut_lineage(_write_images(dense(spark, sf_dir).select("row_id", "features"), folder))
+    path = F.when(F.col("row_id") % 2 == 0, F.col("picture")).otherwise(F.concat(F.lit(folder + "/"), "picture"))
+    rows = paths.image_attribute(written.select("row_id", path.alias("picture")), "picture", folder)
+    found = extractors.Hog(9, 2, 2, 2, 2, "L2-Hys").features(rows, "picture")
+    return rounded(found.select(F.col("row_id").alias("image_id"), F.posexplode("features").alias("feature_ix", "value")))
+
+
 @query(
     "path_text",
     "SELECT c_custkey AS row_id, c_mktsegment AS label, n_name || ' in region ' || n_regionkey AS nation "

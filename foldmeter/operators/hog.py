@@ -1,14 +1,14 @@
 """Histogram of oriented gradients.
 
-``images`` is (image_id, height, width, channels, pixels array<double>) with
-pixels row by row.  Gradients are taken inside each image's row, then summed
-per cell; only cell histograms are shuffled.
+``images`` is (image_id, height, width, channels, pixels array<double>) with pixels row by row.  An image is one row and its
+features are computed where it lies: nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 # Block norms and their constants.
 BLOCK_NORMS = ("L1", "L1-sqrt", "L2", "L2-Hys")
@@ -16,52 +16,38 @@ EPS = 1e-5
 CLIP = 0.2
 
 
-def _gradients(cell_h: int, cell_w: int, bins: int) -> Column:
-    """array<struct<cell, bin, mag>> over the pixels that lie in whole cells."""
-    h, w, ch, px = F.col("height"), F.col("width"), F.col("channels"), F.col("pixels")
-    cols = F.floor(w / cell_w).cast("int")
+def _gradients(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Size and angle in degrees [0, 180) per pixel, of the channel with the strongest gradient, the first of equals.
 
-    def pixel(y: Column, x: Column, c: Column) -> Column:
-        return F.get(px, ((y * w + x) * ch + c).cast("int"))
-
-    def gradient(i: Column) -> Column:
-        y, x = F.floor(i / w).cast("int"), i % w
-
-        def of_channel(c: Column) -> Column:
-            inner_y, inner_x = (y > 0) & (y < h - 1), (x > 0) & (x < w - 1)
-            gy = F.when(inner_y, pixel(y + 1, x, c) - pixel(y - 1, x, c)).otherwise(0.0)
-            gx = F.when(inner_x, pixel(y, x + 1, c) - pixel(y, x - 1, c)).otherwise(0.0)
-            return F.struct((gx * gx + gy * gy).alias("sq"), (-c).alias("c"), gy.alias("gy"), gx.alias("gx"))
-
-        strongest = F.array_max(F.transform(F.sequence(F.lit(0), ch - 1), of_channel))
-        return F.struct(
-            (F.floor(y / cell_h).cast("int") * cols + F.floor(x / cell_w).cast("int")).alias("cell"),
-            strongest.alias("g"),
-        )
-
-    whole = lambda i: (F.floor(i / w) < F.floor(h / cell_h) * cell_h) & ((i % w) < cols * cell_w)
-    places = F.filter(F.sequence(F.lit(0), h * w - 1), whole)
-    return F.when(h * w > 0, F.transform(places, gradient))
-
-
-def _block_norm(v: Column, norm: str) -> Column:
-    def total(a: Column, f) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
-
-    def over(a: Column, length: Column, f=lambda x: x) -> Column:
-        return F.get(F.transform(F.array(length), lambda n: F.transform(a, lambda x: f(x / n))), F.lit(0))
-
-    def l2(a: Column) -> Column:
-        return over(a, F.sqrt(total(a, lambda x: x * x) + EPS**2))
-
-    if norm == "L1":
-        return over(v, total(v, F.abs) + EPS)
-    if norm == "L1-sqrt":
-        return over(v, total(v, F.abs) + EPS, F.sqrt)
-    if norm == "L2":
-        return l2(v)
-    clipped = F.transform(l2(v), lambda x: F.least(x, F.lit(CLIP)))
-    return F.get(F.transform(F.array(clipped), l2), F.lit(0))
+    Differences are taken between the neighbours on both sides; the image's border has none.
+    """
+    gy, gx = np.zeros_like(image), np.zeros_like(image)
+    gy[1:-1] = image[2:] - image[:-2]
+    gx[:, 1:-1] = image[:, 2:] - image[:, :-2]
+    square = gx * gx + gy * gy
+    best = square.argmax(axis=2)[:, :, None]
+    angle = np.degrees(np.arctan2(np.take_along_axis(gy, best, 2), np.take_along_axis(gx, best, 2)))[:, :, 0] % 180.0
+    return np.sqrt(np.take_along_axis(square, best, 2)[:, :, 0]), np.where(angle >= 180.0, 0.0, angle)
+
+
+def _histograms(size: np.ndarray, angle: np.ndarray, bins: int, cell_h: int, cell_w: int) -> np.ndarray:
+    """(cell rows, cell columns, bins): mean gradient per pixel of every whole cell."""
+    rows, cols = size.shape[0] // cell_h, size.shape[1] // cell_w
+    size, angle = size[: rows * cell_h, : cols * cell_w], angle[: rows * cell_h, : cols * cell_w]
+    slot = np.floor(angle / (180.0 / bins)).astype(np.int64)
+    cell = (np.arange(rows * cell_h) // cell_h)[:, None] * cols + (np.arange(cols * cell_w) // cell_w)[None, :]
+    inside = slot < bins
+    sums = np.bincount((cell * bins + slot)[inside], weights=size[inside], minlength=rows * cols * bins)
+    return sums.reshape(rows, cols, bins) / (cell_h * cell_w)
+
+
+def _normed(blocks: np.ndarray, norm: str) -> np.ndarray:
+    """Rows of block values at unit length."""
+    if norm.startswith("L1"):
+        out = blocks / (np.abs(blocks).sum(axis=1, keepdims=True) + EPS)
+        return np.sqrt(out) if norm == "L1-sqrt" else out
+    l2 = lambda b: b / np.sqrt((b * b).sum(axis=1, keepdims=True) + EPS**2)
+    return l2(np.minimum(l2(blocks), CLIP)) if norm == "L2-Hys" else l2(blocks)
 
 
 def hog_features(
@@ -81,32 +67,31 @@ def hog_features(
         raise ValueError(f"norm must be one of {BLOCK_NORMS}")
     if min(bins, cell_width, cell_height, block_width, block_height) < 1:
         raise ValueError("bins, cell and block sizes must be at least 1")
-    dims = ["image_id", "height", "width"]
-    px = images.select(*dims, F.explode_outer(_gradients(cell_height, cell_width, bins)).alias("p")).select(
-        *dims, "p.cell", F.sqrt("p.g.sq").alias("mag"), F.degrees(F.atan2("p.g.gy", "p.g.gx")).alias("deg")
-    )
-    angle = F.pmod(F.col("deg"), F.lit(180.0))
-    angle = F.when(angle >= 180.0, 0.0).otherwise(angle)
-    slot = F.floor(angle / F.lit(180.0 / bins)).cast("int")
-    area = float(cell_width * cell_height)
-    cells = px.groupBy(*dims, "cell").agg(
-        F.array(*[F.sum(F.when(slot == b, F.col("mag")).otherwise(0.0)) / area for b in range(bins)]).alias("hist")
-    )
-    grid = cells.groupBy(*dims).agg(F.sort_array(F.collect_list(F.struct("cell", "hist"))).alias("cells"))
-    cols = F.floor(F.col("width") / cell_width).cast("int")
-    rows = F.floor(F.col("height") / cell_height).cast("int")
-    across, down = cols - block_width + 1, rows - block_height + 1
-    in_block = F.sequence(F.lit(0), F.lit(block_width * block_height - 1))
-
-    def block(b: Column) -> Column:
-        top, left = F.floor(b / across).cast("int"), b % across
-
-        def cell(j: Column) -> Column:
-            at = (top + F.floor(j / block_width).cast("int")) * cols + left + j % block_width
-            return F.get("cells", at)["hist"]
-
-        values = F.flatten(F.transform(in_block, cell))
-        return F.get(F.transform(F.array(values), lambda v: _block_norm(v, norm)), F.lit(0))
-
-    blocks = F.when((across > 0) & (down > 0), F.transform(F.sequence(F.lit(0), across * down - 1), block))
-    return grid.select("image_id", F.coalesce(F.flatten(blocks), F.array().cast("array<double>")).alias("features"))
+
+    def features(height, width, channels, pixels) -> np.ndarray:
+        if not (height and width and channels) or pixels is None:
+            return np.zeros(0)
+        hist = _histograms(*_gradients(pixels.reshape(height, width, channels)), bins, cell_height, cell_width)
+        down, across = hist.shape[0] - block_height + 1, hist.shape[1] - block_width + 1
+        if down < 1 or across < 1:
+            return np.zeros(0)
+        windows = np.lib.stride_tricks.sliding_window_view(hist, (block_height, block_width), axis=(0, 1))
+        values = windows.transpose(0, 1, 3, 4, 2).reshape(down * across, -1)
+        return _normed(values, norm).ravel()
+
+    def of_images(batches):
+        for batch in batches:
+            shape = [batch.column(i).to_pylist() for i in (1, 2, 3)]
+            values = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(batch.column(4).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            known = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            out = [
+                features(h, w, c, values[(ends[i - 1] if i else 0) : ends[i]] if known[i] else None) for i, (h, w, c) in enumerate(zip(*shape))
+            ]
+            at = np.concatenate([[0], np.cumsum([len(o) for o in out])]).astype(np.int32)
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), flat)], names=["image_id", "features"])
+
+    kind = images.schema["image_id"].dataType.simpleString()
+    columns = images.selectExpr("image_id", "int(height) AS height", "int(width) AS width", "int(channels) AS channels", "pixels")
+    return columns.mapInArrow(of_images, f"image_id {kind}, features array<double>")

@@ -122,3 +122,14 @@ def test_small_images_stay(spark):
     df = spark.createDataFrame(images, "image_id long, height int, width int, channels int, pixels array<double>")
     got = {r.image_id: len(r.features) for r in hog.hog_features(df, 9, 8, 8, 2, 2).collect()}
     assert got == {1: 36, 2: 0, 3: 0}
+
+
+def test_only_named_files_are_read(spark, tmp_path):
+    """Names with pattern characters are names; files that no row names are not opened."""
+    (tmp_path / "a[1].txt").write_text("one")
+    (tmp_path / "b{2}*.txt").write_text("two")
+    (tmp_path / "never.txt").write_bytes(b"\xff" * 10)
+    rows = spark.createDataFrame([(0, "a[1].txt"), (1, str(tmp_path / "b{2}*.txt")), (2, "./a[1].txt")], "row_id long, text string")
+    got = paths.text_attribute(rows, "text", str(tmp_path))
+    assert {r.row_id: r.text for r in got.collect()} == {0: "one", 1: "two", 2: "one"}
+    assert not any("never" in f for f in got.inputFiles()) and len(got.inputFiles()) == 2
