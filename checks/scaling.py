@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, VarianceThresholdSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from checks.features import VOCAB_SQL, _tfidf_sql
+from checks.features import TERMS_SQL, VOCAB_SQL, _tfidf_sql
 from checks.inputs import DENSE_SQL, dense_folds, documents
 from checks.registry import query, rounded, table
-from foldmeter.operators import features, scaling, selection, text
+from foldmeter.operators import classifiers, extractors, features, scaling, selection, text
 
 # Fit on the rows outside fold 0, transform all rows.
 _ALL = "FROM long JOIN p USING (feature_ix)"
@@ -156,6 +157,26 @@ def scale_robust_sparse(spark, sf_dir):
     return _sparse_out(spark, sf_dir, scaling.sparse_robust)
 
 
+@query(
+    "ml_stages",
+    f"""WITH {TERMS_SQL},
+c AS (SELECT count(*) AS total FROM documents),
+kept AS (SELECT term, max(tf) AS top FROM tf, c GROUP BY term
+         HAVING (sum(tf * tf) - sum(tf) ** 2 / any_value(total)) / (any_value(total) - 1) > 0.25)
+SELECT row_id, 'text : ' || term AS name, round(tf / top, 6) AS value FROM tf JOIN kept USING (term)""",
+)
+def ml_stages(spark, sf_dir):
+    """Stages of ``pyspark.ml`` as extractor, selector and normalizer: counts, variance threshold, division by the maximum."""
+    docs = documents(spark, sf_dir).withColumn("label_ix", F.lit(0))
+    extractor = extractors.MLStages([CountVectorizer(vocabSize=1 << 30)], tokens=True).fit(docs, "text")
+    rows = extractor.vector(docs, "features").select("row_id", "label_ix", "features").persist()
+    selector = selection.MLSelector(VarianceThresholdSelector(varianceThreshold=0.25)).fit(rows)
+    chosen = selector.transform(rows)
+    scaled = classifiers.MLNormalizer(MaxAbsScaler()).fit(chosen).transform(chosen)
+    names = spark.createDataFrame(list(enumerate(selector.names(extractor.names))), "feature_ix int, name string")
+    return rounded(classifiers.entries(scaled).join(names, "feature_ix").select("row_id", "name", "value"))
+
+
 SELECT_SQL = f"""
 WITH {VOCAB_SQL.replace("toks AS (", "toks AS MATERIALIZED (").replace("tf AS (", "tf AS MATERIALIZED (").replace("vocab AS (", "vocab AS MATERIALIZED (")},
 {_tfidf_sql('l2').replace("feats AS (", "feats AS MATERIALIZED (")},

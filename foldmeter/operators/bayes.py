@@ -252,3 +252,40 @@ def multinomial_all_folds(rows: DataFrame, train: DataFrame, test: DataFrame, fo
     ]
     best = F.array_max(F.array(*[F.struct(t.alias("score"), F.lit(-c).alias("c")) for c, t in enumerate(totals)]))
     return joined.select("row_id", (-best["c"]).alias("predicted_ix"))
+
+
+def multinomial_left_out(rows: DataFrame, entries: DataFrame, n_features: int, n_classes: int) -> DataFrame:
+    """(row_id, predicted_ix, log_score): leave-one-out in closed form, for any number of rows.
+
+    ``rows`` is (row_id, label_ix), ``entries`` (row_id, feature_ix, value).  A row's model is that of all rows with the row's
+    own values taken out of its class's sums and counts, so one grouping and one lookup serve every row.
+    """
+    from foldmeter.operators.lookup import lookup_join
+    from foldmeter.session import cut_lineage
+
+    v = F.col("value")
+    v = F.when(v < 0, F.raise_error(F.lit("multinomial model: negative feature value")).cast("double")).otherwise(v)
+    labelled = entries.select("row_id", "feature_ix", v.alias("value")).join(rows.select("row_id", "label_ix"), "row_id")
+    mine = [F.col("label_ix") == c for c in range(n_classes)]
+    sums = labelled.groupBy("feature_ix").agg(
+        F.count("*").alias("w"), *[F.sum(F.when(m, F.col("value")).otherwise(0.0)).alias(f"s{c}") for c, m in enumerate(mine)]
+    )
+    sums = cut_lineage(sums)
+    total = sums.agg(*[F.coalesce(F.sum(f"s{c}"), F.lit(0.0)) for c in range(n_classes)]).first()
+    found = {r["label_ix"]: r["count"] for r in rows.groupBy("label_ix").count().collect()}  # one row per class
+    counts = [found.get(c, 0) for c in range(n_classes)]
+    rest = max(sum(counts) - 1, 1)
+    hits = lookup_join(labelled, sums, ["feature_ix"], "w")
+    value = F.col("value")
+    left = [F.log(F.col(f"s{c}") - F.when(m, value).otherwise(0.0) + SMOOTHING) for c, m in enumerate(mine)]
+    per_row = hits.groupBy("row_id").agg(F.sum(value).alias("size"), *[F.sum(value * x).alias(f"l{c}") for c, x in enumerate(left)])
+    joined = rows.select("row_id", "label_ix").join(per_row, "row_id", "left").withColumn("size", F.coalesce("size", F.lit(0.0)))
+    scores = []
+    for c, m in enumerate(mine):
+        n = F.lit(float(counts[c])) - F.when(m, 1.0).otherwise(0.0)
+        size = F.lit(float(total[c]) + SMOOTHING * n_features) - F.when(m, F.col("size")).otherwise(0.0)
+        prior = F.when(n > 0, F.log(n / rest)).otherwise(F.lit(float("-inf")))
+        score = prior + F.coalesce(F.col(f"l{c}"), F.lit(0.0)) - F.col("size") * F.log(size)
+        scores.append(F.struct(score.alias("score"), F.lit(-c).alias("c")))
+    best = F.array_max(F.array(*scores))
+    return joined.select("row_id", (-best["c"]).alias("predicted_ix"), best["score"].alias("log_score"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from foldmeter.operators import evolve, knn, linear, network, scaling
 from foldmeter.operators.machines import LinearMachines, as_entries
-from foldmeter.operators.bayes import GaussianNB, multinomial_all_folds
+from foldmeter.operators.bayes import GaussianNB, multinomial_all_folds, multinomial_left_out
 
 
 def dense(df: DataFrame) -> DataFrame:
@@ -67,6 +67,17 @@ class _Stage:
         return self.stage.transform(vectors(df)).drop("features").withColumnRenamed("_n", "features")
 
 
+@dataclass
+class MLNormalizer:
+    """Any ``pyspark.ml`` scaler or transformer from vectors to vectors, fitted on the training rows."""
+
+    stage: Any
+
+    def fit(self, train: DataFrame) -> _Stage:
+        stage = self.stage.copy({self.stage.getParam("inputCol"): "features", self.stage.getParam("outputCol"): "_n"})
+        return _Stage(stage.fit(vectors(train)) if hasattr(stage, "fit") else stage)
+
+
 @dataclass
 class _Columns:
     scaler: scaling.Scaler
@@ -260,8 +271,11 @@ class NaiveBayes(Classifier):
         return GaussianNB.fit(rows).predict(rows).select("row_id", "predicted_ix")
 
     def left_out(self, df: DataFrame) -> DataFrame:
-        if self.type_v != "gaussian":
-            raise NotImplementedError
+        if self.type_v == "multinomial":
+            sizes = F.unwrap_udt("features")
+            width = F.size("features") if dict(df.dtypes)["features"].startswith("array") else F.coalesce(sizes["size"], F.size(sizes["values"]))
+            n_features, last = df.agg(F.max(width), F.max("label_ix")).first()
+            return multinomial_left_out(df, entries(df), n_features or 0, (last or 0) + 1).select("row_id", "predicted_ix")
         rows = dense(df).withColumn("fold", F.lit(0))
         return GaussianNB.fit(rows).predict_left_out(rows).select("row_id", "predicted_ix")
 

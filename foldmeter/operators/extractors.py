@@ -7,8 +7,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector
@@ -255,3 +256,59 @@ class FittedHog:
 
     def long(self, df: DataFrame) -> DataFrame:
         return to_long(self.spec.features(df, self.attribute))
+
+
+@dataclass
+class MLStages:
+    """``pyspark.ml`` stages from the attribute to a vector: estimators and transformers, each reading the one before.
+
+    A text's tokens, as this library splits them, are the first input with ``tokens=True``; else the attribute itself is.
+    """
+
+    stages: Sequence[Any]
+    tokens: bool = False
+    case_sensitive: bool = True
+    stateless = False
+
+    def fit(self, train: DataFrame, attribute: str) -> FittedStages:
+        if not self.stages:
+            raise ValueError("at least one stage is needed")
+        fitted = FittedStages(attribute, [], 0, self)
+        frame = fitted.start(train)
+        for i, stage in enumerate(self.stages):
+            stage = stage.copy({stage.getParam("inputCol"): f"_s{i}", stage.getParam("outputCol"): f"_s{i + 1}"})
+            fitted.models.append(stage.fit(frame) if hasattr(stage, "fit") else stage)
+            frame = fitted.models[-1].transform(frame)
+        u = F.unwrap_udt(f"_s{len(self.stages)}")
+        fitted.width = frame.agg(F.max(F.coalesce(u["size"], F.size(u["values"])))).first()[0] or 0
+        return fitted
+
+
+@dataclass
+class FittedStages:
+    attribute: str
+    models: list
+    width: int
+    spec: MLStages
+
+    def start(self, df: DataFrame) -> DataFrame:
+        first = tokens(F.col(self.attribute), not self.spec.case_sensitive) if self.spec.tokens else F.col(self.attribute)
+        return df.withColumn("_s0", first)
+
+    @property
+    def names(self) -> list[str]:
+        """Terms where a stage has a vocabulary of the right size."""
+        terms = next((m.vocabulary for m in reversed(self.models) if hasattr(m, "vocabulary") and len(m.vocabulary) == self.width), None)
+        return [f"{self.attribute} : {t}" for t in terms or ["UNK"] * self.width]
+
+    def vector(self, df: DataFrame, out: str) -> DataFrame:
+        frame = self.start(df)
+        for model in self.models:
+            frame = model.transform(frame)
+        return frame.withColumnRenamed(f"_s{len(self.models)}", out).drop(*[f"_s{i}" for i in range(len(self.models))])
+
+    def long(self, df: DataFrame) -> DataFrame:
+        u = F.unwrap_udt("_v")
+        at = F.when(u["type"] == 0, u["indices"]).otherwise(F.sequence(F.lit(0), F.size(u["values"]) - 1))
+        zipped = F.explode(F.arrays_zip(at.alias("feature_ix"), u["values"].alias("value"))).alias("e")
+        return self.vector(df, "_v").select("row_id", zipped).select("row_id", "e.feature_ix", "e.value").filter("value <> 0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorSlicer
@@ -129,6 +130,21 @@ class TreeSelector:
         return _kept([int(i) for i in np.flatnonzero(importance >= limit)])
 
 
+@dataclass
+class MLSelector:
+    """Any ``pyspark.ml`` feature selector that tells its ``selectedFeatures``; labels are passed where it takes them."""
+
+    estimator: Any
+
+    def fit(self, train: DataFrame, column: str = "features") -> FittedSelector:
+        params = {self.estimator.getParam("featuresCol"): column, self.estimator.getParam("outputCol"): "_kept"}
+        if self.estimator.hasParam("labelCol"):
+            params[self.estimator.getParam("labelCol")] = "label_ix"
+        if dict(train.dtypes)[column].startswith("array"):
+            train = train.withColumn(column, array_to_vector(column))
+        return _kept(sorted(int(i) for i in self.estimator.fit(train, params).selectedFeatures))
+
+
 def select_chain(selectors: Sequence, train: DataFrame, tests: Sequence[DataFrame], column: str = "features"):
     """Fit each selector on the training rows left by the one before; apply it to all frames."""
     fitted = []

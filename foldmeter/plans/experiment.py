@@ -314,7 +314,7 @@ def _closed_form(config: Experiment) -> bool:
     """Leave-one-out without a loop: nothing but the classifier itself may learn from the rows."""
     still = all(getattr(e, "stateless", False) for e in config.attributes.values())
     able = all(
-        hasattr(c, "left_out") and c.normalizer is None and getattr(c, "type_v", "gaussian") == "gaussian"
+        hasattr(c, "left_out") and c.normalizer is None
         for c in config.classifiers
     )
     return still and able and not config.selectors

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, CountVectorizer, MaxAbsScaler, UnivariateFeatureSelector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -223,3 +224,36 @@ def test_all_folds_give_what_single_steps_give(spark, two_class):
     stats = lambda r: sorted(tuple(x) for x in r.step_stats.collect())
     assert stats(once) == stats(looped)
     assert once.timings.groupBy("step", "classifier").count().filter("count <> 12").count() == 0
+
+
+def test_pyspark_ml_stages_in_every_slot(spark):
+    """Extractor, selector, normalizer and classifier are all ``pyspark.ml`` stages."""
+    rows = [(i, "ab"[i % 2], f"{'red blue' if i % 2 else 'green blue'} w{i % 3} w{i % 5}") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id bigint, label string, text string")
+    model = classifiers.MLClassifier(LogisticRegression(maxIter=20), "Logistic", "LR", normalizer=classifiers.MLNormalizer(MaxAbsScaler()))
+    chosen = selection.MLSelector(UnivariateFeatureSelector(selectionMode="numTopFeatures").setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(2))
+    stages = extractors.MLStages([CountVectorizer(), IDF()], tokens=True)
+    result = run_experiment(df, Experiment(label="label", attributes={"text": stages}, selectors=[chosen], classifiers=[model], validator=StratifiedKFold(4)))
+    assert result.scores().first()["accuracy"] == 1.0
+    assert {r.n_features for r in result.step_stats.collect()} == {2}
+    fitted = stages.fit(df, "text")
+    assert fitted.width == 8 and "text : blue" in fitted.names
+    counted = extractors.MLStages([CountVectorizer()], tokens=True).fit(df, "text")
+    assert counted.long(df).agg(F.sum("value")).first()[0] == 160
+
+
+def test_multinomial_leave_one_out_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x, label = rng.integers(0, 4, (30, 5)), rng.integers(0, 3, 30)
+    x[0], label[0] = 0, 1
+    x[1], label[1], label[2:][label[2:] == 2] = 3, 2, 0  # class 2 has one row only
+    df = spark.createDataFrame([(i, int(label[i]), Vectors.dense(r.astype(float))) for i, r in enumerate(x)], ["row_id", "label_ix", "features"])
+    got = {r.row_id: r.predicted_ix for r in classifiers.NaiveBayes(type_v="multinomial").left_out(df).collect()}
+    for i in range(30):
+        rest = np.arange(30) != i
+        scores = []
+        for c in range(3):
+            mine = rest & (label == c)
+            s = x[mine].sum(0) + 1.0
+            scores.append(np.log(mine.sum() / 29) + x[i] @ np.log(s / s.sum()) if mine.any() else -np.inf)
+        assert got[i] == int(np.argmax(scores)), i
