@@ -13,6 +13,8 @@ from foldmeter.operators.selection import VarianceSelector
 from foldmeter.plans.config import Experiment, StratifiedKFold
 from foldmeter.plans.experiment import run_experiment
 from foldmeter.plans.profile import profile
+from foldmeter.plans.saved import load_experiment, save_experiment
+from foldmeter.session import scratch_dir
 
 
 def _experiment(spark, sf_dir, models, selectors=()):
@@ -36,6 +38,23 @@ def experiment_predictions(spark, sf_dir):
     return result.predictions.select("step", "classifier", "row_id", "real", "predicted")
 
 
+@query(
+    "experiment_reloaded",
+    GNB_SQL + " SELECT step, 'Naive Bayes Classifier' AS classifier, row_id, CAST(label_ix AS VARCHAR) AS real, "
+    "CAST(predicted_ix AS VARCHAR) AS predicted FROM gnb",
+)
+def experiment_reloaded(spark, sf_dir):
+    """An experiment saved as text, read back and run."""
+    config = Experiment(
+        label="label", attributes={"features": extractors.Pass()}, validator=StratifiedKFold(5), classifiers=[classifiers.NaiveBayes()]
+    )
+    path = scratch_dir(spark)
+    save_experiment(spark, config, path)
+    again = load_experiment(spark, path)
+    result = run_experiment(dense(spark, sf_dir).select("row_id", "label", "features"), again)
+    return result.predictions.select("step", "classifier", "row_id", "real", "predicted")
+
+
 _SUMMARY = ", ".join(f"round(avg({s}), 6) AS {s}" for s in scores.SCORES)
 
 

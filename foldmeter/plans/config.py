@@ -84,13 +84,16 @@ class PreparedSets:
 
 @dataclass
 class LeaveOneOut:
-    """Closed form where classifier and extractors allow it; else one step per row, up to ``max_steps`` rows."""
+    """Closed form where classifier and extractors allow it; else one step per row, however many rows there are.
 
-    max_steps: int = 200
+    ``max_steps`` may be given to refuse more steps than one wants to wait for.
+    """
+
+    max_steps: int | None = None
 
     def steps(self, df: DataFrame) -> Steps:
         n = df.count()
-        if n > self.max_steps:
+        if self.max_steps is not None and n > self.max_steps:
             raise ValueError(f"leave-one-out would take {n} steps; at most {self.max_steps} are run one by one")
         return Steps(n, _roles_from_folds(splits.leave_one_out(df).persist()))
 
