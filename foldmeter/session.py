@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,34 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them share")
         base = tempfile.mkdtemp(prefix="foldmeter-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    for made in _recorded:
+        made.append(folder)
+    return folder
+
+
+#: Scratch tables made since recording began, where somebody records them.
+_recorded: list[list[str]] = []
+
+
+@contextmanager
+def recorded_scratch() -> Iterator[list[str]]:
+    """The scratch folders handed out inside, for ``drop_scratch`` once nothing reads them any more."""
+    made: list[str] = []
+    _recorded.append(made)
+    try:
+        yield made
+    finally:
+        _recorded.remove(made)
+
+
+def drop_scratch(spark: SparkSession, folders: list[str]) -> None:
+    """Delete recorded scratch folders: only names that ``scratch_dir`` made, by the file system that holds them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    folders.clear()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
