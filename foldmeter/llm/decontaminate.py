@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.llm.text import fold_ascii
+from foldmeter.llm.text import beside, fold_ascii
 from foldmeter.session import broadcast_if_small, cut_lineage
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -133,6 +133,12 @@ def decontaminate(
 
     A text that is contaminated as a whole becomes empty.  All other columns stay.
     """
+    return beside(docs, [id_column, text_column], lambda d: _decontaminate(d, items, id_column, text_column, drop_documents, k))
+
+
+def _decontaminate(
+    docs: DataFrame, items: DataFrame, id_column: str, text_column: str, drop_documents: bool, k: int
+) -> DataFrame:
     found = contamination(docs, items, id_column, text_column, k=k).filter("n_hit > 0")
     found = cut_lineage(found.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs")))
     same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("_mark"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldmeter.llm.text import word_array
+from foldmeter.llm.text import beside, word_array
 from foldmeter.session import broadcast_if_small, cut_lineage
 
 #: Patterns are a matter of configuration, not of corpus size: more of them are refused.
@@ -105,6 +105,19 @@ def mix_sources(
     target are those of the first source.  Order within a pattern: a seeded hash of id and text, then the id; rows equal in
     both share a place and are taken in either order.
     """
+    return beside(docs, [id_column, text_column, source_column], lambda d: _mix_sources(d, id_column, text_column, source_column, weights, share, most, seed))
+
+
+def _mix_sources(
+    docs: DataFrame,
+    id_column: str,
+    text_column: str,
+    source_column: str,
+    weights: tuple[int, ...],
+    share: float,
+    most: int,
+    seed: int,
+) -> DataFrame:
     spark = docs.sparkSession
     many = dict(docs.dtypes)[source_column].startswith("array")
     members = F.array_sort(F.array_distinct(source_column)) if many else F.array(source_column)
@@ -139,7 +152,7 @@ def mix_sources(
     bins = cut_lineage(bins.select("_members", "_bin", "before", "_quotas", cut.alias("cut"), whole.alias("whole")))
     # only the bins that a quota cuts are ordered document by document
     edge = bins.filter("cut").select(F.col("_members").alias("_m"), F.col("_bin").alias("_b"), "before", "_quotas")
-    rows_ = placed.join(F.broadcast(edge), placed["_members"].eqNullSafe(F.col("_m")) & (placed["_bin"] == F.col("_b")))
+    rows_ = placed.join(broadcast_if_small(edge), placed["_members"].eqNullSafe(F.col("_m")) & (placed["_bin"] == F.col("_b")))
     inner = Window.partitionBy("_m", "_b").orderBy("_place", "_id").rowsBetween(Window.unboundedPreceding, -1)
     rows_ = rows_.withColumn("_at", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     part = F.aggregate(
@@ -149,7 +162,7 @@ def mix_sources(
     rows_ = cut_lineage(rows_)
     levels = bins.filter("not cut").select(F.col("_members").alias("_m2"), F.col("_bin").alias("_b2"), "whole")
     out = keyed.withColumn("_bin", bin_)
-    out = out.join(F.broadcast(levels), out["_members"].eqNullSafe(F.col("_m2")) & (out["_bin"] == F.col("_b2")), "left")
+    out = out.join(broadcast_if_small(levels), out["_members"].eqNullSafe(F.col("_m2")) & (out["_bin"] == F.col("_b2")), "left")
     out = out.join(
         broadcast_if_small(rows_),
         out["_members"].eqNullSafe(F.col("_m")) & (out["_place"] == F.col("_p")) & out[id_column].eqNullSafe(F.col("_i")),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.llm.text import word_array
+from foldmeter.llm.text import beside, word_array
 from foldmeter.llm.words import Words, mix, salted, signed, words
 from foldmeter.session import broadcast_if_small, cut_lineage
 
@@ -240,6 +240,12 @@ def substring_dedup(
     A removed word takes the white space after it along; what stays is unchanged.  All rows come back, a wholly repeated text
     as an empty one.  Null and short texts are left alone.  Columns of ``docs`` named n_words or n_removed are replaced.
     """
+    return beside(docs, [id_column, text_column], lambda d: _substring_dedup(d, id_column, text_column, window, rounds))
+
+
+def _substring_dedup(
+    docs: DataFrame, id_column: str, text_column: str, window: int, rounds: int
+) -> DataFrame:
     found = repeated_words(docs, id_column, text_column, window, rounds)
     found = found.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("runs").alias("_runs"))
     order = F.coalesce(F.col(id_column), F.lit((1 << 63) - 1)).cast("long")

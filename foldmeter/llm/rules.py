@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.llm.text import BLANK, word_array
+from foldmeter.llm.text import BLANK, beside, word_array
 from foldmeter.session import broadcast_if_small, cut_lineage
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -102,6 +102,20 @@ def line_frequency_rules(
     if less than ``least_left`` of the words are left.  Null and empty texts have no words and fail; a null host is a host.
     Every row comes back, repeated rows too.
     """
+    return beside(docs, [id_column, text_column, host_column], lambda d: _line_frequency_rules(d, id_column, text_column, host_column, min_docs, share, least_left, min_words, most_repeated))
+
+
+def _line_frequency_rules(
+    docs: DataFrame,
+    id_column: str,
+    text_column: str,
+    host_column: str,
+    min_docs: int,
+    share: float,
+    least_left: float,
+    min_words: int,
+    most_repeated: int,
+) -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_words_left", "base_failed", "kept"]
     docs = docs.drop(*made)
     bad = cut_lineage(frequent_lines(docs, host_column, text_column, min_docs, share))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space: space and bytes 9 to 13.
@@ -20,3 +22,15 @@ def fold_ascii(text: Column) -> Column:
     """A-Z to lower case and nothing else; a text of ASCII alone takes the short way."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def beside(df: DataFrame, own: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``df`` with every column other than ``own`` under a name that no operator uses, and back.
+
+    Columns that ``work`` adds replace others of the same name; the order of columns is that of ``df``, then the added ones.
+    """
+    hidden = {c: f"beside__{i}" for i, c in enumerate(df.columns) if c not in own}
+    out = work(df.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in df.columns]))
+    made = [c for c in out.columns if c not in own and c not in hidden.values()]
+    kept = [c for c in df.columns if c not in made]
+    return out.select(*[F.col(hidden.get(c, c)).alias(c) for c in kept], *made)

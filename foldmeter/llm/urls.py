@@ -11,6 +11,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldmeter.llm.text import beside
 from foldmeter.session import broadcast_if_small, cut_lineage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -103,6 +104,10 @@ def url_filter(
     and that towards the share of all, each with ``weight`` pages; below ``least_purity`` the verdict is block.  Without any
     label the share counts as 1.  Null and odd urls have an empty host and path and are judged like any others.
     """
+    return beside(pages, ["url", "label"], lambda d: _url_filter(d, rules, least_purity, weight, **tree))
+
+
+def _url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], least_purity: float, weight: float, **tree) -> DataFrame:
     made = ["host", "path", "rule", "template", "purity", "verdict"]
     pages = pages.drop(*made).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     placed = cut_lineage(templates(pages, **tree))

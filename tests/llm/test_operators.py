@@ -206,3 +206,61 @@ def test_bad_branch_below_the_fourth_segment(spark):
     bad = [(f"http://deep.com/a/b/c/d/e/bad/{i}", 0) for i in range(60)]
     got = verdicts(spark, urls + bad)
     assert all(got[u] == "block" for u, _ in bad) and all(got[u] == "allow" for u, _ in urls)
+
+
+def test_clashing_names(spark):
+    """Names that operators use inside are ordinary column names: they come back unchanged."""
+    names = ["part", "whole", "_id", "_mark", "_runs", "_words", "_host", "_segments", "_segment", "_named", "_bin", "_members", "text", "host__", "i", "a.b"]
+    shown = [n for n in names if n not in ("text",)]
+    texts = ["one two three " * 30, "one two three " * 30, None, "", "x y"]
+    base = [(i, t, "s", *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(base, ["doc_id", "body", "source", *names])
+    results = [
+        mix_sources(docs, text_column="body"),
+        substring_dedup(docs, text_column="body"),
+        decontaminate(docs, items(spark), text_column="body"),
+        line_frequency_rules(docs, text_column="body"),
+    ]
+    for got in results:
+        back = {r.doc_id: r for r in got.collect()}
+        assert len(back) == 5 and all(back[i][n] == f"{n}{i}" for i in back for n in ["text", *shown])
+    pages = spark.createDataFrame([(f"http://h.com/a/{i}", 1, *[f"{n}{i}" for n in names]) for i in range(4)], ["url", "label", *names])
+    got = {r.url: r for r in url_filter(pages, [("allow", "org", "/")]).collect()}
+    assert len(got) == 4 and all(got[f"http://h.com/a/{i}"][n] == f"{n}{i}" for i in range(4) for n in shown)
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Planted copies, passages, benchmark windows and short texts, and what every stage leaves of them."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    fresh = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    clean = [fresh(200) for _ in range(12)]
+    passage, item = fresh(70), fresh(14)
+    near = clean[0].split()
+    near[100] = "changed"
+    texts = [*clean, clean[3], " ".join(near), f"{fresh(60)} {passage}", f"{fresh(60)} {passage}", f"{fresh(60)} {item} {fresh(60)}", "too short", None, ""]
+    rows_ = [(i, t, "en", "ab"[i % 2], len(t or "")) for i, t in enumerate(texts)]
+    sf = str(tmp_path / "sf")
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    left, now = [], spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (_, work) in enumerate(pipeline.STAGES):
+        work(spark, now, sf).write.parquet(str(tmp_path / f"stage{k}"))
+        now = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        left.append({r.doc_id: r for r in now.collect()})
+        assert now.columns[:5] == docs.columns
+    assert set(left[0]) == set(range(17)) and all(left[0][i].text == texts[i] for i in left[0])
+    assert set(left[1]) == set(range(17)) - {12, 13}
+    assert left[2][15].text.split() == texts[15].split()[:60] and left[2][14].text == texts[14]
+    assert item not in left[3][16].text and len(left[3][16].text.split()) == 120
+    assert all(left[3][i].text == texts[i] and left[3][i].n_chars == len(texts[i]) for i in range(12))
+    words = {i: len(words_of(r.text)) for i, r in left[3].items()}
+    taken = {i: r.taken for i, r in left[4].items()}
+    assert all(0 < taken[i] <= 2 * words[i] for i in taken) and set(taken) <= set(words)
+    for s in "ab":
+        mine = [i for i in words if "ab"[i % 2] == s]
+        target = next(r.target for i, r in left[4].items() if r.source == s)
+        assert abs(sum(taken.get(i, 0) for i in mine) - target) <= 1
+    again = {(r.doc_id, r.text, r.taken) for r in pipeline.run(spark, sf).collect()}
+    assert again == {(r.doc_id, r.text, r.taken) for r in left[4].values()}
