@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from foldmeter.llm.mix import mix_sources
 from foldmeter.llm.repeats import substring_dedup
 from foldmeter.llm.rules import line_frequency_rules
 from foldmeter.llm.text import word_array
-from foldmeter.session import broadcast_if_small, cut_lineage
+from foldmeter.session import broadcast_if_small, cut_lineage, drop_scratch, recorded_scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,12 +55,30 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs).filter("taken > 0")
 
 
+#: Scratch tables of the stage before, by session: its result is written when the next stage begins.
+_behind: dict[int, list[str]] = {}
+
+
+def stage(work):
+    """A stage that first drops the scratch tables of the one before, whose result has been written and is read again."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(spark, _behind.pop(id(spark), []))
+        with recorded_scratch() as made:
+            out = work(spark, docs, sf_dir)
+        _behind[id(spark)] = made
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("substring dedup", repeated_passages),
-    ("benchmark decontamination", benchmark_passages),
-    ("mixing sources to target weights", source_mix),
+    ("quality rules", stage(quality_rules)),
+    ("n-gram Jaccard join", stage(near_duplicates)),
+    ("substring dedup", stage(repeated_passages)),
+    ("benchmark decontamination", stage(benchmark_passages)),
+    ("mixing sources to target weights", stage(source_mix)),
 ]
 #: Similarity components and the seeded order of the mix are beyond SQL.
 ORACLE_SQL = None
