@@ -16,12 +16,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from foldmeter.functions.numbers import strict_double
 from foldmeter.functions.text import tokens
 from foldmeter.operators import hog, text
 from foldmeter.operators.features import to_long
-from foldmeter.session import has_at_most
+from foldmeter.session import has_at_most, scratch_dir
 from foldmeter.sources.paths import image_pixels
 
 #: Vocabularies of at most so many terms go to every task; vectors of wider ones are grouped from the long form.
@@ -148,9 +149,23 @@ class Tfidf:
         return FoldFeatures(model.train, model.test, model.widths)
 
 
-def _sparse(width: int):
-    """Column function from indices and values to a sparse vector; null is all zeros."""
-    return F.udf(lambda ix, v: Vectors.sparse(width, ix or [], v or []), VectorUDT(), useArrow=False)
+def _as_vectors(df: DataFrame, out: str, width: int) -> DataFrame:
+    """``df`` with array columns ``_ix`` and ``_v`` replaced by a sparse vector ``out``.
+
+    A vector is stored as a struct, so the struct is written and read back under the vector's type: no row passes Python.
+    """
+    none_ix, none_v = F.array().cast("array<int>"), F.array().cast("array<double>")
+    body = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(width).cast("int").alias("size"),
+        F.coalesce("_ix", none_ix).alias("indices"),
+        F.coalesce("_v", none_v).alias("values"),
+    )
+    plain = df.withColumn(out, body).drop("_ix", "_v")
+    path = scratch_dir(df.sparkSession)
+    plain.write.parquet(path)
+    schema = StructType([StructField(out, VectorUDT()) if f.name == out else f for f in plain.schema.fields])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 class FittedTfidf:
@@ -176,8 +191,8 @@ class FittedTfidf:
         if not has_at_most(self.model.vocab, BROADCAST_TERMS):
             entry = F.struct("feature_ix", "value")
             grouped = self.long(df).groupBy("row_id").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-            sparse = _sparse(self.width)("_entries.feature_ix", "_entries.value")
-            return df.join(grouped, "row_id", "left").withColumn(out, sparse).drop("_entries")
+            parts = grouped.select("row_id", F.col("_entries.feature_ix").alias("_ix"), F.col("_entries.value").alias("_v"))
+            return _as_vectors(df.join(parts, "row_id", "left"), out, self.width)
         terms, weights = zip(*self._vocabulary()) if self._vocabulary() else ((), ())
         words = df.withColumn("_words", tokens(F.col(self.attribute), self.model.lowercase))
         counter = CountVectorizerModel.from_vocabulary(list(terms), inputCol="_words", outputCol="_counts")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from foldmeter.operators import classifiers, scaling
+from foldmeter.operators import classifiers, extractors, scaling
 
 
 def data(rng):
@@ -57,3 +57,13 @@ def test_no_entries(spark):
     for name, _ in FITS:
         assert getattr(scaling, name)(none, 5).transform(none).count() == 0
     assert scaling.sparse_min_max(none, 5, 3, 4).dense(2).params.filter(F.col("low") == 3).count() == 2
+
+
+def test_wide_vocabularies_give_the_same_vectors(spark, monkeypatch):
+    rows = [(0, "a b b c"), (1, "c d"), (2, ""), (3, None), (4, "z z z")]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    fitted = extractors.Tfidf().fit(df.filter("row_id < 4"), "text")
+    narrow = {r.row_id: r.v for r in fitted.vector(df, "v").collect()}
+    monkeypatch.setattr(extractors, "BROADCAST_TERMS", 2)
+    wide = {r.row_id: r.v for r in fitted.vector(df, "v").collect()}
+    assert set(wide) == {0, 1, 2, 3, 4} and all(wide[i].size == 4 and wide[i].toArray() == pytest.approx(narrow[i].toArray()) for i in wide)
