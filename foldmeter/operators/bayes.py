@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldmeter.session import cut_lineage
+
 VAR_SMOOTHING = 1e-9
 
 
@@ -143,7 +145,8 @@ def multinomial_log_probabilities(features: DataFrame, folds: int, n_features: i
         F.array(*[F.sum(F.when(F.col("fold") == f, v).otherwise(0.0)) for f in range(folds)]).alias("s")
     )
     others = [sum((F.get("s", F.lit(f)) for f in range(folds) if f != s), F.lit(0.0)) for s in range(folds)]
-    by_step = sums.select("label_ix", "feature_ix", F.posexplode(F.array(*others)).alias("step", "s")).persist()
+    by_step = sums.select("label_ix", "feature_ix", F.posexplode(F.array(*others)).alias("step", "s"))
+    by_step = cut_lineage(by_step)
     totals = by_step.groupBy("step", "label_ix").agg(F.sum("s").alias("total")).toPandas()  # steps x classes
     n_classes = int(totals.label_ix.max()) + 1
     total = np.zeros((folds, n_classes))
@@ -167,7 +170,7 @@ def multinomial_cross_validated(rows: DataFrame, features: DataFrame, folds: int
     """
     from foldmeter.operators.lookup import lookup_join
 
-    features = features.persist()
+    features = cut_lineage(features)
     table, total = multinomial_log_probabilities(features, folds, n_features)
     n_classes = total.shape[1]
     counts = np.zeros((folds, n_classes))
@@ -177,7 +180,7 @@ def multinomial_cross_validated(rows: DataFrame, features: DataFrame, folds: int
     with np.errstate(divide="ignore"):
         prior = np.log(train / train.sum(axis=1, keepdims=True))
     weight = features.groupBy(F.col("fold").alias("step"), "feature_ix").agg(F.count("*").alias("w"))
-    table = table.join(weight, ["step", "feature_ix"]).persist()
+    table = cut_lineage(table.join(weight, ["step", "feature_ix"]))
     entries = features.select("row_id", F.col("fold").alias("step"), "feature_ix", "value")
     hits = lookup_join(entries, table, ["step", "feature_ix"], "w")
     sums = hits.groupBy("row_id").agg(
@@ -206,8 +209,6 @@ def multinomial_all_folds(rows: DataFrame, train: DataFrame, test: DataFrame, fo
     the sums of all steps; classes x steps numbers reach the driver.
     """
     from foldmeter.operators.lookup import lookup_join
-    from foldmeter.session import cut_lineage
-
     negative = F.raise_error(F.lit("multinomial model: negative feature value")).cast("double")
 
     def own(s: int) -> Column:
@@ -261,8 +262,6 @@ def multinomial_left_out(rows: DataFrame, entries: DataFrame, n_features: int, n
     own values taken out of its class's sums and counts, so one grouping and one lookup serve every row.
     """
     from foldmeter.operators.lookup import lookup_join
-    from foldmeter.session import cut_lineage
-
     v = F.col("value")
     v = F.when(v < 0, F.raise_error(F.lit("multinomial model: negative feature value")).cast("double")).otherwise(v)
     labelled = entries.select("row_id", "feature_ix", v.alias("value")).join(rows.select("row_id", "label_ix"), "row_id")

@@ -160,7 +160,7 @@ class Tfidf:
         if max_features is not None and max_features < 1:
             raise ValueError("max_features must be at least 1")
         totals = term_totals(term_rows(train, text, not case_sensitive))
-        vocab = vocabulary(totals, train.count(), max_features).persist()
+        vocab = cut_lineage(vocabulary(totals, train.count(), max_features))
         return Tfidf(vocab, norm, text, not case_sensitive)
 
     def width(self) -> int:
@@ -199,7 +199,7 @@ def tfidf_by_fold(df: DataFrame, folds: int, text: str = "text", norm: str | Non
     vocab = rank_by_text(by_step, "term", by=["step"]).select(
         "step", "term", F.col("rank").cast("int").alias("feature_ix"), "df", "own", idf(F.col("n"), F.col("df")).alias("idf")
     )
-    vocab = vocab.persist()
+    vocab = cut_lineage(vocab)
     tests = terms.select(F.col("fold").alias("step"), "row_id", "term", "tf")
     found = lookup_join(tests, vocab.select("step", "term", "feature_ix", "idf", "own"), ["step", "term"], "own")
     features = found.select("step", "row_id", "feature_ix", (F.col("tf") * F.col("idf")).alias("value"))
