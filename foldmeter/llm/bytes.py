@@ -1,11 +1,12 @@
-"""Removal of byte strings that an earlier document has too, by anchors and verified windows.
-
-The anchor of a window is the smallest hash of the short strings inside it, so equal windows have equal anchors wherever they
-stand.  Neighbouring windows of one anchor form a segment.  Anchors that two documents share give candidate segments; equal
-segments are settled as a whole, and only where one anchor has several different segments are their windows compared one by
-one, once for each different segment.  Copies of a whole text are settled before by their hash.
-
-This is not a run-length Burrows-Wheeler index (see the README).
+"""Removal of byte strings that an earlier document has too, by run-compressed Burrows-Wheeler indexes of bounded blocks.
+
+An index of a whole corpus has no owner on a cluster, so documents are cut by content first.  The anchor of a window is the
+smallest hash of the short strings inside it: equal windows have equal anchors wherever they stand, and neighbouring windows
+of one anchor form a segment.  Only segments of one anchor can share a window.  Anchors of two documents or more are dealt
+into blocks; equal segments are settled at once, and the different segments of an anchor meet in the block's index
+(``runindex.py``): the earlier ones are indexed, the later ones streamed over it, and matches of a window's length are marked.
+An anchor with more than ``VARIANTS`` different segments is spread further, by the windows themselves.  Copies of a whole text
+are settled before by their hash.
 """
 
 from __future__ import annotations
@@ -19,12 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldmeter.llm.repeats import _prepared, removed_words
+from foldmeter.llm.runindex import earlier_matches
 from foldmeter.llm.words import _BYTES, _VALUE, mix, signed, spans, text_bytes
 from foldmeter.session import broadcast_if_small, cut_lineage
 
 #: Bytes of the strings that anchors are chosen from.  Longer ones give more anchors, but fewer that unrelated texts share.
 GRAM = 32
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Windows of a segment at most: a longer one, as periodic texts have, is cut from its start on.
+LONGEST = 64
+#: Different segments of one anchor that one block takes; the windows of the others are compared one by one.
+VARIANTS = 32
+#: Bytes of the rows that one block indexes and streams, about.
+BLOCK = 4 << 20
 
 
 class Chunk:
@@ -33,6 +41,7 @@ class Chunk:
     def __init__(self, first: int, data: np.ndarray, at: np.ndarray, window: int):
         self.first, self.at, n = first, at, len(data)
         up, self.down = _BYTES.of(n + 1)
+        self.data = data
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUE[data] * up[:n], out=self.sums[1:])
         end = np.repeat(at[1:], np.diff(at))
@@ -58,6 +67,10 @@ class Chunk:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         new = (np.diff(self.pos) != 1) | (self.anchor[1:] != self.anchor[:-1]) | (np.diff(self.doc[self.pos]) != 0)
         first = np.r_[0, np.flatnonzero(new) + 1]
+        size = np.diff(np.r_[first, len(self.pos)])
+        parts = -(-size // LONGEST)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.repeat(first, parts) + nth * LONGEST
         return first, np.r_[first[1:], len(self.pos)] - 1
 
 
@@ -140,6 +153,107 @@ def _windows(window: int):
     return run
 
 
+def _strings(window: int):
+    """The bytes of chosen segments, equal ones of a row once with all their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, ends = batch.column("places"), np.asarray(batch.column("places").offsets)
+            begin, length = np.asarray(places.values).astype(np.int64), np.asarray(batch.column("lengths").values).astype(np.int64)
+            anchor = np.asarray(batch.column("anchors").values)
+            for c in chunks(batch.column("text"), window):
+                n = len(c.at) - 1
+                e = ends[c.first : c.first + n + 1]
+                own = slice(e[0], e[-1])
+                doc = np.repeat(np.arange(n), np.diff(e))
+                lo, size, name = begin[own] + c.at[doc], length[own] + window - 1, anchor[own]
+                value = c.range_hash(lo, lo + size)
+                order = np.lexsort((lo, size, value, name, doc))
+                doc, lo, size, name, value = (x[order] for x in (doc, lo, size, name, value))
+                new = np.ones(len(lo), bool)
+                new[1:] = np.any([x[1:] != x[:-1] for x in (doc, size, name, value)], axis=0)
+                first = np.flatnonzero(new)
+                edge = np.r_[first, len(lo)]
+                for i in range(0, len(first), 1 << 18):  # a piece stays far below 2 GB
+                    f, upto = first[i : i + (1 << 18)], edge[i : i + (1 << 18) + 1]
+                    k = size[f]
+                    at = np.r_[0, np.cumsum(k)]
+                    cut = c.data[np.repeat(lo[f] - at[:-1], k) + np.arange(at[-1])]
+                    where = (lo - c.at[doc])[upto[0] : upto[-1]].astype(np.int32)
+                    of = pa.array(c.first + doc[f])
+                    yield pa.record_batch(
+                        [
+                            pa.array(name[f]),
+                            batch.column("id").take(of),
+                            batch.column("mark").take(of),
+                            pa.ListArray.from_arrays(pa.array((upto - upto[0]).astype(np.int32)), pa.array(where)),
+                            pa.BinaryArray.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(cut)]),
+                        ],
+                        ["anchor", "id", "mark", "places", "bytes"],
+                    )
+
+    return run
+
+
+def _block(table: pa.Table, window: int) -> pa.RecordBatch:
+    """(id, mark, pos, n) of windows of the block's segments that an earlier document has, the rows ordered by anchor and id."""
+    anchor, ids = np.asarray(table["anchor"].combine_chunks()), np.asarray(table["id"].combine_chunks())
+    data, at = text_bytes(table["bytes"].combine_chunks(), pa.large_binary())
+    places = table["places"].combine_chunks()
+    opens = np.ones(len(anchor), bool)
+    opens[1:] = anchor[1:] != anchor[:-1]
+    rises = opens.copy()
+    rises[1:] |= ids[1:] != ids[:-1]
+    nth = np.cumsum(rises)
+    rank = nth - np.repeat(nth[opens], np.diff(np.r_[np.flatnonzero(opens), len(anchor)]))
+    s, p = earlier_matches(anchor, rank, data, at[:-1], np.diff(at), window)
+    order = np.lexsort((p, s))
+    s, p = s[order], p[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (p[1:] > p[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(s)] - 1
+    s, lo, n = s[first], p[first], p[last] - p[first] + 1
+    ends, values = np.asarray(places.offsets).astype(np.int64), np.asarray(places.values).astype(np.int64)
+    many = np.diff(ends)[s]
+    of = np.repeat(np.arange(len(s)), many)
+    which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    pos = values[ends[s[of]] + which] + lo[of]
+    rows = pa.array(s[of])
+    return pa.record_batch(
+        [
+            table["id"].combine_chunks().take(rows),
+            table["mark"].combine_chunks().take(rows),
+            pa.array(pos.astype(np.int32)),
+            pa.array(n[of].astype(np.int32)),
+        ],
+        ["id", "mark", "pos", "n"],
+    )
+
+
+def _blocks(window: int):
+    """Blocks of about ``BLOCK`` bytes from rows ordered by anchor; an anchor is never cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK:
+                table = pa.Table.from_batches(held).combine_chunks()
+                anchor = np.asarray(table["anchor"].combine_chunks())
+                cut = int(np.searchsorted(anchor, anchor[-1]))
+                if cut:
+                    yield _block(table.slice(0, cut), window)
+                held = table.slice(cut).to_batches()
+                size = sum(b.nbytes for b in held)
+        if sum(b.num_rows for b in held):
+            yield _block(pa.Table.from_batches(held), window)
+
+    return run
+
+
 def _joined(window: int):
     def run(places: pd.Series, lengths: pd.Series) -> pd.Series:
         out = []
@@ -177,15 +291,24 @@ def repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     variants = cut_lineage(segments.groupBy("anchor", "value").agg(F.min("id").alias("least")))
     judged = cut_lineage(segments.join(variants, ["anchor", "value"]))
     whole = judged.filter("id > least").select("id", "mark", "pos", "n")
-    several = cut_lineage(variants.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor"))
-    open_ = judged.filter("id = least").join(several, "anchor")
-    open_ = open_.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("s"))
-    open_ = cut_lineage(open_.select("id", "mark", F.col("s.pos").alias("places"), F.col("s.n").alias("lengths")))
-    again = rest.join(broadcast_if_small(open_), ["id", "mark"]).select("id", "mark", "text", "places", "lengths")
-    found = cut_lineage(again.mapInArrow(_windows(window), "id long, mark long, pos int, value long"))
+    several = cut_lineage(variants.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"))
+    open_ = cut_lineage(judged.filter("id = least").join(several, "anchor"))
+
+    def with_texts(part: DataFrame) -> DataFrame:
+        chosen = part.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "n", "anchor")).alias("s"))
+        chosen = cut_lineage(chosen.select("id", "mark", F.col("s.pos").alias("places"), F.col("s.n").alias("lengths"), F.col("s.anchor").alias("anchors")))
+        return rest.join(broadcast_if_small(chosen), ["id", "mark"]).select("id", "mark", "text", "places", "lengths", "anchors")
+
+    strings = with_texts(open_.filter(F.col("m") <= VARIANTS)).mapInArrow(
+        _strings(window), "anchor long, id long, mark long, places array<int>, bytes binary"
+    )
+    blocks = strings.repartition("anchor").sortWithinPartitions("anchor", "id")
+    part = cut_lineage(blocks.mapInArrow(_blocks(window), "id long, mark long, pos int, n int"))
+    crowded = with_texts(open_.filter(F.col("m") > VARIANTS))
+    found = cut_lineage(crowded.mapInArrow(_windows(window), "id long, mark long, pos int, value long"))
     first = found.groupBy("value").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    part = found.join(cut_lineage(first.select("value", "least")), "value").filter("id > least")
-    hits = whole.unionByName(part.select("id", "mark", "pos", F.lit(1).alias("n")))
+    spread = found.join(cut_lineage(first.select("value", "least")), "value").filter("id > least")
+    hits = whole.unionByName(part).unionByName(spread.select("id", "mark", "pos", F.lit(1).alias("n")))
     hits = hits.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("s"))
     join_up = F.pandas_udf(_joined(window), "array<int>")
     runs = hits.select("id", "mark", join_up("s.pos", "s.n").alias("runs"))

@@ -62,9 +62,9 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(column: pa.Array, kind: pa.DataType = pa.large_string()) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, null as empty, and where each text begins (one more entry at the end)."""
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(kind).fill_null(pa.scalar("", kind))
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
