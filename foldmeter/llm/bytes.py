@@ -38,12 +38,14 @@ BLOCK = 4 << 20
 class Chunk:
     """Windows of the texts of one chunk: where they start, their anchors, and hashes of any byte range."""
 
-    def __init__(self, first: int, data: np.ndarray, at: np.ndarray, window: int):
+    def __init__(self, first: int, data: np.ndarray, at: np.ndarray, window: int, anchors: bool):
         self.first, self.at, n = first, at, len(data)
         up, self.down = _BYTES.of(n + 1)
         self.data = data
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUE[data] * up[:n], out=self.sums[1:])
+        if not anchors:
+            return
         end = np.repeat(at[1:], np.diff(at))
         self.doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
         place = np.arange(n)
@@ -53,7 +55,7 @@ class Chunk:
         width, have = window - GRAM + 1, 1
         while have < width:  # minima of ever longer stretches
             step = min(have, width - have)
-            low = np.minimum(low, np.r_[low[step:], np.full(min(step, n), LAST)][:n])
+            np.minimum(low[:-step], low[step:], out=low[:-step])
             have += step
         self.pos = np.flatnonzero(place + window <= end)
         self.anchor = low[self.pos]
@@ -74,10 +76,10 @@ class Chunk:
         return first, np.r_[first[1:], len(self.pos)] - 1
 
 
-def chunks(column: pa.Array, window: int) -> Iterator[Chunk]:
+def chunks(column: pa.Array, window: int, anchors: bool = True) -> Iterator[Chunk]:
     data, at = text_bytes(column)
     for i, j in spans(at):
-        yield Chunk(i, data[at[i] : at[j]], at[i : j + 1] - at[i], window)
+        yield Chunk(i, data[at[i] : at[j]], at[i : j + 1] - at[i], window, anchors)
 
 
 def _anchors(window: int):
@@ -132,7 +134,7 @@ def _windows(window: int):
             places, lengths = batch.column("places"), batch.column("lengths")
             ends = np.asarray(places.offsets)
             begin, length = np.asarray(places.values).astype(np.int64), np.asarray(lengths.values).astype(np.int64)
-            for c in chunks(batch.column("text"), window):
+            for c in chunks(batch.column("text"), window, anchors=False):
                 n = len(c.at) - 1
                 e = ends[c.first : c.first + n + 1]
                 doc = np.repeat(np.arange(n), np.diff(e))
@@ -161,7 +163,7 @@ def _strings(window: int):
             places, ends = batch.column("places"), np.asarray(batch.column("places").offsets)
             begin, length = np.asarray(places.values).astype(np.int64), np.asarray(batch.column("lengths").values).astype(np.int64)
             anchor = np.asarray(batch.column("anchors").values)
-            for c in chunks(batch.column("text"), window):
+            for c in chunks(batch.column("text"), window, anchors=False):
                 n = len(c.at) - 1
                 e = ends[c.first : c.first + n + 1]
                 own = slice(e[0], e[-1])

@@ -32,17 +32,23 @@ def _packed(text: np.ndarray) -> np.ndarray:
 
 
 def _suffix_order(key: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from their first symbols, by doubling the compared length."""
+    """All suffixes in order, from their first symbols, by doubling the compared length where some are still equal."""
     n, known = len(key), PACKED
+    order = np.argsort(key)
+    rank = np.empty(n, np.int64)  # where a suffix's group of equals begins
+    slots, key = np.arange(n), key[order]
     while True:
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
-        if n == 0 or rank[order[-1]] == n - 1:
+        new = np.ones(len(slots) + 1, bool)
+        new[1:-1] = key[1:] != key[:-1]
+        rank[order[slots]] = np.maximum.accumulate(np.where(new[:-1], slots, 0))
+        slots = slots[~(new[:-1] & new[1:])]
+        if not len(slots):
             return order
-        after = np.zeros(n, np.int64)  # the empty suffix comes first
-        after[: max(n - known, 0)] = rank[known:] + 1
-        key, known = rank * (n + 1) + after, 2 * known
+        mine = order[slots]
+        after = np.where(mine + known < n, rank[np.minimum(mine + known, n - 1)] + 1, 0)  # the empty suffix comes first
+        key = rank[mine] * (n + 1) + after
+        by = np.argsort(key)
+        order[slots], key, known = mine[by], key[by], 2 * known
 
 
 class RunIndex:
@@ -57,8 +63,8 @@ class RunIndex:
         self.head = last[self.start]
         self.first_suffix, self.last_suffix = order[self.start], order[self.end]
         self.runs = len(self.start)
-        self.by_head = np.argsort(self.head, kind="stable")
-        self.names = self.head[self.by_head] * self.runs + self.by_head
+        self.names = np.sort(self.head * self.runs + np.arange(self.runs))
+        self.by_head = self.names % self.runs
         size = (self.end - self.start + 1)[self.by_head]
         self.into = np.empty(self.runs, np.int64)  # row that the first row of a run is preceded by
         self.into[self.by_head] = np.cumsum(size) - size
