@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import foldmeter.llm.bytes as byte_module
 from foldmeter.llm.runindex import RunIndex, earlier_matches, joined
 
 
@@ -57,3 +58,24 @@ def test_index_is_compressed_and_small_cases():
     assert RunIndex(text).runs < len(text) / 20
     none = np.zeros(0, np.int64)
     assert [len(x) for x in earlier_matches(none, none, np.zeros(0, np.uint8), none, none, 50)] == [0, 0]
+
+
+@pytest.mark.parametrize("variants", [1, 3, 32])
+def test_crowded_anchors_give_the_same(spark, monkeypatch, variants):
+    """Anchors above the bound are settled window by window; nothing in the result tells."""
+    r = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "épsilon"]
+    shared = "a passage that many documents of this fixture hold, word by word, "
+    texts = [shared[r.randrange(9) :] + " ".join(r.choice(words) for _ in range(12)) + shared * r.randrange(3) for _ in range(30)]
+    texts += ["z" * 300, "z" * 200, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(byte_module, "VARIANTS", variants)
+    got = {x.doc_id: bytes(x.kept) for x in byte_module.byte_dedup(docs).collect()}
+    first = {}
+    for d, text in enumerate(texts):
+        raw = (text or "").encode()
+        gone = [False] * len(raw)
+        for i in range(len(raw) - 49):
+            if first.setdefault(raw[i : i + 50], d) < d:
+                gone[i : i + 50] = [True] * 50
+        assert got[d] == bytes(x for x, g in zip(raw, gone) if not g), d
