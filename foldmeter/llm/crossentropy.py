@@ -6,9 +6,9 @@ background on all.  Every word and every bigram of the corpus is in the models.
 Words with at least ``least_share`` of all tokens and, of the bigrams of two words with at least ``HEAVY_SHARE``, those with
 ``least_share`` are broadcast, at most ``1 / least_share`` of each; their tokens are scored in place.  All other bigrams are
 sent once, with the row they are from, to buckets in which they are counted and scored together; the bucket of a bigram with
-a rare word is that of the word, where its counts lie.  A bucket's rows come back as one sum per document.  No key of a bucket
-holds ``HEAVY_SHARE`` of the tokens, buckets hold about ``BUCKET_TOKENS`` at every size, and where the borders lie changes no
-score.
+a rare word is that of the word, where its counts lie.  A bucket gives one sum per document; these come back packed by blocks
+of documents.  No key of a bucket holds ``HEAVY_SHARE`` of the tokens, buckets hold about ``BUCKET_TOKENS`` at every size, and
+where the borders lie changes no score.
 """
 
 from __future__ import annotations
@@ -26,16 +26,17 @@ from foldmeter.session import broadcast_if_small, cut_lineage, shuffle_width
 LEAST_SHARE = 1e-6
 HEAVY_SHARE = 1e-4
 BUCKET_TOKENS = 2_000_000
+BLOCK_ROWS = 100_000
 KEPT = 0.7  # weight of the bigram's own estimate
 START = -1  # predecessor of a text's first word
 
 #: What a packed row holds: bigrams (a, b, row, mark); bigrams of two rare words, under the first one; the same under the
-#: second one, with the counts of the first; counts of rare words (code, n, t).  ``mark`` is the number of times, doubled,
-#: plus 1 in target documents.
-TEXT, PAIRS, BOTH, HALF, RARE = range(5)
-WIDTH = {PAIRS: 4, BOTH: 4, HALF: 6, RARE: 3}
+#: second one, with the counts of the first; counts of rare words (code, n, t); sums of gains (row, bits of the sum).  ``mark``
+#: is the number of times, doubled, plus 1 in target documents.
+TEXT, PAIRS, BOTH, HALF, RARE, SUMS = range(6)
+WIDTH = {PAIRS: 4, BOTH: 4, HALF: 6, RARE: 3, SUMS: 2}
 PACKED = "kind int, bucket int, n int, packed binary"
-PACKED_AT = 1 << 21  # entries held back before they are packed
+PACKED_AT = 1 << 21  # entries held before they are packed, or unpacked at a time
 
 
 def _codes(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -120,7 +121,7 @@ def _packed(kind: int, by: np.ndarray, columns: list[np.ndarray], buckets: int)
     return rows
 
 
-def _unpacked(table: pa.Table, kind: int) -> np.ndarray:
+def _unpacked(table: pa.Table | pa.RecordBatch, kind: int) -> np.ndarray:
     """All columns (width, n) of the packed rows of one kind."""
     width, parts = WIDTH[kind], [np.zeros((WIDTH[kind], 0), np.int64)]
     for k, n, data in zip(*(table.column(c).to_pylist() for c in ("kind", "n", "packed"))):
@@ -244,8 +245,8 @@ def _half_counted(buckets: int):
     return run
 
 
-def _bucket_gains(shared, size: int, all_n: int, all_t: int):
-    """One sum per row of the gains of a bucket's bigrams, which are all there."""
+def _bucket_gains(shared, size: int, all_n: int, all_t: int, blocks: int):
+    """One sum per row of the gains of a bucket's bigrams, which are all there; packed by blocks of rows."""
 
     def share(c: np.ndarray, total: int) -> np.ndarray:
         return (c + 1) / (total + size)
@@ -259,7 +260,7 @@ def _bucket_gains(shared, size: int, all_n: int, all_t: int):
         first = np.concatenate([np.zeros((2, own.shape[1]), np.int64), given[4:]], axis=1)
         order, at = _grouped(a, b)
         if len(order) == 0:
-            return pa.table({"row": pa.array([], pa.int64()), "more": pa.array([], pa.float64())})
+            return pa.table(_batch([]))
         lead = order[at[:-1]]
         times = mark >> 1
         n = np.add.reduceat(times[order], at[:-1])
@@ -282,11 +283,24 @@ def _bucket_gains(shared, size: int, all_n: int, all_t: int):
             p.append(np.where(a == START, alone, KEPT * pair / np.maximum(before, 1) + (1 - KEPT) * alone))
         gain = np.repeat(np.log(p[0] / p[1]), np.diff(at)) * times[order]
         rows, at = np.unique(row[order], return_inverse=True)
-        return pa.table({"row": pa.array(rows), "more": pa.array(np.bincount(at, gain, len(rows)))})
+        return pa.table(_batch(_packed(SUMS, rows, [rows, np.bincount(at, gain, len(rows)).view(np.int64)], blocks)))
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, more): the sums over all buckets for the rows of a partition, which holds whole blocks; one entry a row is kept."""
+    row, more = np.zeros(0, np.int64), np.zeros(0)
+    for batch in batches:
+        upto = np.cumsum(np.asarray(batch.column("n"))) // PACKED_AT
+        for part in np.unique(upto):
+            i, j = np.searchsorted(upto, [part, part + 1])
+            rows, bits = _unpacked(batch.slice(i, j - i), SUMS)
+            row, at = np.unique(np.r_[row, rows], return_inverse=True)
+            more = np.bincount(at, np.r_[more, bits.view(np.float64)], len(row))
+    yield pa.record_batch({"row": pa.array(row), "more": pa.array(more)})
+
+
 def cross_entropy_difference(
     docs: DataFrame,
     target: DataFrame,
@@ -336,8 +350,10 @@ def cross_entropy_difference(
     half = both.groupBy("bucket").applyInArrow(_half_counted(buckets), PACKED)
     parts = packed.filter(F.col("kind") == PAIRS).unionByName(rare).unionByName(half)
     counts = spark.sparkContext.broadcast((n, t))
-    gains = parts.groupBy("bucket").applyInArrow(_bucket_gains(counts, size, all_n, all_t), "row long, more double")
-    sums = gains.groupBy("row").agg(F.sum("more").alias("more"))
+    texts_in = scored.filter(F.col("kind") == TEXT).select("row", "id", "n_tokens", "gain")
+    blocks = max(2 * shuffle_width(spark), -(-texts_in.count() // BLOCK_ROWS))
+    gains = parts.groupBy("bucket").applyInArrow(_bucket_gains(counts, size, all_n, all_t, blocks), PACKED)
+    sums = gains.repartition(blocks, "bucket").mapInArrow(_summed, "row long, more double")
     mean = F.when(F.col("n_tokens") > 0, (F.col("gain") + F.coalesce("more", F.lit(0.0))) / F.col("n_tokens"))
-    out = scored.filter(F.col("kind") == TEXT).select("row", "id", "n_tokens", "gain").join(sums, "row", "left")
+    out = texts_in.join(sums, "row", "left")
     return out.select(F.col("id").alias(id_column), "n_tokens", mean.alias("score"))
