@@ -36,7 +36,8 @@ START = -1  # predecessor of a text's first word
 TEXT, PAIRS, BOTH, HALF, RARE, SUMS = range(6)
 WIDTH = {PAIRS: 4, BOTH: 4, HALF: 6, RARE: 3, SUMS: 2}
 PACKED = "kind int, bucket int, n int, packed binary"
-PACKED_AT = 1 << 21  # entries held before they are packed, or unpacked at a time
+PACKED_AT = 1 << 20  # entries held before they are packed
+SUMMED_AT = 1 << 18  # entries unpacked and added up at a time
 
 
 def _codes(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -258,13 +259,16 @@ def _bucket_gains(shared, size: int, all_n: int, all_t: int, blocks: int):
         own = _unpacked(table, PAIRS)
         a, b, row, mark = np.concatenate([own, given[:4]], axis=1)
         first = np.concatenate([np.zeros((2, own.shape[1]), np.int64), given[4:]], axis=1)
+        del own, given
         order, at = _grouped(a, b)
         if len(order) == 0:
             return pa.table(_batch([]))
         lead = order[at[:-1]]
+        a, b, first, row, mark = a[lead], b[lead], first[:, lead], row[order], mark[order]
+        del order
         times = mark >> 1
-        n = np.add.reduceat(times[order], at[:-1])
-        t = np.add.reduceat((times * (mark & 1))[order], at[:-1])
+        n = np.add.reduceat(times, at[:-1])
+        t = np.add.reduceat(times * (mark & 1), at[:-1])
 
         def counts(c: np.ndarray, i: int) -> np.ndarray:
             """Counts of the words ``c``: 0 for those that are neither frequent nor here."""
@@ -275,14 +279,13 @@ def _bucket_gains(shared, size: int, all_n: int, all_t: int, blocks: int):
                 out = np.where(code[k] == c, rare[i][k], out)
             return out
 
-        a, b, first = a[lead], b[lead], first[:, lead]
         p = []
         for i, (pair, total) in enumerate(((n, all_n), (t, all_t))):
             alone = share(counts(b, i), total)
             before = np.where((a < START) & (b < START), first[i], counts(a, i))
             p.append(np.where(a == START, alone, KEPT * pair / np.maximum(before, 1) + (1 - KEPT) * alone))
-        gain = np.repeat(np.log(p[0] / p[1]), np.diff(at)) * times[order]
-        rows, at = np.unique(row[order], return_inverse=True)
+        gain = np.repeat(np.log(p[0] / p[1]), np.diff(at)) * times
+        rows, at = np.unique(row, return_inverse=True)
         return pa.table(_batch(_packed(SUMS, rows, [rows, np.bincount(at, gain, len(rows)).view(np.int64)], blocks)))
 
     return run
@@ -292,7 +295,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, more): the sums over all buckets for the rows of a partition, which holds whole blocks; one entry a row is kept."""
     row, more = np.zeros(0, np.int64), np.zeros(0)
     for batch in batches:
-        upto = np.cumsum(np.asarray(batch.column("n"))) // PACKED_AT
+        upto = np.cumsum(np.asarray(batch.column("n"))) // SUMMED_AT
         for part in np.unique(upto):
             i, j = np.searchsorted(upto, [part, part + 1])
             rows, bits = _unpacked(batch.slice(i, j - i), SUMS)
