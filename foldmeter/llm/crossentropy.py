@@ -36,7 +36,7 @@ START = -1  # predecessor of a text's first word
 TEXT, PAIRS, BOTH, HALF, RARE, SUMS = range(6)
 WIDTH = {PAIRS: 4, BOTH: 4, HALF: 6, RARE: 3, SUMS: 2}
 PACKED = "kind int, bucket int, n int, packed binary"
-PACKED_AT = 1 << 20  # entries held before they are packed
+PACKED_AT = 1 << 19  # entries held before they are packed
 SUMMED_AT = 1 << 18  # entries unpacked and added up at a time
 
 
@@ -165,6 +165,7 @@ def _scorer(shared, buckets: int):
                 by = a if kind == BOTH else np.where(b < START, b, np.where(a < START, a, frequent))
                 rows += _packed(kind, by, [a, b, row, mark], buckets)
                 parts.clear()
+        pa.default_memory_pool().release_unused()
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +287,7 @@ def _bucket_gains(shared, size: int, all_n: int, all_t: int, blocks: int):
             p.append(np.where(a == START, alone, KEPT * pair / np.maximum(before, 1) + (1 - KEPT) * alone))
         gain = np.repeat(np.log(p[0] / p[1]), np.diff(at)) * times
         rows, at = np.unique(row, return_inverse=True)
+        pa.default_memory_pool().release_unused()  # a worker is used again, and kept, by Spark
         return pa.table(_batch(_packed(SUMS, rows, [rows, np.bincount(at, gain, len(rows)).view(np.int64)], blocks)))
 
     return run
