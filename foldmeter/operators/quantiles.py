@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foldmeter.operators.order import with_positions
-from foldmeter.session import write_and_broadcast
+from foldmeter.session import broadcast_if_small, cut_lineage, write_and_broadcast
 
 ACCURACY = 10_000
 
@@ -84,16 +84,20 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
 def sparse_quantiles(entries: DataFrame, n_rows: int, probabilities: Sequence[float]) -> DataFrame:
     """(feature_ix, q array<double>): interpolated quantiles over all ``n_rows`` rows of a long frame without its zeros.
 
-    Stored values are put in one global order of (feature, value).  A feature's zeros stand between its negative and its
-    positive values, so a value's rank among all rows follows from its place and the feature's counts.
+    A feature's zeros stand between its negative and its positive values, so its counts tell whether any wanted rank falls on
+    a stored value.  Only the values of such features, few where most entries are absent, are put in one global order of
+    (feature, value); the quantiles of all others are 0.
     """
     stored = entries.select("feature_ix", "value").filter("value <> 0")
-    placed = with_positions(stored, "feature_ix", "value", name="_pos")
+    at = [(n_rows - 1) * p for p in probabilities]
+    lowest, highest = min(map(math.floor, at)), max(map(math.ceil, at))
+    counts = cut_lineage(stored.groupBy("feature_ix").agg(F.count_if(F.col("value") < 0).alias("_below"), F.count_if(F.col("value") > 0).alias("_above")))
+    reached = counts.filter((F.col("_below") > lowest) | (F.col("_above") >= n_rows - highest)).select("feature_ix")
+    placed = with_positions(stored.join(broadcast_if_small(reached), "feature_ix"), "feature_ix", "value", name="_pos")
     groups = placed.groupBy("feature_ix").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     ranked = placed.join(write_and_broadcast(groups), "feature_ix")
     zeros = F.lit(n_rows) - F.col("_n")
     rank = F.col("_pos") - F.col("_first") + F.when(F.col("value") > 0, zeros).otherwise(0)
-    at = [(n_rows - 1) * p for p in probabilities]
 
     def value_at(i: int) -> Column:
         return F.coalesce(F.max(F.when(rank == i, F.col("value"))), F.lit(0.0))
@@ -101,4 +105,5 @@ def sparse_quantiles(entries: DataFrame, n_rows: int, probabilities: Sequence[fl
     low = [value_at(math.floor(x)) for x in at]
     high = [value_at(math.ceil(x)) for x in at]
     q = F.array(*[a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, at)])
-    return ranked.groupBy("feature_ix").agg(q.alias("q"))
+    found = ranked.groupBy("feature_ix").agg(q.alias("q"))
+    return counts.select("feature_ix").join(found, "feature_ix", "left").select("feature_ix", F.coalesce("q", F.array(*[F.lit(0.0) for _ in at])).alias("q"))
