@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.operators.machines import LinearMachines
+from foldmeter.operators.machines import LinearMachines, minimize
 from foldmeter.session import broadcast_if_small
 
 # Kernels a machine may use.
@@ -65,6 +67,13 @@ def global_top_features(weights: np.ndarray, names: list[str], k: int) -> list[t
     return [(names[i], float(strength[i])) for i in order]
 
 
+def _landmarks(train: DataFrame, n_landmarks: int, seed: int) -> tuple[np.ndarray, float | None]:
+    """Landmark rows and the variance of all feature values."""
+    rows = train.orderBy(F.xxhash64(F.lit(seed), F.col("row_id")), "row_id").select("features").limit(n_landmarks)
+    landmarks = np.array([r[0] for r in rows.collect()], dtype=float)  # n_landmarks rows
+    return landmarks, train.select(F.explode("features").alias("v")).agg(F.var_pop("v").alias("v")).first()["v"]
+
+
 @dataclass
 class KernelMap:
     """Kernel values against a bounded set of landmark rows.
@@ -84,10 +93,11 @@ class KernelMap:
     def fit(train: DataFrame, kernel: str, n_landmarks: int = 200, seed: int = 0, degree: int = 3, coef0: float = 0.0) -> KernelMap:
         if kernel not in KERNELS[1:]:
             raise ValueError(f"kernel must be one of {KERNELS[1:]}")
-        rows = train.orderBy(F.xxhash64(F.lit(seed), F.col("row_id")), "row_id").select("features").limit(n_landmarks)
-        landmarks = np.array([r[0] for r in rows.collect()], dtype=float)  # n_landmarks rows
-        moments = train.select(F.explode("features").alias("v")).agg(F.var_pop("v").alias("v")).first()
-        gamma = 1.0 / (landmarks.shape[1] * moments["v"]) if moments["v"] else 1.0
+        return KernelMap.of(*_landmarks(train, n_landmarks, seed), kernel, degree, coef0)
+
+    @staticmethod
+    def of(landmarks: np.ndarray, variance: float | None, kernel: str, degree: int = 3, coef0: float = 0.0) -> KernelMap:
+        gamma = 1.0 / (landmarks.shape[1] * variance) if variance else 1.0
         out = KernelMap(landmarks, kernel, gamma, degree, coef0, np.eye(len(landmarks)))
         if kernel != "sigmoid":
             values, vectors = np.linalg.eigh(out.raw(landmarks))
@@ -95,8 +105,9 @@ class KernelMap:
             out.whitening = vectors[:, good] / np.sqrt(values[good])
         return out
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        dot = x @ self.landmarks.T
+    def raw(self, x: np.ndarray, dot: np.ndarray | None = None) -> np.ndarray:
+        """Kernel values of rows; ``dot`` are their products with the landmarks, if these are known."""
+        dot = x @ self.landmarks.T if dot is None else dot
         if self.kernel == "poly":
             return (self.gamma * dot + self.coef0) ** self.degree
         if self.kernel == "sigmoid":
@@ -124,3 +135,128 @@ def kernel_svm_predict(
     n_classes = n_classes or train.agg(F.max("label_ix")).first()[0] + 1
     model = LinearMachines.fit(mapping.transform(train), n_classes, max_passes=max_iter)
     return model.predict(mapping.transform(test))
+
+
+@dataclass
+class KernelMachines:
+    """Kernel machines of all kernels, folds and classes, trained side by side like ``LinearMachines``.
+
+    Mapped rows are never stored or shipped: a pass reads the plain rows, forms the kernel values of a few rows at a time and
+    adds up the gradients of every machine that still moves.  Passes do not grow with kernels, folds or classes.
+    """
+
+    maps: dict[tuple[str, int], KernelMap]
+    weights: dict[tuple[str, int], np.ndarray]
+
+    @staticmethod
+    def fit(
+        df: DataFrame,
+        folds: int,
+        kernels: Sequence[str],
+        n_classes: int,
+        n_landmarks: int = 200,
+        seed: int = 0,
+        c: float = 1.0,
+        tol: float = 1e-4,
+        max_passes: int = 100,
+    ) -> KernelMachines:
+        """``df`` is (row_id, fold, label_ix, dense features); the machines of a fold never see its rows."""
+        if unknown := [k for k in kernels if k not in KERNELS[1:]]:
+            raise ValueError(f"kernels must be among {KERNELS[1:]}, not {unknown}")
+        seen = [_landmarks(df.filter(F.col("fold") != s), n_landmarks, seed) for s in range(folds)]
+        maps = {(k, s): KernelMap.of(*seen[s], k) for s in range(folds) for k in kernels}
+        groups = list(maps)
+        per = 1 if n_classes == 2 else n_classes
+        width = max(m.whitening.shape[1] for m in maps.values()) + 1
+        rows = df.select("fold", "label_ix", F.col("features").cast("array<double>").alias("features"))
+        counts = np.zeros((folds, n_classes))
+        for r in rows.groupBy("fold", "label_ix").count().collect():  # folds x classes rows
+            counts[r["fold"], r["label_ix"]] += r["count"]
+        used = counts.sum(0) - counts
+        good = used[:, 1:] if n_classes == 2 else used
+        rest = used.sum(1, keepdims=True) - good
+        tols = tol * np.maximum(np.minimum(good, rest), 1) / np.maximum(good + rest, 1)
+        context = df.sparkSession.sparkContext
+        shared_maps = context.broadcast(maps)
+        known = {"x": np.full((width, len(groups) * per), np.nan), "f": np.zeros(len(groups) * per), "g": np.zeros((width, len(groups) * per))}
+
+        def evaluate(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            moved = [g for g in range(len(groups)) if not np.array_equal(x[:, g * per : (g + 1) * per], known["x"][:, g * per : (g + 1) * per])]
+            shared = context.broadcast({g: x[:, g * per : (g + 1) * per] for g in moved})
+
+            def passed(batches):
+                maps, weights = shared_maps.value, shared.value
+                sums = {g: np.zeros((width + 1, per)) for g in weights}
+                for batch in batches:
+                    fold, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                    for i, j, x in _dense_blocks(batch.column(2)):
+                        sign = np.where(label[i:j, None] == (1 if n_classes == 2 else np.arange(n_classes)[None, :]), 1.0, -1.0)
+                        for s in sorted({groups[g][1] for g in weights}):
+                            mine = fold[i:j] != s
+                            own, y, dot = x[mine], sign[mine], None
+                            for g in (g for g in weights if groups[g][1] == s):
+                                m, w = maps[groups[g]], weights[g]
+                                dot = own @ m.landmarks.T if dot is None else dot
+                                raw, d = m.raw(own, dot), m.whitening.shape[1]
+                                short = np.maximum(0.0, 1.0 - y * (raw @ (m.whitening @ w[:d]) + w[-1]))
+                                pull = -2.0 * y * short
+                                sums[g][:d] += m.whitening.T @ (raw.T @ pull)
+                                sums[g][width - 1] += pull.sum(0)
+                                sums[g][width] += (short * short).sum(0)
+                cells = {g: np.flatnonzero(a) for g, a in sums.items()}
+                columns = [np.concatenate([np.zeros(0, np.int64), *[cells[g] + g * (width + 1) * per for g in sums]])]
+                columns.append(np.concatenate([np.zeros(0), *[sums[g].ravel()[cells[g]] for g in sums]]))
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in columns], names=["cell", "x"])
+
+            if moved:
+                found = rows.mapInArrow(passed, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()  # weights, losses
+                shared.unpersist()
+                flat = np.zeros(len(groups) * (width + 1) * per)
+                flat[found.column("cell").to_numpy()] = found.column("x").to_numpy()
+                out = c * flat.reshape(len(groups), width + 1, per)
+                for g in moved:
+                    at = slice(g * per, (g + 1) * per)
+                    known["x"][:, at], known["g"][:, at] = x[:, at], out[g, :-1] + x[:, at]
+                    known["f"][at] = out[g, -1] + 0.5 * (x[:, at] * x[:, at]).sum(0)
+            return known["f"].copy(), known["g"].copy()
+
+        rows = rows.persist()
+        machine_tols = np.concatenate([tols[s] for _, s in groups])
+        x = minimize(evaluate, (width, len(groups) * per), machine_tols, max_passes)
+        rows.unpersist()
+        return KernelMachines(maps, {key: x[:, g * per : (g + 1) * per] for g, key in enumerate(groups)})
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """(kernel, row_id, fold, predicted_ix): every row by the machines of its fold.  Ties go to the first class."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+        rows = df.select("row_id", "fold", F.col("features").cast("array<double>").alias("features"))
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+        def scored(batches):
+            machines = shared.value
+            for batch in batches:
+                fold = batch.column(1).to_numpy(zero_copy_only=False)
+                for kernel in dict.fromkeys(k for k, _ in machines.maps):
+                    best = np.zeros(len(batch), np.int32)
+                    for i, j, x in _dense_blocks(batch.column(2)):
+                        for s in np.unique(fold[i:j]):
+                            m, w = machines.maps[kernel, int(s)], machines.weights[kernel, int(s)]
+                            mine = np.flatnonzero(fold[i:j] == s)
+                            margin = m.raw(x[mine]) @ (m.whitening @ w[: m.whitening.shape[1]]) + w[-1]
+                            best[i + mine] = margin[:, 0] > 0 if margin.shape[1] == 1 else margin.argmax(1)
+                    columns = [pa.array([kernel] * len(batch), pa.string()), batch.column(0), batch.column(1), pa.array(best)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["kernel", "row_id", "fold", "predicted_ix"])
+
+        return rows.mapInArrow(scored, f"kernel string, row_id {kinds['row_id']}, fold {kinds['fold']}, predicted_ix int")
+
+
+def _dense_blocks(arrays: pa.Array, rows: int = 2048) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, end row, matrix) of equally long arrays, a few rows at a time."""
+    if not len(arrays):
+        return
+    sizes = arrays.value_lengths()
+    if arrays.null_count or sizes.to_numpy().min() != sizes.to_numpy().max():
+        raise ValueError("all rows need as many features")
+    x = arrays.flatten().to_numpy(zero_copy_only=False).reshape(len(arrays), -1)
+    for i in range(0, len(arrays), rows):
+        yield i, min(i + rows, len(arrays)), x[i : i + rows]
