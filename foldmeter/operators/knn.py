@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,28 +69,63 @@ class _Cells:
         return lower <= (bound + 1e-6 * scale)[:, None]
 
 
-def _block_top_k(train: pd.DataFrame, queries: pd.DataFrame, k: int, by_self: bool) -> pd.DataFrame:
+def _rows(arrays: pa.ChunkedArray) -> np.ndarray:
+    """Matrix of equally long Arrow lists, without an object per row."""
+    sizes = arrays.combine_chunks().value_lengths()
+    if sizes.null_count or len(sizes.unique()) > 1:
+        raise ValueError("all rows need as many features")
+    return arrays.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(arrays), -1).astype("float64", copy=False)
+
+
+#: Queries of a block that are measured at a time.
+QUERIES = 128
+
+
+def _block_top_k(train: pa.Table, queries: pa.Table, k: int, by_self: bool) -> pa.Table:
     """Exact k nearest of one training block for each query of one chunk."""
-    out = []
-    train = train.sort_values("row_id", ignore_index=True)
-    ids, codes, grp = train.row_id.to_numpy(), train.label_ix.to_numpy(), train.grp.to_numpy()
-    y = _matrix(train.features)
-    for start in range(0, len(queries), 512):
-        part = queries.iloc[start : start + 512]
-        q_ids, q_grp = part.row_id.to_numpy(), part.grp.to_numpy()
-        x = _matrix(part.features)
-        rough = _distances(x, y) ** 2
+    train = train.sort_by("row_id")
+    ids, codes, grp = (train.column(c).to_numpy() for c in ("row_id", "label_ix", "grp"))
+    y = _rows(train.column("features"))
+    all_x, all_ids, all_grp = _rows(queries.column("features")), queries.column("row_id").to_numpy(), queries.column("grp").to_numpy()
+    lengths, last = (y * y).sum(1), min(k, len(ids)) - 1
+    out: list[tuple[np.ndarray, ...]] = []
+    for start in range(0, len(queries), QUERIES):
+        x, q_ids, q_grp = (a[start : start + QUERIES] for a in (all_x, all_ids, all_grp))
+        rough = x @ y.T
+        rough *= -2.0
+        rough += lengths
+        rough += (x * x).sum(1)[:, None]
         own = q_ids[:, None] == ids[None, :] if by_self else q_grp[:, None] == grp[None, :]
         rough[own] = np.inf
-        kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-        slack = _SLACK * (1.0 + (x * x).sum(1) + (y * y).sum(1).max())
-        for i in range(len(part)):
+        kth = np.partition(rough, last, axis=1)[:, last]
+        slack = _SLACK * (1.0 + (x * x).sum(1) + lengths.max())
+        some = []
+        for i in range(len(x)):
             close = np.flatnonzero((rough[i] <= kth[i] + slack[i]) & ~own[i])
             exact = ((y[close] - x[i]) ** 2).sum(axis=1)
             first = np.lexsort((ids[close], exact))[:k]
-            for j in first:
-                out.append((q_ids[i], exact[j], ids[close[j]], codes[close[j]]))
-    return pd.DataFrame(out, columns=["row_id", "sq_distance", "neighbour", "label_ix"])
+            some.append((np.full(len(first), i), exact[first], close[first]))
+        at, exact, found = (np.concatenate(a) for a in zip(*some))
+        out.append((q_ids[at], exact, ids[found], codes[found]))
+    parts = [np.concatenate(a) for a in zip(*out)]
+    kinds = zip(FOUND, parts, (pa.int64(), pa.float64(), pa.int64(), pa.int32()))
+    return pa.table({n: pa.array(a, from_pandas=True).cast(t) for n, a, t in kinds})
+
+
+FOUND = ("row_id", "sq_distance", "neighbour", "label_ix")
+FOUND_TYPES = "row_id bigint, sq_distance double, neighbour bigint, label_ix int"
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], k: int, by_self: bool) -> DataFrame:
+    """The k nearest rows of every block of ``left`` for the queries of ``right`` that meet it, as Arrow tables of bounded size."""
+
+    def match(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int32())
+            return pa.table({n: pa.array([], t) for n, t in zip(FOUND, kinds)})
+        return _block_top_k(a, b, k, by_self)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(match, FOUND_TYPES)
 
 
 def nearest(train: DataFrame, queries: DataFrame, k: int, by_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -111,8 +147,11 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, by_self: bool = False,
     shared = train.sparkSession.sparkContext.broadcast(pivots)
 
     def cell_of(vectors: pd.Series) -> pd.DataFrame:
-        d = _distances(_matrix(vectors), shared.value) if len(vectors) else np.zeros((0, 1))
-        return pd.DataFrame({"cell": d.argmin(1).astype("int32"), "dist": d.min(1, initial=np.inf)})
+        cell, dist = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+        for s in range(0, len(vectors), 512):
+            d = _distances(_matrix(vectors.iloc[s : s + 512]), shared.value)
+            cell[s : s + 512], dist[s : s + 512] = d.argmin(1), d.min(1)
+        return pd.DataFrame({"cell": cell, "dist": dist})
 
     placed = train.withColumn("_c", F.pandas_udf(cell_of, "cell int, dist double")("features"))
     placed = placed.select("row_id", "grp", "label_ix", "features", "_c.cell", "_c.dist").persist()
@@ -139,10 +178,10 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, by_self: bool = False,
     shared_cells = train.sparkSession.sparkContext.broadcast(shape)
 
     def cells_to_visit(vectors: pd.Series, grp: pd.Series) -> pd.Series:
-        out: list[list[int]] = []
+        out: list[np.ndarray] = []
         for s in range(0, len(vectors), 256):
             mask = shared_cells.value.visits(_matrix(vectors.iloc[s : s + 256]), grp.iloc[s : s + 256].to_numpy())
-            out += [np.flatnonzero(row).tolist() for row in mask]
+            out += [np.flatnonzero(row).astype(np.int32) for row in mask]
         return pd.Series(out, dtype=object)
 
     blocks = {int(c): -(-int(n) // block_rows) for c, n in zip(cells.cell, cells.n)}
@@ -171,16 +210,7 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, by_self: bool = False,
     )
     keys = ["cell", "block", "chunk"]
 
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=["row_id", "sq_distance", "neighbour", "label_ix"])
-        return _block_top_k(a, b, k, by_self)
-
-    found = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(match, "row_id bigint, sq_distance double, neighbour bigint, label_ix int")
-    )
+    found = matched(left, right, keys, k, by_self)
     order = W.partitionBy("row_id").orderBy("sq_distance", "neighbour")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("row_id", "neighbour", "label_ix", "sq_distance", "rank")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldmeter.operators.knn import BLOCK_ROWS, CHUNK_ROWS, _block_top_k, _distances, _matrix
+from foldmeter.operators.knn import BLOCK_ROWS, CHUNK_ROWS, _distances, _matrix, matched
 from foldmeter.session import cut_lineage, write_and_broadcast
 
 #: Rows that the width is fitted on, and the ladder of widths, as multiples of the sample's mean neighbour distance.
@@ -125,15 +125,7 @@ class LshIndex:
             .select("cell", "block", "chunk", "row_id", F.lit(1).cast("bigint").alias("grp"), "features")
         )
 
-        def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame(columns=["row_id", "sq_distance", "neighbour", "label_ix"])
-            return _block_top_k(a, b, min(k, len(a)), by_self)
-
-        keys = ["cell", "block", "chunk"]
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-            match, "row_id bigint, sq_distance double, neighbour bigint, label_ix int"
-        )
+        found = matched(left, right, ["cell", "block", "chunk"], k, by_self)
         # a neighbour found in several tables counts once
         once = found.groupBy("row_id", "neighbour").agg(F.min("sq_distance").alias("sq_distance"), F.min("label_ix").alias("label_ix"))
         rank = F.row_number().over(W.partitionBy("row_id").orderBy("sq_distance", "neighbour"))
