@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from foldmeter.operators import evolve, knn, linear, network, scaling
 from foldmeter.operators.machines import LinearMachines, as_entries
+from foldmeter.operators.selection import TREE_MEMORY_MB
 from foldmeter.operators.bayes import GaussianNB, multinomial_all_folds, multinomial_left_out
 
 
@@ -303,7 +304,7 @@ class DecisionTree(Classifier):
             impurity=self.CRITERIA[self.criterion],
             maxDepth=self.max_depth,
             maxBins=self.max_bins,
-            maxMemoryInMB=1024,
+            maxMemoryInMB=TREE_MEMORY_MB,
             seed=self.random_seed,
         )
         model = tree.fit(vectors(train))
