@@ -75,3 +75,13 @@ def test_rare_features_are_not_put_in_order(spark, monkeypatch):
         dense[i, j] = v
     assert set(got) == set(range(30)) and seen == [90]
     assert all(got[j] == pytest.approx(np.quantile(dense[:, j], [0.25, 0.5, 0.75])) for j in got)
+
+
+def test_chunks_without_a_known_term(spark):
+    rows = [(i, i % 3, 0, "a b") for i in range(6)]
+    df = spark.createDataFrame(rows, "row_id long, fold int, label_ix int, text string")
+    model = text.Tfidf.fit(df)
+    other = spark.createDataFrame([(9, 0, 0, "z z"), (10, 0, 0, None)], df.schema)
+    assert model.transform(other).count() == 0
+    folds = text.TfidfFolds.fit(df.withColumn("text", F.col("row_id").cast("string")), 3, "text")
+    assert folds.test().count() == 0 and folds.train().count() == 6
