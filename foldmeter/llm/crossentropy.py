@@ -8,7 +8,8 @@ Words with at least ``least_share`` of all tokens and, of the bigrams of two wor
 sent once, with the row they are from, to buckets in which they are counted and scored together; the bucket of a bigram with
 a rare word is that of the word, where its counts lie.  A bucket gives one sum per document; these come back packed by blocks
 of documents.  No key of a bucket holds ``HEAVY_SHARE`` of the tokens, buckets hold about ``BUCKET_TOKENS`` at every size, and
-where the borders lie changes no score.
+where the borders lie changes no score.  Buckets and blocks follow the corpus, not the number of partitions: every bucket packs
+one row for each bucket or block it has something for, so small inputs are not cut finer than ``LEAST_TOKENS`` and ``LEAST_ROWS``.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from foldmeter.session import broadcast_if_small, cut_lineage, shuffle_width
 
 LEAST_SHARE = 1e-6
 HEAVY_SHARE = 1e-4
-BUCKET_TOKENS = 2_000_000
-BLOCK_ROWS = 100_000
+BUCKET_TOKENS, LEAST_TOKENS = 2_000_000, 200_000
+BLOCK_ROWS, LEAST_ROWS = 100_000, 2_000
 KEPT = 0.7  # weight of the bigram's own estimate
 START = -1  # predecessor of a text's first word
 
@@ -103,6 +104,11 @@ def _collected(df: DataFrame) -> list[np.ndarray]:
     return [c[order] for c in columns]
 
 
+def _pieces(size: int, most: int, least: int, tasks: int) -> int:
+    """Pieces for ``tasks``, none of fewer than ``least``; more of them where they would hold over ``most``."""
+    return max(1, min(tasks, -(-size // least)), -(-size // most))
+
+
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(np.ascontiguousarray(key).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
@@ -344,7 +350,7 @@ def cross_entropy_difference(
 
     pair_gain = np.log(loss(pair_n, n, all_n) / loss(pair_t, t, all_t))
     model = spark.sparkContext.broadcast((vocabulary, np.log(share(n, all_n) / share(t, all_t)), keys, pair_gain))
-    buckets = max(2 * shuffle_width(spark), -(-all_n // BUCKET_TOKENS))
+    buckets = _pieces(all_n, BUCKET_TOKENS, LEAST_TOKENS, 2 * shuffle_width(spark))
 
     schema = f"{PACKED}, id {kind}, row long, n_tokens long, gain double"
     rows = marked.withColumn("row", F.monotonically_increasing_id())
@@ -356,7 +362,7 @@ def cross_entropy_difference(
     parts = packed.filter(F.col("kind") == PAIRS).unionByName(rare).unionByName(half)
     counts = spark.sparkContext.broadcast((n, t))
     texts_in = scored.filter(F.col("kind") == TEXT).select("row", "id", "n_tokens", "gain")
-    blocks = max(2 * shuffle_width(spark), -(-texts_in.count() // BLOCK_ROWS))
+    blocks = _pieces(texts_in.count(), BLOCK_ROWS, LEAST_ROWS, 2 * shuffle_width(spark))
     gains = parts.groupBy("bucket").applyInArrow(_bucket_gains(counts, size, all_n, all_t, blocks), PACKED)
     sums = gains.repartition(blocks, "bucket").mapInArrow(_summed, "row long, more double")
     mean = F.when(F.col("n_tokens") > 0, (F.col("gain") + F.coalesce("more", F.lit(0.0))) / F.col("n_tokens"))

@@ -189,6 +189,33 @@ def test_crossentropy_brute_force(spark, least_share):
         assert got[d] == (len(w), pytest.approx(sum(gains) / len(w), abs=1e-9) if w else None), d
 
 
+def test_crossentropy_is_not_cut_finer_than_its_input(spark, monkeypatch):
+    """Buckets pack a row for each other bucket and block: their number follows the tokens, not the partitions."""
+    from foldmeter.llm import crossentropy
+
+    made = {}
+    half, gains = crossentropy._half_counted, crossentropy._bucket_gains
+    monkeypatch.setattr(crossentropy, "_half_counted", lambda buckets: half(made.setdefault("buckets", buckets)))
+    monkeypatch.setattr(crossentropy, "_bucket_gains", lambda *a: gains(*a[:-1], made.setdefault("blocks", a[-1])))
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(60)]
+    docs, target = spark.createDataFrame(rows(texts), SCHEMA), spark.createDataFrame([(i,) for i in range(0, 60, 3)], "id long")
+    scores = lambda: {r.doc_id: (r.n_tokens, pytest.approx(r.score, abs=1e-9)) for r in cross_entropy_difference(docs, target, least_share=0.01).collect()}
+    few = scores()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    made.clear()
+    try:
+        assert scores() == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made == {"buckets": 1, "blocks": 1}
+    monkeypatch.setattr(crossentropy, "LEAST_TOKENS", 1000)
+    monkeypatch.setattr(crossentropy, "LEAST_ROWS", 20)
+    made.clear()
+    assert scores() == few and made == {"buckets": 4, "blocks": 3}
+
+
 def verdicts(spark, urls):
     pages = spark.createDataFrame([(i, u, label) for i, (u, label) in enumerate(urls)], "page_id long, url string, label int")
     return {r.url: r.verdict for r in url_filter(pages, [("allow", "none.org", "/")]).collect()}
