@@ -11,18 +11,18 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from foldmeter.functions.numbers import strict_double
 from foldmeter.functions.text import tokens
 from foldmeter.operators import hog, text
-from foldmeter.operators.features import to_long
-from foldmeter.session import has_at_most, scratch_dir
+from foldmeter.operators.counts import Terms, WideCounts
+from foldmeter.operators.features import sparse_vectors, to_long
+from foldmeter.session import has_at_most
 from foldmeter.sources.paths import image_pixels
 
 #: Vocabularies of at most so many terms go to every task; vectors of wider ones are grouped from the long form.
@@ -149,25 +149,6 @@ class Tfidf:
         return FoldFeatures(model.train, model.test, model.widths)
 
 
-def _as_vectors(df: DataFrame, out: str, width: int) -> DataFrame:
-    """``df`` with array columns ``_ix`` and ``_v`` replaced by a sparse vector ``out``.
-
-    A vector is stored as a struct, so the struct is written and read back under the vector's type: no row passes Python.
-    """
-    none_ix, none_v = F.array().cast("array<int>"), F.array().cast("array<double>")
-    body = F.struct(
-        F.lit(0).cast("byte").alias("type"),
-        F.lit(width).cast("int").alias("size"),
-        F.coalesce("_ix", none_ix).alias("indices"),
-        F.coalesce("_v", none_v).alias("values"),
-    )
-    plain = df.withColumn(out, body).drop("_ix", "_v")
-    path = scratch_dir(df.sparkSession)
-    plain.write.parquet(path)
-    schema = StructType([StructField(out, VectorUDT()) if f.name == out else f for f in plain.schema.fields])
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 class FittedTfidf:
     def __init__(self, attribute: str, model: text.Tfidf):
         self.attribute, self.model = attribute, model
@@ -192,7 +173,7 @@ class FittedTfidf:
             entry = F.struct("feature_ix", "value")
             grouped = self.long(df).groupBy("row_id").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
             parts = grouped.select("row_id", F.col("_entries.feature_ix").alias("_ix"), F.col("_entries.value").alias("_v"))
-            return _as_vectors(df.join(parts, "row_id", "left"), out, self.width)
+            return sparse_vectors(df.join(parts, "row_id", "left"), out, self.width)
         terms, weights = zip(*self._vocabulary()) if self._vocabulary() else ((), ())
         words = df.withColumn("_words", tokens(F.col(self.attribute), self.model.lowercase))
         counter = CountVectorizerModel.from_vocabulary(list(terms), inputCol="_words", outputCol="_counts")
@@ -278,6 +259,7 @@ class MLStages:
     """``pyspark.ml`` stages from the attribute to a vector: estimators and transformers, each reading the one before.
 
     A text's tokens, as this library splits them, are the first input with ``tokens=True``; else the attribute itself is.
+    A ``CountVectorizer`` of tokens that finds more than ``BROADCAST_TERMS`` terms keeps them in a table.
     """
 
     stages: Sequence[Any]
@@ -289,8 +271,16 @@ class MLStages:
         if not self.stages:
             raise ValueError("at least one stage is needed")
         fitted = FittedStages(attribute, [], 0, self)
-        frame = fitted.start(train)
-        for i, stage in enumerate(self.stages):
+        if self.tokens and type(self.stages[0]) is CountVectorizer:
+            wide = WideCounts.fit(self.stages[0], train, attribute, not self.case_sensitive, BROADCAST_TERMS)
+            if wide is not None:
+                fitted.models.append(wide)
+                if len(self.stages) == 1:
+                    fitted.width = wide.width
+                    return fitted
+        done = len(fitted.models)
+        frame = fitted.models[0].transform(train, "_s1") if done else fitted.start(train)
+        for i, stage in list(enumerate(self.stages))[done:]:
             stage = stage.copy({stage.getParam("inputCol"): f"_s{i}", stage.getParam("outputCol"): f"_s{i + 1}"})
             fitted.models.append(stage.fit(frame) if hasattr(stage, "fit") else stage)
             frame = fitted.models[-1].transform(frame)
@@ -311,14 +301,17 @@ class FittedStages:
         return df.withColumn("_s0", first)
 
     @property
-    def names(self) -> list[str]:
+    def names(self) -> Sequence[str]:
         """Terms where a stage has a vocabulary of the right size."""
         terms = next((m.vocabulary for m in reversed(self.models) if hasattr(m, "vocabulary") and len(m.vocabulary) == self.width), None)
+        if isinstance(terms, Terms):
+            return Terms(terms.table, terms.size, f"{self.attribute} : ")
         return [f"{self.attribute} : {t}" for t in terms or ["UNK"] * self.width]
 
     def vector(self, df: DataFrame, out: str) -> DataFrame:
-        frame = self.start(df)
-        for model in self.models:
+        wide = [m for m in self.models[:1] if isinstance(m, WideCounts)]
+        frame = wide[0].transform(df, "_s1") if wide else self.start(df)
+        for model in self.models[len(wide) :]:
             frame = model.transform(frame)
         return frame.withColumnRenamed(f"_s{len(self.models)}", out).drop(*[f"_s{i}" for i in range(len(self.models))])
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from foldmeter.functions.numbers import strict_double
+from foldmeter.session import scratch_dir
 
 
 def pass_attributes(df: DataFrame, attributes: Sequence[str], out: str = "features") -> DataFrame:
@@ -25,6 +28,25 @@ def to_long(df: DataFrame, features: str = "features", keep: tuple[str, ...] = (
     return long.filter("value <> 0")
 
 
+def sparse_vectors(df: DataFrame, out: str, width: int) -> DataFrame:
+    """``df`` with array columns ``_ix`` and ``_v`` replaced by a sparse vector ``out``.
+
+    A vector is stored as a struct, so the struct is written and read back under the vector's type: no row passes Python.
+    """
+    none_ix, none_v = F.array().cast("array<int>"), F.array().cast("array<double>")
+    body = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(width).cast("int").alias("size"),
+        F.coalesce("_ix", none_ix).alias("indices"),
+        F.coalesce("_v", none_v).alias("values"),
+    )
+    plain = df.withColumn(out, body).drop("_ix", "_v")
+    path = scratch_dir(df.sparkSession)
+    plain.write.parquet(path)
+    schema = StructType([StructField(out, VectorUDT()) if f.name == out else f for f in plain.schema.fields])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def stack(parts: Sequence[tuple[DataFrame, int]]) -> DataFrame:
     """Put several attributes' long features side by side; each part is (features, width)."""
     out, offset = None, 0

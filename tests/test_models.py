@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, MaxAbsScaler, UnivariateFeatureSelector
+from pyspark.ml.feature import IDF, CountVectorizer, MaxAbsScaler, UnivariateFeatureSelector, VarianceThresholdSelector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -242,6 +242,69 @@ def test_pyspark_ml_stages_in_every_slot(spark):
     assert counted.long(df).agg(F.sum("value")).first()[0] == 160
 
 
+@pytest.mark.parametrize("options", [{}, {"minDF": 2.0}, {"maxDF": 0.5, "minTF": 0.2}, {"vocabSize": 8, "binary": True}])
+def test_wide_counts_are_those_of_the_stage(spark, monkeypatch, options):
+    """A vocabulary too wide for the driver gives the stage's counts, for repeated and null row ids and empty texts too."""
+    rows = [(i if i % 7 else None, " ".join(f"W{j}" for j in range(i % 9) for _ in range(1 + j * i % 3))) for i in range(40)]
+    df = spark.createDataFrame([*rows, rows[5], (99, None)], "row_id long, text string")
+    stages = extractors.MLStages([CountVectorizer(**{"vocabSize": 1 << 30} | options)], tokens=True)
+    chosen = selection.MLSelector(VarianceThresholdSelector(varianceThreshold=0.1))
+
+    def found():
+        fitted = stages.fit(df, "text")
+        names, out = list(fitted.names), []
+        for frame in (df, df.filter("row_id > 3")):
+            vectors = fitted.vector(frame, "features")
+            assert vectors.columns == ["row_id", "text", "features"]
+            out.append(sorted(str((r.row_id, r.text, sorted((names[i], v) for i, v in zip(r.features.indices, r.features.values)))) for r in vectors.collect()))
+        selector = chosen.fit(fitted.vector(df, "features"))
+        return fitted, (sorted(names), fitted.width, out, sorted(selector.names(fitted.names)))
+
+    plain, want = found()
+    monkeypatch.setattr(extractors, "BROADCAST_TERMS", 3)
+    monkeypatch.setattr(selection, "WIDE", 3)
+    wide, got = found()
+    assert got == want
+    assert isinstance(plain.names, list) and not isinstance(wide.names, list)  # no list of all terms
+    assert wide.names[1] == list(wide.names)[1] and list(wide.names[1:3]) == list(wide.names)[1:3]
+
+
+def test_wide_counts_come_before_other_stages(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"a b{i % 3} c{i % 5}") for i in range(30)], "row_id long, text string")
+    stages = extractors.MLStages([CountVectorizer(), IDF()], tokens=True)
+    table = lambda f: sorted((r.row_id, f.names[r.feature_ix], round(r.value, 9)) for r in f.long(df).collect())
+    plain = stages.fit(df, "text")
+    want = table(plain)
+    monkeypatch.setattr(extractors, "BROADCAST_TERMS", 3)
+    wide = stages.fit(df, "text")
+    assert wide.width == plain.width == 9
+    names = list(wide.names)
+    assert sorted((r.row_id, names[r.feature_ix], round(r.value, 9)) for r in wide.long(df).collect()) == want
+
+
+def test_steps_run_side_by_side_on_their_share_of_the_cores(spark, monkeypatch):
+    import threading
+
+    from checks import models
+    from foldmeter import session
+
+    df = spark.range(0, 90, 1, 12).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("fold"), F.lit(0).alias("label_ix")).persist()
+    together = threading.Barrier(3)
+
+    def predict(train, test):
+        together.wait(60)  # breaks if one step waits for another
+        n = train.rdd.getNumPartitions()
+        return test.select("row_id", (F.lit(1000 * n) + F.col("fold")).alias("predicted_ix"))
+
+    def got():
+        return sorted((r.row_id, r.fold, r.predicted_ix) for r in models._per_fold(df, 3, predict).collect())
+
+    cores = spark.sparkContext.defaultParallelism
+    assert got() == [(i, i % 3, 1000 * -(-cores // 3) + i % 3) for i in range(90)]
+    monkeypatch.setattr(session, "SHARED_ROWS", 10)  # 60 training rows
+    assert got() == [(i, i % 3, 1000 * max(6, -(-cores // 3)) + i % 3) for i in range(90)]
+
+
 def test_multinomial_leave_one_out_by_brute_force(spark):
     rng = np.random.default_rng(6)
     x, label = rng.integers(0, 4, (30, 5)), rng.integers(0, 3, 30)
