@@ -8,7 +8,8 @@ then indexed with its one-deletion neighbourhood.  Two sets that are empty in se
 E, ``d + 1 - |E|`` segments looked up exactly, |E| of them also within one deletion, which again is more than ``d`` in all;
 with two neighbours both in E they share the key of an empty segment that follows an empty one.  So no pair is lost.
 
-Sets that share a key meet at the smallest set of that key (its leader).  Most sets only share a common passage there, so the
+Keys go once, packed, to buckets that find the shared ones (``buckets.py``).  Sets that share a key meet at the smallest set of
+that key (its leader).  Most sets only share a common passage there, so the
 sets of a leader are first compared by the parities of their hashed tokens, a few bits for each token: no fewer tokens differ
 than bits do, which rules pairs out without ever losing one.  Only sets that have a possible partner send their tokens.  These
 are compared in blocks of bounded size, exactly; a pair that meets under several leaders counts under the smallest.  A block
@@ -26,14 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldmeter.llm.buckets import PACKED, buckets_of, packed, unpacked
 from foldmeter.llm.graph import components
 from foldmeter.llm.words import Words, mix, salted, signed, words
-from foldmeter.session import broadcast_if_small, cut_lineage
+from foldmeter.session import broadcast_if_small, cut_lineage, shuffle_width
 
 #: Tokens of one block; two blocks are compared at a time.
 BLOCK_TOKENS = 40_000
 #: Sets of one block, and how much larger blocks of parities may be.
 BLOCK_SETS, PARITY_BLOCKS = 2_000, 8
+#: Bytes of a row and of a key that are sent to the key's bucket; six bytes and the bucket tell keys apart well enough, as
+#: sets that meet by chance are compared like all others.
+ENTRY = [8, 6]
 
 
 class Bands:
@@ -156,13 +161,49 @@ def _sketch(k: int, num: int, den: int):
                         pa.array(np.ascontiguousarray(ab[:, 1])),
                         parities(tokens, at),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(key[order]))),
+                        pa.array(np.diff(ends), pa.int32()),
                     ],
-                    ["id", "n", "a", "b", "odd", "keys"],
+                    ["id", "n", "a", "b", "odd", "keys", "m"],
                 )
 
     return run
 
 
+def _entries(buckets: int):
+    """The keys of sets with their rows, packed by the buckets of the keys."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for batch in batches:
+            ends = np.asarray(batch.column("keys").offsets)
+            key = np.asarray(batch.column("keys").values)[ends[0] : ends[-1]]
+            row = np.repeat(np.asarray(batch.column("row")), np.diff(ends))
+            yield [row.view(np.uint64), np.ascontiguousarray(key).view(np.uint64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(parts(batches), 1, ENTRY, buckets)
+
+    return run
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """(node, leader): the sets that share a key of the bucket with another, and the smallest set of that key."""
+    row, key = unpacked(table, ENTRY)
+    if not len(row):
+        return pa.table({"node": pa.array([], pa.int64()), "leader": pa.array([], pa.int64())})
+    order = np.argsort(key)
+    row, key = row[order].view(np.int64), key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    leader, last = np.minimum.reduceat(row, first), np.maximum.reduceat(row, first)
+    size = np.diff(np.r_[first, len(row)])
+    shared = np.repeat(leader < last, size)
+    node, leader = row[shared], np.repeat(leader, size)[shared]
+    order = np.lexsort((leader, node))
+    node, leader = node[order], leader[order]
+    new = np.ones(len(node), bool)
+    new[1:] = (node[1:] != node[:-1]) | (leader[1:] != leader[:-1])
+    return pa.table({"node": pa.array(node[new]), "leader": pa.array(leader[new])})
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +349,7 @@ def ngram_jaccard(
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    sketch = source.mapInArrow(_sketch(k, num, den), f"id {kind}, n long, a long, b long, odd binary, keys array<long>")
+    sketch = source.mapInArrow(_sketch(k, num, den), f"id {kind}, n long, a long, b long, odd binary, keys array<long>, m int")
     sketch = cut_lineage(sketch.select(F.monotonically_increasing_id().alias("row"), "*"))
 
     named = sketch.filter("n > 0").select("row", "id", "n", "a", "b")
@@ -318,12 +359,9 @@ def ngram_jaccard(
     classes = cut_lineage(classes)
     copies = named.select("row", "a", "b").join(classes.select("a", "b", "node"), ["a", "b"]).filter("row <> node").select("row")
     first = sketch.filter("n > 0").select("row", "keys").join(broadcast_if_small(cut_lineage(copies)), "row", "left_anti")
-    entries = first.select("row", F.explode("keys").alias("key"))
-
-    shared = entries.groupBy("key").agg(F.min("row").alias("leader"), F.max("row").alias("last"))
-    shared = cut_lineage(shared.filter("leader < last").select("key", "leader"))
-    members = entries.join(broadcast_if_small(shared), "key").select(F.col("row").alias("node"), "leader").distinct()
-    members = cut_lineage(members)
+    buckets = buckets_of(sketch.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0], shuffle_width(spark))
+    entries = first.select("row", "keys").mapInArrow(_entries(buckets), PACKED)
+    members = cut_lineage(entries.groupBy("bucket").applyInArrow(_met, "node long, leader long").distinct())
 
     sizes = classes.select("node", "n", "copies", "class_id", "a", "b")
     marks = sketch.select(F.col("row").alias("node"), "n", "odd")
