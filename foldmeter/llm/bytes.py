@@ -2,11 +2,11 @@
 
 An index of a whole corpus has no owner on a cluster, so documents are cut by content first.  The anchor of a window is the
 smallest hash of the short strings inside it: equal windows have equal anchors wherever they stand, and neighbouring windows
-of one anchor form a segment.  Only segments of one anchor can share a window.  Anchors of two documents or more are dealt
-into blocks; equal segments are settled at once, and the different segments of an anchor meet in the block's index
-(``runindex.py``): the earlier ones are indexed, the later ones streamed over it, and matches of a window's length are marked.
-An anchor with more than ``VARIANTS`` different segments is spread further, by the windows themselves.  Copies of a whole text
-are settled before by their hash.
+of one anchor form a segment.  Only segments of one anchor can share a window.  Hashes of all segments go once, packed, to
+buckets of anchors (``buckets.py``), which settle equal segments.  Anchors with different segments of two documents or more are
+dealt into blocks; there the segments of an anchor meet in the block's index (``runindex.py``): the earlier ones are indexed, the
+later ones streamed over it, and matches of a window's length are marked.  An anchor with more than ``VARIANTS`` different
+segments is spread further, by the windows themselves.  Copies of a whole text are settled before by their hash.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldmeter.llm.buckets import PACKED, buckets_of, packed, unpacked
 from foldmeter.llm.repeats import _prepared, removed_words
 from foldmeter.llm.runindex import earlier_matches
 from foldmeter.llm.words import _BYTES, _VALUE, mix, signed, spans, text_bytes
-from foldmeter.session import broadcast_if_small, cut_lineage
+from foldmeter.session import BROADCAST_BYTES, broadcast_if_small, cut_lineage, shuffle_width
 
 #: Bytes of the strings that anchors are chosen from.  Longer ones give more anchors, but fewer that unrelated texts share.
-GRAM = 32
+GRAM = 24
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Windows of a segment at most: a longer one, as periodic texts have, is cut from its start on.
 LONGEST = 64
@@ -33,6 +34,11 @@ LONGEST = 64
 VARIANTS = 32
 #: Bytes of the rows that one block indexes and streams, about.
 BLOCK = 4 << 20
+#: Bytes of a segment's id, mark, anchor, value and place that are sent.  Anchors that agree in the bucket and in five bytes are
+#: treated as one, which only makes a block compare more; values decide and are sent whole.
+ENTRY = [8, 8, 5, 8, 5]
+#: A place is a position times this, plus the number of windows after the first.
+PLACE = 2 * LONGEST
 
 
 class Chunk:
@@ -82,52 +88,55 @@ def chunks(column: pa.Array, window: int, anchors: bool = True) -> Iterator[Chun
         yield Chunk(i, data[at[i] : at[j]], at[i : j + 1] - at[i], window, anchors)
 
 
-def _anchors(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(batch.column("text"), window):
-                first, _ = c.segments()
-                of = c.first + c.doc[c.pos[first]]
-                yield pa.record_batch(
-                    [batch.column("id").take(pa.array(of)), batch.column("mark").take(pa.array(of)), pa.array(signed(c.anchor[first]))],
-                    ["id", "mark", "anchor"],
-                )
+def _segments(window: int, buckets: int):
+    """All segments with their ids, packed by the buckets of their anchors."""
 
-    return run
-
-
-def _segments(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in batches:
-            shared = batch.column("shared")
-            ends, names = np.asarray(shared.offsets), np.asarray(shared.values)
+            ids, marks = (np.asarray(batch.column(c)).view(np.uint64) for c in ("id", "mark"))
             for c in chunks(batch.column("text"), window):
                 first, last = c.segments()
                 doc = c.doc[c.pos[first]]
-                name = signed(c.anchor[first])
-                known = np.zeros(len(first), bool)
-                edge = np.searchsorted(doc, np.arange(len(c.at)))
-                for i in range(len(c.at) - 1):
-                    own = slice(edge[i], edge[i + 1])
-                    known[own] = np.isin(name[own], names[ends[c.first + i] : ends[c.first + i + 1]])
-                first, last, doc, name = first[known], last[known], doc[known], name[known]
-                of = pa.array(c.first + doc)
                 value = c.range_hash(c.pos[first], c.pos[last] + window) + (last - first).astype(np.uint64)
-                yield pa.record_batch(
-                    [
-                        batch.column("id").take(of),
-                        batch.column("mark").take(of),
-                        pa.array(name),
-                        pa.array(signed(value)),
-                        pa.array((c.pos[first] - c.at[doc]).astype(np.int32)),
-                        pa.array((last - first + 1).astype(np.int32)),
-                    ],
-                    ["id", "mark", "anchor", "value", "pos", "n"],
-                )
+                place = (c.pos[first] - c.at[doc]) * PLACE + last - first
+                # low minima are not evenly spread
+                yield [ids[c.first + doc], marks[c.first + doc], mix(c.anchor[first]), value, place.view(np.uint64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(parts(batches), 2, ENTRY, buckets)
 
     return run
 
 
+def _settled(table: pa.Table) -> pa.Table:
+    """The bucket's segments of anchors that two documents have: those that an earlier document has as well with m = 0, and of
+    each of several different ones of an anchor the earliest, with their number m."""
+    own, mark, anchor, value, place = unpacked(table, ENTRY)
+    own = own.view(np.int64)
+    order = np.argsort(anchor)
+    first = np.flatnonzero(np.diff(anchor[order], prepend=~anchor[order[:1]]))
+    if len(first):
+        ids = own[order]
+        shared = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
+        order = order[np.repeat(shared, np.diff(np.r_[first, len(order)]))]
+    own, mark, anchor, value, place = (c[order] for c in (own, mark, anchor, value, place))
+    order = np.lexsort((own, value, anchor))
+    own, mark, anchor, value, place = (c[order] for c in (own, mark, anchor, value, place))
+    opens = np.ones(len(own), bool)
+    opens[1:] = anchor[1:] != anchor[:-1]
+    new = opens.copy()
+    new[1:] |= value[1:] != value[:-1]
+    nth = np.cumsum(new)
+    least = own[new][nth - 1]
+    several = np.add.reduceat(new, np.flatnonzero(opens), dtype=np.int64) if len(own) else np.zeros(0, np.int64)
+    m = np.where(own > least, 0, several[np.cumsum(opens) - 1])
+    kept = m != 1
+    name = anchor[kept].view(np.int64) | np.int64(table.column("bucket")[0].as_py() << 40)
+    pos, n = (x.astype(np.int32) for x in np.divmod(place[kept].view(np.int64), PLACE))
+    columns = {"id": own[kept], "mark": mark[kept].view(np.int64), "anchor": name, "pos": pos, "n": n + 1, "m": m[kept].astype(np.int32)}
+    return pa.table({k: pa.array(v) for k, v in columns.items()})
+
+
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,25 +290,19 @@ def repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     copies = cut_lineage(named.join(cut_lineage(least.drop("m")), ["mark", "other"]).filter("id > least").select("id", "mark", "size"))
     rest = source.join(broadcast_if_small(copies.select("id", "mark")), ["id", "mark"], "left_anti")
 
-    entries = rest.mapInArrow(_anchors(window), "id long, mark long, anchor long")
-    shared = entries.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    shared = cut_lineage(shared.select("anchor"))
-    wanted = entries.join(shared, "anchor").groupBy("id", "mark").agg(F.collect_set("anchor").alias("shared"))
-    wanted = broadcast_if_small(cut_lineage(wanted))
-    schema = "id long, mark long, anchor long, value long, pos int, n int"
-    segments = rest.join(wanted, ["id", "mark"]).select("id", "mark", "text", "shared").mapInArrow(_segments(window), schema)
-    segments = cut_lineage(segments)
-
-    variants = cut_lineage(segments.groupBy("anchor", "value").agg(F.min("id").alias("least")))
-    judged = cut_lineage(segments.join(variants, ["anchor", "value"]))
-    whole = judged.filter("id > least").select("id", "mark", "pos", "n")
-    several = cut_lineage(variants.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"))
-    open_ = cut_lineage(judged.filter("id = least").join(several, "anchor"))
+    expected = int(named.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) * 2 // (window - GRAM + 2)
+    buckets = buckets_of(expected, shuffle_width(docs.sparkSession))
+    segments = rest.select("id", "mark", "text").mapInArrow(_segments(window, buckets), PACKED)
+    schema = "id long, mark long, anchor long, pos int, n int, m int"
+    judged = cut_lineage(segments.groupBy("bucket").applyInArrow(_settled, schema))
+    whole = judged.filter("m = 0").select("id", "mark", "pos", "n")
+    open_ = judged.filter("m > 0")
 
     def with_texts(part: DataFrame) -> DataFrame:
         chosen = part.groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "n", "anchor")).alias("s"))
         chosen = cut_lineage(chosen.select("id", "mark", F.col("s.pos").alias("places"), F.col("s.n").alias("lengths"), F.col("s.anchor").alias("anchors")))
-        return rest.join(broadcast_if_small(chosen), ["id", "mark"]).select("id", "mark", "text", "places", "lengths", "anchors")
+        side = broadcast_if_small(chosen, size=3 * BROADCAST_BYTES)  # a place takes 16 bytes in these arrays, not 48
+        return rest.join(side, ["id", "mark"]).select("id", "mark", "text", "places", "lengths", "anchors")
 
     strings = with_texts(open_.filter(F.col("m") <= VARIANTS)).mapInArrow(
         _strings(window), "anchor long, id long, mark long, places array<int>, bytes binary"

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
+from foldmeter.llm import bytes as byte_module
 from foldmeter.llm import jaccard
 from foldmeter.llm.buckets import HELD, buckets_of, packed, unpacked
 
@@ -57,3 +58,49 @@ def test_long_form_of_keys_is_not_shuffled(spark, monkeypatch):
     got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.ngram_jaccard(docs).collect()}
     assert got == {i: (0, 11) for i in range(12)} | {20: (20, 0)}
     assert not any("key" in df.columns for df in made)
+
+
+def test_segments_are_settled_in_their_bucket():
+    """Anchors of one document go; of equal segments all but the earliest id's are hits; different ones stay open with their number."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    own = np.sort(rng.integers(-3, 40, n))
+    anchor = rng.choice(rng.integers(0, 1 << 64, 700, np.uint64), n)
+    value = rng.integers(0, 3, n).astype(np.uint64) + np.uint64(1 << 63)
+    place = (rng.integers(0, 1 << 31, n) * byte_module.PLACE + rng.integers(0, byte_module.LONGEST, n)).view(np.uint64)
+    mark = own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    by = {}
+    for i in range(n):
+        by.setdefault(int(anchor[i]), []).append(i)
+    want = []
+    for rows in by.values():
+        if len({own[i] for i in rows}) < 2:
+            continue
+        least, values = {}, {int(value[i]) for i in rows}
+        for i in rows:
+            least[int(value[i])] = min(least.get(int(value[i]), 1 << 62), int(own[i]))
+        for i in rows:
+            m = 0 if own[i] > least[int(value[i])] else len(values)
+            if m != 1:
+                pos, more = divmod(int(place[i]), byte_module.PLACE)
+                want.append((int(own[i]), int(mark.view(np.int64)[i]), pos, more + 1, m))
+    table = _tables([own.view(np.uint64), mark, anchor, value, place], 2, byte_module.ENTRY, 5)
+    got, names = [], set()
+    for b in range(5):
+        out = byte_module._settled(table.filter(pa.compute.equal(table["bucket"], pa.scalar(b, pa.int32()))))
+        got += zip(*(out[c].to_pylist() for c in ("id", "mark", "pos", "n", "m")))
+        assert not names & set(out["anchor"].to_pylist())
+        names |= set(out["anchor"].to_pylist())
+    assert sorted(got) == sorted(want)
+
+
+def test_texts_are_read_once_for_segments(spark, monkeypatch):
+    """With no side small enough to broadcast, texts meet sides only for open segments, not for the anchors that documents share."""
+    joined = []
+    monkeypatch.setattr(byte_module, "broadcast_if_small", lambda df, **_: joined.append(df.columns) or df)
+    passage = "a passage of some length that stands in every one of these texts, letter by letter "
+    docs = spark.createDataFrame([(i, f"{i} " * i + passage) for i in range(6)] + [(9, "z" * 70), (10, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in byte_module.byte_dedup(docs).collect()}
+    shared = len(passage) + 1  # the blank before it, from the second text with one on
+    assert got == {0: (83, 0), 1: (85, 83), 9: (70, 0), 10: (0, 0)} | {i: (83 + 2 * i, shared) for i in range(2, 6)}
+    assert not any("shared" in columns for columns in joined)
