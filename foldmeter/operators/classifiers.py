@@ -36,12 +36,12 @@ def vectors(df: DataFrame) -> DataFrame:
     return df
 
 
-def entries(df: DataFrame) -> DataFrame:
-    """(row_id, feature_ix, value) of the features that are not zero."""
-    parts = as_entries(df.select("row_id", "features"))
+def entries(df: DataFrame, *keep: str) -> DataFrame:
+    """(row_id, keep..., feature_ix, value) of the features that are not zero."""
+    parts = as_entries(df.select("row_id", *keep, "features"))
     at = F.coalesce("ix", F.sequence(F.lit(0), F.size("v") - 1))
-    long = parts.select("row_id", F.explode(F.arrays_zip(at.alias("feature_ix"), F.col("v").alias("value"))).alias("e"))
-    return long.select("row_id", "e.feature_ix", "e.value").filter("value <> 0")
+    long = parts.select("row_id", *keep, F.explode(F.arrays_zip(at.alias("feature_ix"), F.col("v").alias("value"))).alias("e"))
+    return long.select("row_id", *keep, "e.feature_ix", "e.value").filter("value <> 0")
 
 
 @dataclass
@@ -283,6 +283,9 @@ class NaiveBayes(Classifier):
 
 @dataclass
 class DecisionTree(Classifier):
+    """``side_by_side``: deep in a tree a pass costs dense statistics of its nodes from every partition, hardly any rows, so the
+    steps' trees grow at the same time, each in a few partitions."""
+
     normalizer: Any = None
     random_seed: int | None = None
     criterion: str = "Gini Impurity"
@@ -291,6 +294,8 @@ class DecisionTree(Classifier):
     name: str = "Decision Tree Classifier"
     abbreviation: str = "DTC"
 
+    side_by_side = True
+
     # Names of the split criteria.
     CRITERIA = {"Gini Impurity": "gini", "Information Gain": "entropy"}
 

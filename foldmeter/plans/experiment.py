@@ -6,16 +6,19 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.operators import labels, scores
+from foldmeter.operators import classifiers as models
+from foldmeter.operators import labels, scores, splits
 from foldmeter.plans.config import Experiment, Folded, LeaveOneOut
 from foldmeter.plans.profile import working_set
-from foldmeter.session import cut_lineage, scratch_dir
+from foldmeter.session import cut_lineage, scratch_dir, share_cores
 from foldmeter.sources.checks import require_complete, require_rows
 
 T = TypeVar("T")
@@ -181,14 +184,7 @@ def run_experiment(df: DataFrame, config: Experiment) -> ResultTables:
             model = clock.run(step, [name], "train", lambda: classifier.fit(selected, n_classes))
             predict = lambda: cut_lineage(_named(model.predict(tested), feature_names))
             codes = clock.run(step, [name], "test", predict)
-            truth = tested.select("row_id", F.col("label").alias("real"))
-            joined = labels.decode(truth.join(codes, "row_id"), mapping, {"predicted_ix": "predicted"})
-            path = scratch_dir(spark)
-            shaped = joined.select(
-                F.lit(step).alias("step"), F.lit(name).alias("classifier"), "row_id", "real", "predicted", "top"
-            )
-            shaped.write.parquet(path)
-            predicted.append(path)
+            predicted.append(_write_step(step, name, tested, codes, mapping))
             epochs += [(step, name, *e) for e in model.epochs]
         for frame in {id(f): f for f in (train, selected, test, tested)}.values():
             frame.unpersist()
@@ -206,6 +202,15 @@ def run_experiment(df: DataFrame, config: Experiment) -> ResultTables:
 _TOP = "array<struct<name:string,importance:double>>"
 
 
+def _write_step(step: int, name: str, tested: DataFrame, codes: DataFrame, mapping: DataFrame) -> str:
+    """The path of one classifier's predictions of one step, beside the truth."""
+    truth = tested.select("row_id", F.col("label").alias("real"))
+    joined = labels.decode(truth.join(codes, "row_id"), mapping, {"predicted_ix": "predicted"})
+    path = scratch_dir(tested.sparkSession)
+    joined.select(F.lit(step).alias("step"), F.lit(name).alias("classifier"), "row_id", "real", "predicted", "top").write.parquet(path)
+    return path
+
+
 def _named(codes: DataFrame, names: Callable[[], list[str]]) -> DataFrame:
     """(row_id, predicted_ix, top with feature names); the names are asked for only if there is a top."""
     if "top" not in codes.columns:
@@ -221,13 +226,13 @@ def _named(codes: DataFrame, names: Callable[[], list[str]]) -> DataFrame:
 
 
 def _all_fold_classifiers(config: Experiment) -> tuple[list, list]:
-    """Classifiers that can be trained for all folds in one pass, and the others."""
+    """Classifiers that can be trained for all folds in one pass, or for all folds side by side, and the others."""
     able = isinstance(config.validator, Folded) and not config.selectors
     able = able and all(hasattr(e, "fit_folds") for e in config.attributes.values())
     still = all(getattr(e, "stateless", False) for e in config.attributes.values())
 
     def fits(c) -> bool:
-        return able and getattr(c, "takes_all_folds", False) and (_long(c) or still)
+        return able and ((getattr(c, "takes_all_folds", False) and (_long(c) or still)) or (_side_by_side(c) and still))
 
     at_once = [c for c in config.classifiers if fits(c)]
     return at_once, [c for c in config.classifiers if c not in at_once]
@@ -238,9 +243,21 @@ def _long(classifier) -> bool:
     return getattr(classifier, "type_v", None) == "multinomial"
 
 
+def _side_by_side(classifier) -> bool:
+    """Trained once per step, all steps at the same time (see ``classifiers.DecisionTree``)."""
+    return getattr(classifier, "side_by_side", False)
+
+
+def _together(work: Callable[[int], T], n: int) -> list[T]:
+    """``work(step)`` of all steps at the same time."""
+    with ThreadPool(n) as pool:
+        return pool.map(inheritable_thread_target(work), range(n))
+
+
 def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: DataFrame, clock: _Clock):
     """Every step of ``at_once`` without a loop over steps: features and sums are kept for all folds together.
 
+    Stateless attributes are extracted once, whatever takes part: long features are read off the vectors where there are any.
     Returns the paths of the predictions and the step statistics, or None where an extractor needs each step by itself.
     The time of a pass is divided evenly among its steps.
     """
@@ -249,9 +266,19 @@ def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: Data
     folded = cut_lineage(folded)
     n_classes = mapping.count()
     keys = folded.select("row_id", "fold", "label_ix").persist()
-    features, widths = None, [0] * n_folds
-    if any(map(_long, at_once)):
-        start = _Lap(clock, n_folds, [c.name for c in at_once if _long(c)], "train_extraction")
+    features, widths, vectors = None, [0] * n_folds, None
+    still = [c for c in at_once if not _long(c)]
+    if still:
+        start = _Lap(clock, n_folds, [c.name for c in at_once], "train_extraction")
+        fitted = [e.fit(folded, a) for a, e in config.attributes.items()]
+        vectors = _force(_extract(fitted, folded, "fold"))
+        start.stop()
+        widths = [sum(f.width for f in fitted)] * n_folds
+        if len(still) < len(at_once):
+            found = models.entries(vectors, "fold", "label_ix").withColumn("feature", F.col("feature_ix").cast("bigint")).drop("feature_ix")
+            features = (found.withColumn("values", F.array_repeat("value", n_folds)).drop("value"), found.drop("label_ix"))
+    else:
+        start = _Lap(clock, n_folds, [c.name for c in at_once], "train_extraction")
         parts = [e.fit_folds(folded, a, n_folds) for a, e in config.attributes.items()]
         if any(p is None for p in parts):
             return None, []
@@ -264,16 +291,17 @@ def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: Data
             return reduce(DataFrame.unionByName, shifted)
 
         features = (stacked([p.train() for p in parts]), stacked([p.test() for p in parts]))
-    still = [c for c in at_once if not _long(c)]
-    vectors = None
-    if still:
-        start = _Lap(clock, n_folds, [c.name for c in still], "train_extraction")
-        fitted = [e.fit(folded, a) for a, e in config.attributes.items()]
-        vectors = _force(_extract(fitted, folded, "fold"))
-        start.stop()
-        widths = [sum(f.width for f in fitted)] * n_folds
     paths = []
     for c in at_once:
+        if _side_by_side(c):
+            start = _Lap(clock, n_folds, [c.name], "train")
+            sides = [splits.fold_roles(vectors, s) for s in range(n_folds)]
+            fits = _together(lambda s: c.fit(share_cores(sides[s][0], n_folds), n_classes), n_folds)
+            start.stop()
+            start = _Lap(clock, n_folds, [c.name], "test")
+            paths += _together(lambda s: _write_step(s, c.name, sides[s][1], _named(fits[s].predict(sides[s][1]), list), mapping), n_folds)
+            start.stop()
+            continue
         start = _Lap(clock, n_folds, [c.name], "train")
         codes = c.all_folds_dense(vectors, n_folds, n_classes) if c in still else c.all_folds(keys, *features, n_folds, widths, n_classes)
         codes = cut_lineage(codes)

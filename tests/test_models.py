@@ -320,3 +320,23 @@ def test_multinomial_leave_one_out_by_brute_force(spark):
             s = x[mine].sum(0) + 1.0
             scores.append(np.log(mine.sum() / 29) + x[i] @ np.log(s / s.sum()) if mine.any() else -np.inf)
         assert got[i] == int(np.argmax(scores)), i
+
+
+def test_stateless_attributes_are_extracted_once_for_trees_of_all_steps(spark, two_class, monkeypatch):
+    from foldmeter.plans import experiment
+
+    models = [classifiers.NaiveBayes(type_v="multinomial", name="MNB"), classifiers.DecisionTree(random_seed=1)]
+    calls, extract = [], experiment._extract
+    monkeypatch.setattr(experiment, "_extract", lambda *a: calls.append(1) or extract(*a))
+
+    def found():
+        result = run_experiment(two_class, config(models))
+        timed = result.timings.groupBy("step", "classifier").agg(F.count("*").alias("n"), F.countDistinct("metric").alias("kinds")).collect()
+        assert len(timed) == 4 and {(r.n, r.kinds) for r in timed} == {(12, 12)}
+        table = sorted((r.step, r.classifier, r.row_id, r.real, r.predicted, r.top) for r in result.predictions.collect())
+        return table, sorted(map(tuple, result.step_stats.collect()))
+
+    got = found()
+    assert len(calls) == 1 and len(got[0]) == 2 * 32
+    monkeypatch.setattr(classifiers.DecisionTree, "side_by_side", False)
+    assert got == found()
