@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.session import BROADCAST_ROWS, fits_broadcast
+from foldmeter.session import BROADCAST_ROWS, broadcast_if_small, fits_broadcast
 
 #: Aim for at most this many joined rows per salt, and at most this many hot keys.
 ROWS_PER_SALT = 5_000_000
 HOT_KEYS = 10_000
 
+#: Where a whole table is too large to broadcast, so many of its most frequent keys are.
+FREQUENT_KEYS = BROADCAST_ROWS // 4
+
 
 def lookup_join(
     big: DataFrame,
@@ -39,3 +42,28 @@ def lookup_join(
         "_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_copies", F.lit(1))).cast("int")
     )
     return left.drop("_copies").join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def frequent_join(big: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner or left join; ``table`` has unique ``key`` and ``weight``, above 0: about how often each occurs, left out of the result.
+
+    Where few keys hold most rows, as words do, only the rows of rare keys are shuffled: the others meet the most frequent keys'
+    part of the table where they are.  Both sides are then read twice: hand in tables.
+    """
+    right = table.drop(weight)
+    if fits_broadcast(right, broadcast_rows):
+        return big.join(F.broadcast(right), key, how)
+    sizes = table.groupBy(F.floor(F.log2(weight)).alias("k")).count().collect()  # one row per power of two
+    least, n = 64, 0
+    for k, rows in sorted(((r["k"], r["count"]) for r in sizes), reverse=True):
+        n += rows
+        if n > FREQUENT_KEYS:
+            break
+        least = k
+    often = F.floor(F.log2(weight)) >= least
+    frequent = table.filter(often).drop(weight)
+    if not fits_broadcast(frequent, FREQUENT_KEYS):
+        return big.join(right, key, how)
+    here = big.join(F.broadcast(frequent), key)
+    others = big.join(F.broadcast(frequent.select(key)), key, "left_anti")
+    return here.unionByName(others.join(broadcast_if_small(table.filter(~often).drop(weight)), key, how))

@@ -82,7 +82,8 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float], key: str
 
 
 def sparse_quantiles(entries: DataFrame, n_rows: int, probabilities: Sequence[float]) -> DataFrame:
-    """(feature_ix, q array<double>): interpolated quantiles over all ``n_rows`` rows of a long frame without its zeros.
+    """(feature_ix, q array<double>, n): interpolated quantiles over all ``n_rows`` rows of a long frame without its zeros, and
+    the feature's stored entries.
 
     A feature's zeros stand between its negative and its positive values, so its counts tell whether any wanted rank falls on
     a stored value.  Only the values of such features, few where most entries are absent, are put in one global order of
@@ -106,4 +107,6 @@ def sparse_quantiles(entries: DataFrame, n_rows: int, probabilities: Sequence[fl
     high = [value_at(math.ceil(x)) for x in at]
     q = F.array(*[a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, at)])
     found = ranked.groupBy("feature_ix").agg(q.alias("q"))
-    return counts.select("feature_ix").join(found, "feature_ix", "left").select("feature_ix", F.coalesce("q", F.array(*[F.lit(0.0) for _ in at])).alias("q"))
+    n = (F.col("_below") + F.col("_above")).alias("n")
+    found = write_and_broadcast(found)
+    return counts.join(found, "feature_ix", "left").select("feature_ix", F.coalesce("q", F.array(*[F.lit(0.0) for _ in at])).alias("q"), n)
