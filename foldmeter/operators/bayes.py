@@ -6,6 +6,7 @@ folds' sums: the rows are scanned once, not once per step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -201,29 +202,51 @@ def multinomial_cross_validated(rows: DataFrame, features: DataFrame, folds: int
     )
 
 
-def multinomial_all_folds(rows: DataFrame, train: DataFrame, test: DataFrame, folds: int, widths: list[int], n_classes: int) -> DataFrame:
-    """(row_id, predicted_ix) for every row by the model of its step, where features differ from step to step.
-
-    ``rows`` is (row_id, fold, label_ix), ``train`` (row_id, fold, label_ix, feature, values) with a value per step, ``test``
-    (row_id, fold, feature, value) and ``widths`` the number of features per step.  One grouping by (class, feature) holds
-    the sums of all steps; classes x steps numbers reach the driver.
-    """
-    from foldmeter.operators.lookup import lookup_join
+def fold_sums(train: DataFrame, folds: int) -> DataFrame:
+    """(label_ix, feature, s0.., w0..) of long training entries (row_id, fold, label_ix, feature, values): what step i adds up, and
+    whether it tests the entry.  Rows of one class and feature are parts of one sum."""
     negative = F.raise_error(F.lit("multinomial model: negative feature value")).cast("double")
 
     def own(s: int) -> Column:
         v = F.get("values", F.lit(s))
         return F.when(F.col("fold") == s, F.lit(0.0)).when(v < 0, negative).otherwise(v)
 
-    sums = train.groupBy("label_ix", "feature").agg(
-        F.array(*[F.sum(own(s)) for s in range(folds)]).alias("s"),
-        F.array(*[F.count_if(F.col("fold") == s) for s in range(folds)]).alias("w"),
-    )
-    by_class = F.array(*[F.coalesce(F.max(F.when(F.col("label_ix") == c, F.col("s"))), F.array_repeat(F.lit(0.0), folds)) for c in range(n_classes)])
-    tested = F.array(*[F.sum(F.get("w", F.lit(s))) for s in range(folds)])
-    cube = cut_lineage(sums.groupBy("feature").agg(by_class.alias("s"), tested.alias("w")))  # classes x steps per feature
+    tested = [F.when(F.col("fold") == s, 1).otherwise(0).cast("bigint").alias(f"w{s}") for s in range(folds)]
+    return train.select("label_ix", "feature", *[own(s).alias(f"s{s}") for s in range(folds)], *tested)
+
+
+def step_sum(step: Column, c: int, folds: int) -> Column:
+    """Class ``c``'s sum of a step in ``multinomial_all_folds``'s table."""
+    return F.get(F.array(*[f"s{s}_{c}" for s in range(folds)]), step)
+
+
+def fold_scores(test: DataFrame, table: DataFrame, folds: int, n_classes: int) -> DataFrame:
+    """(row_id, size, l0..) of long test entries (row_id, fold, feature, value), in parts to be added up: values, and for every
+    class their product with the logarithm of its sum in ``table`` (feature, n, w0.., s0_0..), sums being by step and class."""
+    from foldmeter.operators.lookup import lookup_join
+
+    steps = table.withColumn("_w", F.array(*[f"w{s}" for s in range(folds)])).select("*", F.posexplode("_w").alias("fold", "w")).filter("w > 0")
+    logs = [F.log(step_sum(F.col("fold"), c, folds) + SMOOTHING).alias(f"p{c}") for c in range(n_classes)]
+    hits = lookup_join(test, cut_lineage(steps.select("fold", "feature", "w", *logs)), ["fold", "feature"], "w")
+    value = F.col("value")
+    return hits.select("row_id", value.alias("size"), *[(value * F.col(f"p{c}")).alias(f"l{c}") for c in range(n_classes)])
+
+
+def multinomial_all_folds(
+    rows: DataFrame, sums: DataFrame, scores: Callable[[DataFrame], DataFrame], folds: int, widths: list[int], n_classes: int
+) -> DataFrame:
+    """(row_id, predicted_ix) for every row by the model of its step, where features differ from step to step.
+
+    ``rows`` is (row_id, fold, label_ix), ``sums`` like ``fold_sums``, ``scores(table)`` like ``fold_scores``, both in any number of
+    parts, and ``widths`` the number of features per step.  One grouping by feature holds the sums of all steps and classes;
+    classes x steps numbers reach the driver.
+    """
     cells = [(s, c) for s in range(folds) for c in range(n_classes)]
-    sum_of = cube.agg(*[F.sum(F.get(F.get("s", F.lit(c)), F.lit(s))).alias(f"{s}_{c}") for s, c in cells]).first()
+    of = [F.sum(F.when(F.col("label_ix") == c, F.col(f"s{s}")).otherwise(0.0)).alias(f"s{s}_{c}") for s, c in cells]
+    tested = [F.sum(f"w{s}") for s in range(folds)]
+    tested = [sum(tested[1:], tested[0]).alias("n"), *[w.alias(f"w{s}") for s, w in enumerate(tested)]]
+    cube = cut_lineage(sums.groupBy("feature").agg(*tested, *of))
+    sum_of = cube.agg(*[F.sum(f"s{s}_{c}").alias(f"{s}_{c}") for s, c in cells]).first()
     floor = np.array([[-np.log((sum_of[f"{s}_{c}"] or 0.0) + SMOOTHING * widths[s]) if widths[s] else 0.0 for c in range(n_classes)] for s in range(folds)])
     counts = np.zeros((folds, n_classes))
     for r in rows.groupBy("fold", "label_ix").count().collect():  # folds x classes rows
@@ -235,17 +258,7 @@ def multinomial_all_folds(rows: DataFrame, train: DataFrame, test: DataFrame, fo
     def lit(table: np.ndarray) -> Column:
         return F.get(F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in table]), F.col("fold"))
 
-    steps = cube.select("feature", F.arrays_zip("w", F.sequence(F.lit(0), F.lit(folds - 1))).alias("z"), "s")
-    wide = steps.select("feature", F.explode("z").alias("z"), "s").select(
-        "feature",
-        F.col("z.1").alias("fold"),
-        F.col("z.w").alias("w"),
-        *[F.get(F.get("s", F.lit(c)), F.col("z.1")).alias(f"s{c}") for c in range(n_classes)],
-    )
-    wide = wide.filter("w > 0").select("fold", "feature", "w", *[(F.log(F.col(f"s{c}") + SMOOTHING)).alias(f"p{c}") for c in range(n_classes)])
-    hits = lookup_join(test, cut_lineage(wide), ["fold", "feature"], "w")
-    value = F.col("value")
-    scored = hits.groupBy("row_id").agg(F.sum(value).alias("size"), *[F.sum(value * F.col(f"p{c}")).alias(f"l{c}") for c in range(n_classes)])
+    scored = scores(cube).groupBy("row_id").agg(F.sum("size").alias("size"), *[F.sum(f"l{c}").alias(f"l{c}") for c in range(n_classes)])
     joined = rows.select("row_id", "fold").join(scored, "row_id", "left")
     zero = F.lit(0.0)
     totals = [

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -260,9 +261,16 @@ class NaiveBayes(Classifier):
         gnb = GaussianNB.fit(dense(train).withColumn("fold", F.lit(0)))
         return Fitted(lambda test: gnb.predict(dense(test), leave_out_fold=False).select("row_id", "predicted_ix"))
 
-    def all_folds(self, rows: DataFrame, train: DataFrame, test: DataFrame, folds: int, widths: list[int], n_classes: int) -> DataFrame:
-        """(row_id, predicted_ix) of every row by the model of its step, from long features of all steps."""
-        return multinomial_all_folds(rows, train, test, folds, widths, n_classes)
+    def all_folds(self, rows: DataFrame, parts: list, folds: int, widths: list[int], n_classes: int) -> DataFrame:
+        """(row_id, predicted_ix) of every row by the model of its step; ``parts`` are the ``FoldFeatures`` of the attributes."""
+        start = [F.lit(i << 40) for i in range(len(parts))]  # an attribute's features follow those of the attributes before it
+
+        def scores(table: DataFrame) -> DataFrame:
+            of = [table.filter(F.shiftright("feature", 40) == i).withColumn("feature", F.col("feature") - s) for i, s in enumerate(start)]
+            return reduce(DataFrame.unionByName, [p.scores(t, n_classes) for p, t in zip(parts, of)])
+
+        sums = [p.sums(n_classes).withColumn("feature", F.col("feature").cast("bigint") + s) for p, s in zip(parts, start)]
+        return multinomial_all_folds(rows, reduce(DataFrame.unionByName, sums), scores, folds, widths, n_classes)
 
     takes_all_folds = property(lambda self: self.normalizer is None)
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from foldmeter.functions.numbers import strict_double
 from foldmeter.functions.text import tokens
 from foldmeter.operators import hog, text
+from foldmeter.operators.bayes import fold_scores, fold_sums
 from foldmeter.operators.counts import Terms, WideCounts
 from foldmeter.operators.features import sparse_vectors, to_long
 from foldmeter.session import has_at_most
@@ -53,12 +54,22 @@ class FoldFeatures:
     """Features of all steps at once.
 
     ``train()`` gives (row_id, fold, label_ix, feature, values) with a value per step, ``test()`` (row_id, fold, feature,
-    value) of the step that tests the row, ``widths`` the number of features per step.
+    value) of the step that tests the row, ``widths`` the number of features per step.  ``packed`` gives the sums and scores of
+    multinomial models (see ``bayes.fold_sums``) where they need no long frame.
     """
 
     train: Callable[[], DataFrame]
     test: Callable[[], DataFrame]
     widths: list[int]
+    packed: text.TfidfFolds | None = None
+
+    def sums(self, n_classes: int) -> DataFrame:
+        return fold_sums(self.train(), len(self.widths)) if self.packed is None else self.packed.sums(n_classes)
+
+    def scores(self, table: DataFrame, n_classes: int) -> DataFrame:
+        if self.packed is None:
+            return fold_scores(self.test(), table, len(self.widths), n_classes)
+        return self.packed.scores(table, n_classes)
 
 
 def _same_in_all_folds(fitted, rows: DataFrame, folds: int) -> FoldFeatures:
@@ -146,7 +157,7 @@ class Tfidf:
         if self.max_features is not None:
             return None
         model = text.TfidfFolds.fit(rows, folds, attribute, self.norm, not self.case_sensitive)
-        return FoldFeatures(model.train, model.test, model.widths)
+        return FoldFeatures(model.train, model.test, model.widths, model if model.own_rows else None)
 
 
 class FittedTfidf:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldmeter.session import BROADCAST_ROWS, broadcast_if_small, fits_broadcast
+from foldmeter.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, fits_broadcast, row_bytes
 
 #: Aim for at most this many joined rows per salt, and at most this many hot keys.
 ROWS_PER_SALT = 5_000_000
@@ -53,17 +53,15 @@ def frequent_join(big: DataFrame, table: DataFrame, key: str, weight: str, how:
     right = table.drop(weight)
     if fits_broadcast(right, broadcast_rows):
         return big.join(F.broadcast(right), key, how)
-    sizes = table.groupBy(F.floor(F.log2(weight)).alias("k")).count().collect()  # one row per power of two
-    least, n = 64, 0
-    for k, rows in sorted(((r["k"], r["count"]) for r in sizes), reverse=True):
-        n += rows
-        if n > FREQUENT_KEYS:
+    power = F.floor(F.log2(weight))
+    sizes = table.groupBy(power.alias("k")).agg(F.count("*").alias("n"), F.sum(row_bytes(right)).alias("size")).collect()  # one row per power of two
+    least, n, size = 64, 0, 0
+    for r in sorted(sizes, key=lambda r: -r["k"]):
+        n, size = n + r["n"], size + r["size"]
+        if n > FREQUENT_KEYS or size > BROADCAST_BYTES:
             break
-        least = k
-    often = F.floor(F.log2(weight)) >= least
-    frequent = table.filter(often).drop(weight)
-    if not fits_broadcast(frequent, FREQUENT_KEYS):
-        return big.join(right, key, how)
+        least = r["k"]
+    frequent = table.filter(power >= least).drop(weight)
     here = big.join(F.broadcast(frequent), key)
     others = big.join(F.broadcast(frequent.select(key)), key, "left_anti")
-    return here.unionByName(others.join(broadcast_if_small(table.filter(~often).drop(weight)), key, how))
+    return here.unionByName(others.join(broadcast_if_small(table.filter(power < least).drop(weight)), key, how))

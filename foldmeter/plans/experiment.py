@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foldmeter.operators import classifiers as models
 from foldmeter.operators import labels, scores, splits
+from foldmeter.operators.extractors import FoldFeatures
 from foldmeter.plans.config import Experiment, Folded, LeaveOneOut
 from foldmeter.plans.profile import working_set
 from foldmeter.session import cut_lineage, scratch_dir, share_cores
@@ -266,7 +267,7 @@ def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: Data
     folded = cut_lineage(folded)
     n_classes = mapping.count()
     keys = folded.select("row_id", "fold", "label_ix").persist()
-    features, widths, vectors = None, [0] * n_folds, None
+    parts, vectors = [], None
     still = [c for c in at_once if not _long(c)]
     if still:
         start = _Lap(clock, n_folds, [c.name for c in at_once], "train_extraction")
@@ -275,8 +276,9 @@ def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: Data
         start.stop()
         widths = [sum(f.width for f in fitted)] * n_folds
         if len(still) < len(at_once):
-            found = models.entries(vectors, "fold", "label_ix").withColumn("feature", F.col("feature_ix").cast("bigint")).drop("feature_ix")
-            features = (found.withColumn("values", F.array_repeat("value", n_folds)).drop("value"), found.drop("label_ix"))
+            found = models.entries(vectors, "fold", "label_ix").withColumnRenamed("feature_ix", "feature")
+            train = found.withColumn("values", F.array_repeat("value", n_folds)).drop("value")
+            parts = [FoldFeatures(lambda: train, lambda: found.drop("label_ix"), widths)]
     else:
         start = _Lap(clock, n_folds, [c.name for c in at_once], "train_extraction")
         parts = [e.fit_folds(folded, a, n_folds) for a, e in config.attributes.items()]
@@ -284,13 +286,6 @@ def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: Data
             return None, []
         start.stop()
         widths = [sum(p.widths[s] for p in parts) for s in range(n_folds)]
-
-        def stacked(frames: list[DataFrame]) -> DataFrame:
-            # an attribute's features follow those of the attributes before it
-            shifted = [f.withColumn("feature", F.col("feature").cast("bigint") + F.lit(i << 40)) for i, f in enumerate(frames)]
-            return reduce(DataFrame.unionByName, shifted)
-
-        features = (stacked([p.train() for p in parts]), stacked([p.test() for p in parts]))
     paths = []
     for c in at_once:
         if _side_by_side(c):
@@ -303,7 +298,7 @@ def _all_folds(rows: DataFrame, config: Experiment, at_once: list, mapping: Data
             start.stop()
             continue
         start = _Lap(clock, n_folds, [c.name], "train")
-        codes = c.all_folds_dense(vectors, n_folds, n_classes) if c in still else c.all_folds(keys, *features, n_folds, widths, n_classes)
+        codes = c.all_folds_dense(vectors, n_folds, n_classes) if c in still else c.all_folds(keys, parts, n_folds, widths, n_classes)
         codes = cut_lineage(codes)
         start.stop()
         start = _Lap(clock, n_folds, [c.name], "test")

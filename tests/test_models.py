@@ -340,3 +340,28 @@ def test_stateless_attributes_are_extracted_once_for_trees_of_all_steps(spark, t
     assert len(calls) == 1 and len(got[0]) == 2 * 32
     monkeypatch.setattr(classifiers.DecisionTree, "side_by_side", False)
     assert got == found()
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_packed_sums_and_scores_are_those_of_long_entries(spark, monkeypatch, copies):
+    """Sums and scores of naive Bayes used to need every entry outside its chunk, once for training and once for testing."""
+    from foldmeter.operators import packed
+
+    monkeypatch.setattr(packed, "CHUNK_ENTRIES", 7)
+    rng = np.random.default_rng(11)
+    rows = [(i, i % 4 if i < 36 else 1, int(rng.integers(0, 3)), " ".join(f"w{j}" for j in rng.integers(0, 9, i % 5)) + " " * (i % 2) + f" own{i}") for i in range(40)]
+    rows += [(50, 0, 1, ""), (51, 2, 0, None)] + rows[:3] * (copies - 1)
+    df = spark.createDataFrame(rows, "row_id long, fold int, label_ix int, text string").coalesce(2)
+    found = extractors.Tfidf().fit_folds(df, "text", 4)
+    assert (found.packed is None) == (copies == 2)  # rows of one row_id are normed together
+    long = extractors.FoldFeatures(found.train, found.test, found.widths)
+    keys = df.select("row_id", "fold", "label_ix")
+    other = extractors.Pass().fit_folds(df.withColumn("text", F.col("row_id") % 3), "text", 4)
+    for parts, plain in (([found], [long]), ([found, other], [long, other])):
+        widths = [sum(p.widths[s] for p in parts) for s in range(4)]
+        got, want = (sorted(map(tuple, classifiers.NaiveBayes(type_v="multinomial").all_folds(keys, p, 4, widths, 3).collect())) for p in (parts, plain))
+        assert got == want and len(got) >= 42
+    if copies == 1:
+        add = lambda p: sorted(tuple(round(float(x), 9) for x in r) for r in p.sums(3).groupBy("label_ix", "feature").sum(*[f"{k}{s}" for k in "sw" for s in range(4)]).collect())
+        assert add(found) == add(long)
+        assert found.sums(3).count() < found.train().count()
