@@ -365,3 +365,32 @@ def test_packed_sums_and_scores_are_those_of_long_entries(spark, monkeypatch, co
         add = lambda p: sorted(tuple(round(float(x), 9) for x in r) for r in p.sums(3).groupBy("label_ix", "feature").sum(*[f"{k}{s}" for k in "sw" for s in range(4)]).collect())
         assert add(found) == add(long)
         assert found.sums(3).count() < found.train().count()
+
+
+def test_models_are_dropped_with_their_step_and_as_many_train_as_the_driver_holds(spark, monkeypatch):
+    """All steps' trees used to be on the driver together, and again in the task of one union of their predictions."""
+    import threading
+
+    from checks import models
+
+    df = spark.range(0, 90, 1, 12).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("fold"), F.lit(0).alias("label_ix")).persist()
+    running, most, lock = [0], [0], threading.Lock()
+
+    def predict(train, test):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        train.count()
+        with lock:
+            running[0] -= 1
+        return test.select("row_id", (F.xxhash64("row_id") % 7).cast("int").alias("predicted_ix"))
+
+    heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    want = sorted((r.row_id, r.fold) for r in df.collect())
+    for bytes_, at_once in ((heap, 1), (heap // 2 // 60 // 2, 2), (800, 3)):
+        monkeypatch.setattr(models, "DRIVER_ROW_BYTES", bytes_)
+        most[0] = 0
+        assert models._at_once(df, 3) == at_once
+        out = models._per_fold(df, 3, predict)
+        assert sorted((r.row_id, r.fold) for r in out.collect()) == want and most[0] <= at_once
+        assert "xxhash64" not in out._jdf.queryExecution().toString()
